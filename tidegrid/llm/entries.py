@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import bpe, chat, sharding
+from tidegrid.llm import bpe, chat, sharding, simhash
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
     "op6_bpe": bpe.op6_bpe,
     "op9_chat": chat.op9_chat,
     "op10_sharding": sharding.op10_sharding,
