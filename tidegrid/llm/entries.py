@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import bpe, chat, quality, sharding, simhash
+from tidegrid.llm import bpe, chat, quality, sharding, simhash, token_files
 
 QUERIES = {
+    "op5_token_files": token_files.op5_token_files,
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
     "op6_bpe": bpe.op6_bpe,
