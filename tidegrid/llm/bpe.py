@@ -2,107 +2,199 @@
 
 A pre-token's merges come from a hierarchical-bitmap rank queue. Each rank has a bucket of positions in a linked list
 of parts; a bit for each rank, and a bit for each 64 ranks above, say which buckets hold entries, and find-first-set
-gives the next rank. Entries whose pair has changed meanwhile are skipped. A pre-token of n bytes costs n log n steps
-at most, however long it is.
+gives the next rank. Entries whose pair has changed meanwhile are skipped. One queue serves many pre-tokens at once:
+their positions lie in one list that is cut between them, and all positions of a rank merge in one step of array
+operations. So a very long pre-token takes about as many steps as there are ranks in it, not as it has bytes.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-import re
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import map_texts, own_name
-
-#: Entries that a worker's cache of pre-tokens, and of words, holds before it is emptied; each is short.
-CACHE_ENTRIES, CACHED_LENGTH = 300_000, 48
-#: A space before what is no white space begins a pre-token; white space before it ends one.
-SPACED, LOOSE = re.compile(r" (?=\S)"), re.compile(r" \s")
+from tidegrid.llm.common import map_column, offsets_of, own_name
+from tidegrid.llm.words import Remembered, as_binary, bytes_of, encode_column, gather
 
 
 class RankQueue:
-    """Buckets of positions by rank, lowest rank first and leftmost position first within it."""
-
-    def __init__(self) -> None:
-        self.levels: list[dict[int, int]] = [{}, {}, {}]
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        if bucket := self.buckets.get(rank):
-            heapq.heappush(bucket, position)
+    """Buckets of linked-list positions by rank; three levels of 64-bit words tell which ranks have any."""
+
+    def __init__(self, ranks: int) -> None:
+        self.levels: list[list[int]] = []
+        while ranks > 1:
+            ranks = -(-ranks // 64)
+            self.levels.append([0] * ranks)
+        self.buckets: dict[int, list[np.ndarray]] = {}
+
+    def push(self, rank: int, positions: np.ndarray) -> None:
+        if (bucket := self.buckets.get(rank)) is not None:
+            bucket.append(positions)
             return
-        self.buckets[rank] = [position]
+        self.buckets[rank] = [positions]
         for level in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
-            old = level.get(word, 0)
-            level[word] = old | bit
+            word, old = rank >> 6, level[rank >> 6]
+            level[word] = old | 1 << (rank & 63)
             if old:
                 return
             rank = word
 
-    def pop(self) -> tuple[int, int] | None:
-        top = self.levels[2]
-        if not top:
-            return None
-        rank = min(top)  # a single word for up to 2**18 ranks
+    def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        if len(ranks) == 1:
+            return self.push(int(ranks[0]), positions)
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        cut = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        low = 0
+        for rank, high in zip(ranks[np.r_[0, cut]].tolist(), [*cut.tolist(), len(ranks)], strict=True):
+            self.push(rank, positions[low:high])
+            low = high
+
+    def pop(self) -> tuple[int, np.ndarray] | None:
+        """The lowest rank that has positions, and all of them; find-first-set on each level leads to it."""
+        at = 0
         for level in reversed(self.levels):
-            word = level[rank]
-            rank = rank << 6 | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word, bit = at >> 6, 1 << (at & 63)
-                if left := level[word] & ~bit:
-                    level[word] = left
-                    break
-                del level[word]
-                at = word
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: always the pair of lowest rank merges, the leftmost of equals first."""
-    if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    n = len(piece)
-    after, before = list(range(1, n + 2)), list(range(-1, n))
-    now = [-1] * (n + 1)  # the rank of the pair that begins here; -1: none, or no part begins here
-    queue = RankQueue()
-    find = ranks.get
-    for i in range(n - 1):
-        if (rank := find(piece[i : i + 2])) is not None:
-            now[i] = rank
-            queue.push(rank, i)
-    while got := queue.pop():
-        rank, i = got
-        if now[i] != rank:
-            continue
-        gone = after[i]
-        end = after[i] = after[gone]
-        now[gone] = -1
-        if end <= n:
-            before[end] = i
-        for k in (before[i], i):
-            if k >= 0:
-                middle = after[k]
-                new = find(piece[k : after[middle]]) if middle < n else None
-                now[k] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, k)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return out
+            word = level[at]
+            if not word:
+                return None
+            at = at << 6 | ((word & -word).bit_length() - 1)
+        bucket, rank = self.buckets.pop(at), at
+        for level in self.levels:
+            left = level[at >> 6] = level[at >> 6] & ~(1 << (at & 63))
+            if left:
+                break
+            at >>= 6
+        return rank, bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
+
+
+class Merger:
+    """Merges many pre-tokens at once; no pair crosses from one to the next, so each merges as it would alone."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks, self.size = ranks, max(ranks.values()) + 1
+        self.byte = np.array([ranks[bytes([k])] for k in range(256)])
+        pairs: dict[int, int] = {}
+        #: Ranks whose token can form, with a neighbour, a token of lower rank; their merges go one by one.
+        self.unsafe = np.zeros(self.size, bool)
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = rank
+                for part in (a, b):
+                    if part is not None and part > rank:
+                        self.unsafe[part] = True
+        keys = np.array(sorted(pairs), np.int64)
+        self.odd: dict[bytes, int] = {}
+        self.odd_sizes: list[int] = []
+        self.keys, self.values = np.append(keys, np.iinfo(np.int64).max), np.array([*map(pairs.__getitem__, keys.tolist()), -1])
+
+        #: Tokens that merging does not reach; only a pre-token that is one as a whole gets it.
+        tokens = list(ranks)
+        for token, ids in zip(tokens, self.pieces(tokens), strict=True):
+            if ids != np.uint32(ranks[token]).tobytes():
+                self.odd[token] = ranks[token]
+        self.odd_sizes = sorted({*map(len, self.odd)})
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids together; -1: none."""
+        key = a << 32 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.values[at], -1)
+
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as bytes."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids, counts = self(data, sizes)
+        raw, stop = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)]
+
+    def __call__(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens (their bytes end to end, and the number of each) end to end, and the number of each.
+
+        Always the pair of lowest rank merges, the leftmost of equals first; a pre-token that is a token is that one.
+        """
+        ids, counts = self.merge(data, sizes)
+        if not self.odd:
+            return ids, counts
+        edges = np.r_[0, np.cumsum(sizes)]
+        raw = data.tobytes()
+        hits = [(k, rank) for k in np.flatnonzero(np.isin(sizes, self.odd_sizes)).tolist() if (rank := self.odd.get(raw[edges[k] : edges[k + 1]])) is not None]
+        if hits:
+            at, ranks = map(np.array, zip(*hits, strict=True))
+            drop = np.zeros(len(counts), bool)
+            drop[at] = True
+            first = np.cumsum(counts) - counts
+            ids[first[at]] = ranks
+            keep = ~np.repeat(drop, counts)
+            keep[first[at]] = True
+            ids, counts = ids[keep], np.where(drop, 1, counts)
+        return ids, counts
+
+    def merge(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(len(sizes), np.int64)
+        every, sizes = sizes, sizes[sizes > 0]
+        end = np.cumsum(sizes)
+        piece = np.repeat(np.arange(len(sizes)), sizes)
+        token = np.append(self.byte[data], 0)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # position n stands for none
+        after[end - 1] = n
+        before[end - sizes] = n
+        alive = np.ones(n, bool)
+        now = np.full(n + 1, -1)
+        queue = RankQueue(self.size)
+
+        def renew(at: np.ndarray) -> None:
+            then = after[at]
+            at, then = at[then < n], then[then < n]
+            if len(at):
+                rank = now[at] = self.pair_ranks(token[at], token[then])
+                found = rank >= 0
+                if found.any():
+                    queue.push_all(rank[found], at[found])
+
+        renew(np.arange(n))
+        while got := queue.pop():
+            rank, at = got
+            at = at[now[at] == rank]  # others are stale
+            if len(at) > 1:
+                at = np.unique(at)
+                if self.unsafe[rank]:
+                    first = np.r_[True, piece[at[1:]] != piece[at[:-1]]]
+                    if not first.all():
+                        queue.push(rank, at[~first])
+                        at = at[first]
+                else:
+                    chain = np.r_[False, after[at[:-1]] == at[1:]]
+                    if chain.any():  # of pairs that overlap, every other one merges
+                        index = np.arange(len(at))
+                        at = at[(index - np.maximum.accumulate(np.where(chain, 0, index))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            then = after[gone]
+            after[at], before[then] = then, at
+            token[at] = rank
+            alive[gone] = False
+            now[gone] = now[at] = -1
+            left = before[at]
+            renew(np.concatenate([left[left < n], at]))
+        counts = np.zeros(len(every), np.int64)
+        counts[every > 0] = np.add.reduceat(alive, end - sizes, dtype=np.int64)
+        return token[:n][alive].astype("<u4"), counts
+
+
+@cache
+def _merger(path: str) -> Merger:
+    return Merger(load_ranks(path))
 
 
 @cache
@@ -111,50 +203,34 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class _Words(dict):
-    """The ids, as bytes, of a text's stretch between two cuts, with the space before it."""
+class Encoder:
+    """Encodes slices of a text column."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, prefix: str) -> None:
+    def __init__(self, path: str, pattern: str) -> None:
         import regex
 
-        self.ranks, self.prefix, self.find = ranks, prefix, regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        out = []
-        for piece in self.find(text):
-            if (ids := self.pieces.get(piece)) is None:
-                ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-                if len(piece) <= CACHED_LENGTH:
-                    if len(self.pieces) >= CACHE_ENTRIES:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(self.prefix + word)
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.merger, self.find = _merger(path), regex.compile(pattern).findall
+        self.words = Remembered(self.letters)
 
+    def alone(self, texts: list[str]) -> list[bytes]:
+        found = [*map(self.find, texts)]
+        distinct = list(set().union(*found))
+        pieces = dict(zip(distinct, self.merger.pieces([p.encode() for p in distinct]), strict=True))
+        return [b"".join(map(pieces.__getitem__, f)) for f in found]
 
-@cache
-def _words(path: str, pattern: str) -> _Words:
-    return _Words(load_ranks(path), pattern, " ")
+    def letters(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.merger(*bytes_of(pc.binary_join_element_wise("", runs, " ")))
 
+    def marks(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.merger(*bytes_of(runs))
 
-def stretches(text: str) -> list[str]:
-    """text cut at spaces before which and after which it encodes alone; joined by spaces they give text again."""
-    return SPACED.split(text) if LOOSE.search(text) else text.split(" ")
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return encode_column(texts, self.words, self.marks, self.alone)
 
 
-def encode_text(text: str | None, path: str, pattern: str) -> bytes:
-    words = _words(path, pattern)
-    first, *rest = stretches(text or "")
-    return words.encode(first) + b"".join(map(words.__getitem__, rest))
+@cache
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -165,9 +241,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     """
 
     def make():
-        return lambda texts: [pa.array([encode_text(t, path, pattern) for t in texts], pa.binary())]
+        work = encoder(path, pattern)
+        return lambda texts: [as_binary(*work(texts))]
 
-    return map_texts(docs, text_col, make, [(own_name(docs, ids_col), "binary")])
+    return map_column(docs, text_col, make, [(own_name(docs, ids_col), "binary")])
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -175,12 +252,22 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
 
     def make():
         ranks = load_ranks(path)
-        token = [b""] * (max(ranks.values()) + 1)
-        for k, v in ranks.items():
-            token[v] = k
-        return lambda rows: [pa.array([b"".join(map(token.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in rows], pa.binary())]
-
-    return map_texts(df, ids_col, make, [(own_name(df, out_col), "binary")])
+        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            size[rank] = len(token)
+        begin = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+
+        def work(rows: pa.Array) -> list[pa.Array]:
+            rows = rows.fill_null(b"")
+            edges = offsets_of(rows)
+            raw = rows.buffers()[2]
+            ids = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]].view("<u4").astype(np.int64) if edges[-1] > edges[0] else np.zeros(0, np.int64)
+            return [as_binary(gather(flat, begin, size, ids), np.r_[0, np.cumsum(size[ids])][(edges - edges[0]) // 4])]
+
+        return work
+
+    return map_column(df, ids_col, make, [(own_name(df, out_col), "binary")])
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -56,32 +56,6 @@ def ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def map_texts(df: DataFrame, text_col: str, make, fields: list[tuple[str, str]], step_bytes: int = 4 << 20) -> DataFrame:
-    """df with the columns `fields` (name, type) that make() gives.
-
-    make() runs once in each task and returns a function from a list of texts (None: null) to one Arrow array for each
-    field. Texts come in slices of about step_bytes, so that a task holds little however long the texts are.
-    """
-    schema = with_fields(df, fields)
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        work = make()
-        for batch in batches:
-            sizes = np.diff(offsets_of(batch.column(text_col)))
-            group = np.cumsum(sizes) // step_bytes
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b > a:
-                    part = batch.slice(a, b - a)
-                    made = work(part.column(text_col).to_pylist())
-                    yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(n for n, _ in fields)])
-
-    return df.mapInArrow(run, schema)
-
-
 def with_fields(df: DataFrame, fields: list[tuple[str, str]]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in fields)])
 
@@ -96,3 +70,31 @@ def offsets_of(column):
         return np.zeros(1, np.int64)
     got = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
     return got[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def slices(column, step_bytes: int = 4 << 20):
+    """(first row, slice) of an Arrow string or binary column, slices of about step_bytes each."""
+    import numpy as np
+
+    group = np.diff(offsets_of(column)).cumsum() // step_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
+    return [(a, column.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+def map_column(df: DataFrame, column: str, make, fields: list[tuple[str, str]]) -> DataFrame:
+    """df with the columns `fields` (name, type) that make() gives.
+
+    make() runs once in each task and returns a function from a slice of the string or binary column, as an Arrow array,
+    to one Arrow array for each field. Slices are small, so that a task holds little however long the texts are.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = make()
+        for batch in batches:
+            for low, part in slices(batch.column(column)):
+                rows = batch.slice(low, len(part))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *work(part)], names=[*rows.schema.names, *(n for n, _ in fields)])
+
+    return df.mapInArrow(run, with_fields(df, fields))

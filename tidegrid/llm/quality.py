@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import map_texts, offsets_of, own_name
+from tidegrid.llm.common import map_column, offsets_of, own_name
 
 #: Byte classes of the statistics; each adds its share of a text's bytes.
 CLASSES = {
@@ -137,12 +137,12 @@ def moments(labelled: DataFrame, features: str = "features", label: str = "label
 def with_statistics(docs: DataFrame, text_col: str = "text", out_col: str = "features") -> DataFrame:
     def make():
         def work(texts):
-            x = text_statistics(pa.array(texts, pa.large_string()))
+            x = text_statistics(texts)
             return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * D, pa.int32()), pa.array(x.ravel()))]
 
         return work
 
-    return map_texts(docs, text_col, make, [(out_col, "array<double>")])
+    return map_column(docs, text_col, make, [(out_col, "array<double>")])
 
 
 def held_out(id_column: Column) -> Column:
@@ -164,9 +164,9 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", out_col: s
     """docs with the score (0 to 1; higher: class 1 likelier) of each whole text; null texts score as empty ones."""
 
     def make():
-        return lambda texts: [pa.array(model.score(text_statistics(pa.array(texts, pa.large_string()))))]
+        return lambda texts: [pa.array(model.score(text_statistics(texts)))]
 
-    return map_texts(docs, text_col, make, [(own_name(docs, out_col), "double")])
+    return map_column(docs, text_col, make, [(own_name(docs, out_col), "double")])
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

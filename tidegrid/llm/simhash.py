@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import map_texts, own_name, partitions, stored
+from tidegrid.llm.common import map_column, own_name, partitions, stored
 from tidegrid.llm.components import connected_components
 
 #: Rows that a bucket is compared in; a larger one is dealt into tiles, and each pair of tiles is a task's group.
@@ -53,9 +53,9 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "f
     """docs with a 64-bit fingerprint of each whole text. Null, empty and white texts have fingerprint zero."""
 
     def make():
-        return lambda texts: [pa.array([fingerprint(shingle_hashes(t, words, seed)) for t in texts], pa.int64())]
+        return lambda texts: [pa.array([fingerprint(shingle_hashes(t, words, seed)) for t in texts.to_pylist()], pa.int64())]
 
-    return map_texts(docs, text_col, make, [(out_col, "long")])
+    return map_column(docs, text_col, make, [(out_col, "long")])
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:

@@ -9,17 +9,18 @@ its part's tokens, so blocks decode alone and all words of a block decode at onc
 
 from __future__ import annotations
 
-import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.bpe import stretches
-from tidegrid.llm.common import new_path, partitions
+from tidegrid.llm.common import new_path, offsets_of, partitions, slices
+from tidegrid.llm.words import Remembered, encode_column
 
 #: Values in a word and bits of each, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -28,11 +29,13 @@ SELECTOR_OF_COUNT = np.full(256, -1, np.int64)
 SELECTOR_OF_COUNT[COUNTS] = np.arange(16)
 WIDTHS = sorted({*BITS.tolist()} - {60})
 RANK_OF_WIDTH = {w: k for k, w in enumerate(WIDTHS)}
+LIMITS = np.array([1 << w for w in WIDTHS], np.uint64)
+WIDTH_RANK = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 ESCAPE = np.uint64((1 << 64) - 1)
 LARGEST = (1 << 60) - 2  # what a selector-15 word can hold besides the escape
 
-#: Tokens after which a block ends (with the document in hand), and entries of a worker's cache of short words.
-BLOCK_TOKENS, CACHE_ENTRIES, CACHED_LENGTH = 1 << 17, 500_000, 48
+#: Tokens after which a block ends (with the document in hand), and words that go to the library as one text.
+BLOCK_TOKENS, JOINED = 1 << 17, 2000
 
 
 def encode_words(values: np.ndarray) -> np.ndarray:
@@ -41,11 +44,8 @@ def encode_words(values: np.ndarray) -> np.ndarray:
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64)
-    if values.max() >> np.uint64(32) == 0:
-        values = values.astype(np.uint32)
-    size = np.zeros(n, np.uint8)  # how many of WIDTHS are too narrow for the value
-    for width in WIDTHS:
-        size += values >= values.dtype.type(1 << width) if width < values.itemsize * 8 else 0
+    # how many of WIDTHS are too narrow for each value
+    size = WIDTH_RANK[values] if values.max() < 1 << 16 else np.searchsorted(LIMITS, values, side="right").astype(np.uint8)
     widest, span = size, 1  # the largest size in the `span` values from here on
     packs = np.ones(n, np.uint8)
     for s in range(14, -1, -1):
@@ -55,8 +55,7 @@ def encode_words(values: np.ndarray) -> np.ndarray:
         more = c - span  # two overlapping windows of `span` make one of c, as c is at most twice span
         widest, span = np.maximum(widest[: n - c + 1], widest[more : more + n - c + 1]), c
         fits = widest <= RANK_OF_WIDTH[int(BITS[s])]
-        if fits.any():
-            packs[: n - c + 1][fits] = c
+        packs[np.flatnonzero(fits)] = c
     jump = (np.arange(n) + packs).tolist()
     at, i = [], 0
     while i < n:
@@ -64,13 +63,17 @@ def encode_words(values: np.ndarray) -> np.ndarray:
         i = jump[i]
     first = np.array(at)
     chosen = SELECTOR_OF_COUNT[packs[first]]
-    values = values.astype(np.uint64)
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in range(2, 16):
         rows = np.flatnonzero(chosen == s)
         base = first[rows]
-        for k in range(int(COUNTS[s]) if len(rows) else 0):
-            words[rows] |= (values[base + k] if s < 15 else np.minimum(values[base], np.uint64((1 << 60) - 1))) << np.uint64(k * int(BITS[s]))
+        if s == 15:
+            words[rows] |= np.minimum(values[base], np.uint64((1 << 60) - 1))
+        elif len(rows):
+            packed = values[base]
+            for k in range(1, int(COUNTS[s])):
+                packed |= values[base + k] << np.uint64(k * int(BITS[s]))
+            words[rows] |= packed
     raw = first[(chosen == 15) & (values[first] > LARGEST)]
     return np.insert(words, np.searchsorted(first, raw, side="right"), values[raw]) if len(raw) else words
 
@@ -103,7 +106,7 @@ def decode_words(words: np.ndarray) -> np.ndarray:
 
 
 class _Encoder:
-    """Ids of texts by the tokenizers library. Words are encoded once and kept: a text's stretches encode alone."""
+    """Ids of text columns by the tokenizers library; of a slice, each distinct word goes to it once."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -113,25 +116,31 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [stretches(t or "") for t in texts]
-        firsts = self.library([c[0] for c in cut])
-        known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        fresh = list(set().union(*(c[1:] for c in cut)).difference(known))
-        extra: dict[str, bytes] = {}
-        for low in range(0, len(fresh), 50_000):
-            some = fresh[low : low + 50_000]
-            for word, ids in zip(some, self.library([" " + w for w in some]), strict=True):
-                (known if len(word) <= CACHED_LENGTH else extra)[word] = ids
-        get = known.__getitem__ if not extra else lambda w: known[w] if w in known else extra[w]
-        return [a + b"".join(map(get, c[1:])) for a, c in zip(firsts, cut, strict=True)]
+        names = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():
+            self.token_bytes[i] = len(name)  # a byte-level name has a letter for each byte
+
+        self.words = Remembered(self.letters)
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes many runs as one text of words, and cuts the ids where the words' bytes end."""
+        sizes = np.diff(offsets_of(runs)) + 1
+        words = runs.to_pylist()
+        joined = [" " + " ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
+        ids = np.frombuffer(b"".join(self.alone(joined)), "<u4")
+        stop = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(sizes)) + 1
+        return ids, np.diff(np.r_[0, stop])
+
+    def marks(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.alone(runs.to_pylist())
+        return np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return encode_column(texts, self.words, self.marks, self.alone)
 
 
 @cache
@@ -143,16 +152,14 @@ BLOCKS = "part long, block long, first_token long, tokens long, ids array<long>,
 
 
 def _to_blocks(path: str, end_id: int):
-    def block(part: int, number: int, first: int, ids: list, rows: list[bytes]) -> tuple[pa.RecordBatch, int]:
-        end = np.array([end_id], "<u4").tobytes()
-        tokens = np.frombuffer(b"".join(x + end for x in rows), "<u4")
-        counts = [len(x) // 4 + 1 for x in rows]
+    def block(part: int, number: int, first: int, ids: list, rows: list[np.ndarray]) -> pa.RecordBatch:
+        tokens = np.concatenate(rows)
         columns = [
             pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([first], pa.int64()), pa.array([len(tokens)], pa.int64()),
-            pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
+            pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in rows]], pa.list_(pa.int64())),
             pa.array([encode_words(tokens.astype(np.uint64)).tobytes()], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCKS.split(", ")]), len(tokens)
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -160,19 +167,19 @@ def _to_blocks(path: str, end_id: int):
         encode, part = _encoder(path), TaskContext.get().partitionId()
         ids, rows, held, number, first = [], [], 0, 0, 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for low in range(0, len(texts), 500):
-                some = texts[low : low + 500]
-                for key, row in zip(batch.column(0).slice(low, 500).to_pylist(), encode(some), strict=True):
-                    ids.append(key)
-                    rows.append(row)
-                    held += len(row) // 4 + 1
+            keys = batch.column("k").to_pylist()
+            for low, texts in slices(batch.column("t")):
+                tokens, edges = encode(texts)
+                tokens, edges = np.insert(tokens, edges[1:], end_id), edges + np.arange(len(edges))
+                for k, (a, b) in enumerate(pairwise(edges.tolist()), low):
+                    ids.append(keys[k])
+                    rows.append(tokens[a:b])
+                    held += b - a
                     if held >= BLOCK_TOKENS:
-                        made, n = block(part, number, first, ids, rows)
-                        yield made
-                        ids, rows, held, number, first = [], [], 0, number + 1, first + n
+                        yield block(part, number, first, ids, rows)
+                        ids, rows, held, number, first = [], [], 0, number + 1, first + held
         if rows:
-            yield block(part, number, first, ids, rows)[0]
+            yield block(part, number, first, ids, rows)
 
     return run
 
@@ -185,8 +192,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    order = [F.col(id_col).cast("long").asc_nulls_first(), F.col(text_col).asc_nulls_first()]
-    ranged = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(partitions(docs), order[0], F.xxhash64(text_col)).sortWithinPartitions(*order)
+    docs = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
+    order = [F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first()]
+    ranged = docs.repartitionByRange(partitions(docs), order[0], F.xxhash64("t")).sortWithinPartitions(*order)
     ranged.mapInArrow(_to_blocks(tokenizer, end_id), BLOCKS).write.parquet(path)
     return path
 
