@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import bpe, chat, quality, sharding, simhash, token_files
+from tidegrid.llm import bpe, chat, decontam, line_dedup, quality, sharding, simhash, token_files
 
 QUERIES = {
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op7_decontamination": decontam.op7_decontamination,
     "op5_token_files": token_files.op5_token_files,
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
@@ -12,4 +14,4 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_sharding": sharding.op10_sharding,
 }
-SQL = {"op9_chat": chat.SQL_OP9}
+SQL = {"op7_decontamination": decontam.SQL_OP7, "op9_chat": chat.SQL_OP9}
