@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import bpe, chat, decontam, line_dedup, quality, sharding, simhash, token_files
+from tidegrid.llm import ann, bpe, chat, decontam, line_dedup, quality, sharding, simhash, token_files
 
 QUERIES = {
+    "op4_neighbours": ann.op4_neighbours,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op7_decontamination": decontam.op7_decontamination,
     "op5_token_files": token_files.op5_token_files,
