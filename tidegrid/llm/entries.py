@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import ann, bpe, chat, decontam, line_dedup, quality, sharding, simhash, token_files
+from tidegrid.llm import ann, bpe, chat, decontam, line_dedup, lm_score, quality, sharding, simhash, token_files
 
 QUERIES = {
-    "op4_neighbours": ann.op4_neighbours,
-    "op8_line_dedup": line_dedup.op8_line_dedup,
-    "op7_decontamination": decontam.op7_decontamination,
-    "op5_token_files": token_files.op5_token_files,
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_quality": quality.op2_quality,
     "op3_simhash": simhash.op3_simhash,
+    "op4_neighbours": ann.op4_neighbours,
+    "op5_token_files": token_files.op5_token_files,
     "op6_bpe": bpe.op6_bpe,
+    "op7_decontamination": decontam.op7_decontamination,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_chat": chat.op9_chat,
     "op10_sharding": sharding.op10_sharding,
 }
-SQL = {"op7_decontamination": decontam.SQL_OP7, "op9_chat": chat.SQL_OP9}
+SQL = {"op1_lm_score": lm_score.SQL_OP1, "op7_decontamination": decontam.SQL_OP7, "op9_chat": chat.SQL_OP9}
