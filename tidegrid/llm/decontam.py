@@ -60,7 +60,7 @@ def contaminated(
 
     Words are lower-cased runs without ASCII white space. An item of fewer words than `length` is one shingle; an item
     without words, or a null text on either side, matches nothing. Items that repeat match alike, and documents that
-    share an id count as one; the null id is one too. Items that occur in any part of all documents make one row for
+    share an id count as one; the null id, of either side, is one too. Items that occur in any part of all documents make one row for
     each such document and no more.
     """
     items = stored(item_shingles(benchmark, item_col, item_text_col, length).distinct())
@@ -74,7 +74,8 @@ def contaminated(
     pairs = stored(probe.join(small(keys, keys.count()), "h").select(F.col(key).alias("__pair"), "item").distinct())
     marked = F.concat(F.lit(" "), F.array_join(words(F.col(text)), " "), F.lit(" "))
     near = rows.join(small(pairs, pairs.count()), F.col(key).eqNullSafe(F.col("__pair"))).select(key, "item", marked.alias("m"))
-    exact = near.join(small(items, items.count()), "item").select(
+    known = items.withColumnRenamed("item", "known")
+    exact = near.join(small(known, items.count()), F.col("item").eqNullSafe(F.col("known"))).select(
         F.col(key).alias(id_col), F.col("item").alias(item_col), F.size("shingles").alias("shingles"),
         F.size(F.filter("shingles", lambda s: F.contains(F.col("m"), F.concat(F.lit(" "), s, F.lit(" "))))).alias("held"),
     )
