@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import own_name, slices
+from tidegrid.llm.common import own_name, slices, stored
 
-WINDOW, DIVISOR, LONG_LINE, MIN_WORDS = 2, 3, 20, 50
+WINDOW, DIVISOR, LONG_LINE, MIN_WORDS = 2, 2, 20, 50
 
 #: Bits of the broadcast bitmap (8 MB) of hashes that occur more than once. It only spares bytes in a shuffle: what it
 #: lets through wrongly is sorted out by the comparison.
@@ -116,7 +116,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = rows.mapInArrow(with_bytes, f"id {kind}, no int, h long, chunk binary")
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "no")
     first = seen.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = first.select(F.col("h").alias("h1"), F.col("chunk").alias("chunk1"), "first")
+    # stored, so that the join below has a shuffle on either side and Spark can split the rows of a very common chunk
+    first = stored(first.select(F.col("h").alias("h1"), F.col("chunk").alias("chunk1"), "first"))
     same = seen.join(first, (F.col("h") == F.col("h1")) & (F.col("chunk") == F.col("chunk1")))
     return same.filter(~place.eqNullSafe(F.col("first"))).select("id", "no", "h")
 
