@@ -37,8 +37,9 @@ def asof_join(
         ends = own.withColumn("__part", F.floor(F.col(on) / span)).groupBy(*parts).agg(pick("__state", place).alias("__in"))
         wanted = rows.select(*parts).distinct()
         carried = asof_join(wanted, ends, keys, "__part", ["__in"], direction, strict=True)
-        match = [rows[p].eqNullSafe(carried[p]) for p in parts]
-        rows = rows.join(carried, match, "left").select(*(rows[c] for c in rows.columns if c != "__found"), F.coalesce(rows["__found"], carried["__in"]).alias("__found")).drop("__part")
+        carried = carried.toDF(*(f"__in_{p}" for p in parts), "__in")
+        match = [F.col(p).eqNullSafe(F.col(f"__in_{p}")) for p in parts]
+        rows = rows.join(carried, match, "left").withColumn("__found", F.coalesce("__found", "__in")).drop("__part", "__in", *(f"__in_{p}" for p in parts))
     if tolerance is not None:
         rows = rows.withColumn("__found", F.when(F.abs(F.col(on) - F.col("__found.at")) <= tolerance, F.col("__found")))
     return rows.select(*probes.columns, *(F.col(f"__found.v{k}").alias(v) for k, v in enumerate(values)))

@@ -1 +1,6 @@
 """Registered queries and their SQL."""
+
+from tidegrid.plans import timeline_queries
+
+QUERIES = timeline_queries.QUERIES
+SQL = timeline_queries.SQL
