@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Names = Sequence[str]
 
@@ -74,7 +75,7 @@ def farthest_points(df: DataFrame, keys: Names, on: str, id_col: str, k: int) ->
     Adds pick, the order of choice.
     """
     rows = df.withColumn("__h", F.sha2(F.col(id_col).cast("string"), 256))
-    schema = df.schema.add("pick", "int")
+    schema = T.StructType([*df.schema.fields, T.StructField("pick", T.IntegerType())])
 
     def choose(pdf):
         pdf = pdf.sort_values([on, "__h"], kind="stable").reset_index(drop=True)

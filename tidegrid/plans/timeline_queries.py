@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.operators import asof, relations, sequence
+from tidegrid.operators import asof, relations, rounds, sequence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -318,3 +318,18 @@ def u08_merged_sets(ev):
 def u10_repeated_rows(ev):
     out = relations.repeated_rows(ev, F.when(F.col("kind") == "purchase", 5).otherwise(1), ["user_id"])
     return out.select("event_id", F.col("copy").cast("long").alias("copy"), F.round("weight", 9).alias("weight"))
+
+
+@query()
+def t01_round_attempts(ev):
+    """A sign-up starts an attempt, a view takes it live, a purchase or an error ends it for one side."""
+    played = F.coalesce(F.count_if(F.col("kind").isin("purchase", "error")).over(sequence._so_far(["user_id"], ["t", "event_id"])), F.lit(0)).cast("int")
+    t_won = F.count_if(F.col("kind") == "purchase").over(sequence._so_far(["user_id"], ["t", "event_id"])).cast("int")
+    no, yes = F.lit(False), F.lit(True)
+    observed = ev.select(
+        F.col("user_id").alias("match_id"), F.col("t").alias("tick"), F.col("event_id").alias("seq"), played.alias("raw_round"), played.alias("rounds_played"),
+        t_won.alias("score_t"), (played - t_won).alias("score_ct"), no.alias("warmup"), yes.alias("match_started"), no.alias("freeze"), no.alias("team_intro"),
+        F.col("event_id").cast("int").alias("start_count"), (F.col("kind") == "signup").alias("start"), (F.col("kind") == "view").alias("live"),
+        F.col("kind").isin("purchase", "error").alias("end"), F.when(F.col("kind") == "purchase", "T").when(F.col("kind") == "error", "CT").alias("winner"), F.col("kind").alias("reason"),
+    )
+    return rounds.round_attempts(observed)
