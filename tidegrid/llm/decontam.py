@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import WORD_GAPS, own_name, stored
 
-#: Rows up to which a side of two short columns is broadcast (about 16 MB each); a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a side of two short columns is broadcast (about 16 MB), and bytes up to which the items' own text
+#: is; what is larger is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -75,7 +76,8 @@ def contaminated(
     marked = F.concat(F.lit(" "), F.array_join(words(F.col(text)), " "), F.lit(" "))
     near = rows.join(small(pairs, pairs.count()), F.col(key).eqNullSafe(F.col("__pair"))).select(key, "item", marked.alias("m"))
     known = items.withColumnRenamed("item", "known")
-    exact = near.join(small(known, items.count()), F.col("item").eqNullSafe(F.col("known"))).select(
+    size = items.agg(F.sum(F.octet_length(F.array_join("shingles", " ")) + 8 * F.size("hashes"))).first()[0] or 0
+    exact = near.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, F.col("item").eqNullSafe(F.col("known"))).select(
         F.col(key).alias(id_col), F.col("item").alias(item_col), F.size("shingles").alias("shingles"),
         F.size(F.filter("shingles", lambda s: F.contains(F.col("m"), F.concat(F.lit(" "), s, F.lit(" "))))).alias("held"),
     )
