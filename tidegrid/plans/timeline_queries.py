@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.operators import asof, relations, rounds, sequence
+from tidegrid.operators import asof, evaluate, relations, rounds, select, sequence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -333,3 +333,55 @@ def t01_round_attempts(ev):
         F.col("kind").isin("purchase", "error").alias("end"), F.when(F.col("kind") == "purchase", "T").when(F.col("kind") == "error", "CT").alias("winner"), F.col("kind").alias("reason"),
     )
     return rounds.round_attempts(observed)
+
+
+@query("\n, l AS (SELECT kind, lag(kind) OVER (PARTITION BY user_id ORDER BY t, event_id) AS b FROM ev) SELECT b || '->' || kind AS transition, count(*) AS rows FROM l WHERE b IS NOT NULL GROUP BY 1")
+def a46_transition_matrix(ev):
+    return evaluate.transition_matrix(ev, ["user_id"], ["t", "event_id"], "kind")
+
+
+@query("\nSELECT event_id, user_id FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY kind = 'error', abs(t - 1705276800000000), t) = 1")
+def o18_nearest_to(ev):
+    return select.nearest_to(ev, ["user_id"], "t", F.lit(1_705_276_800_000_000), F.col("kind") == "error").select("event_id", "user_id")
+
+
+@query("""\n, q AS (SELECT DISTINCT user_id, 14 + user_id % 3 AS quota FROM ev), h AS (SELECT user_id, count(*) AS have FROM p GROUP BY 1)
+SELECT user_id, quota, coalesce(have, 0) AS have, greatest(0, quota - coalesce(have, 0)) AS missing FROM q LEFT JOIN h USING (user_id)""")
+def o08_shortfall(ev):
+    quotas = ev.select("user_id", (14 + F.col("user_id") % 3).alias("quota")).distinct()
+    return select.shortfall(_of(ev, "purchase"), quotas, ["user_id"])
+
+
+@query("\nSELECT user_id, day, count(DISTINCT kind) AS ids FROM ev GROUP BY ALL HAVING count(DISTINCT kind) > 1")
+def j29_conflicts(ev):
+    return relations.conflicts(ev, ["user_id", "day"], "kind")
+
+
+@query("\n, m AS (SELECT user_id, avg(value) AS m FROM ev GROUP BY 1) SELECT round(sum(m) / 10, 6) AS loss FROM m")
+def a48_weighted_loss(ev):
+    return evaluate.weighted_loss(ev.withColumn("w", F.lit(1.0)), "user_id", "value", "w", 10.0).select(F.round("loss", 6).alias("loss"))
+
+
+@query("\nSELECT user_id, kind, day, max(day) AS only_day FROM ev GROUP BY user_id, kind, day")
+def u03_only_value(ev):
+    return ev.groupBy("user_id", "kind", "day").agg(relations.only_value(F.col("day")).alias("only_day"))
+
+
+@query("\nSELECT DISTINCT user_id FROM c WHERE user_id NOT IN (SELECT user_id FROM ev WHERE kind = 'purchase' AND value > 60)")
+def j20_semi_and_anti(ev):
+    large = _of(ev, "purchase").filter("value > 60").select("user_id").distinct()
+    return ev.select("user_id").distinct().join(_of(ev, "click").select("user_id"), "user_id", "left_semi").join(large, "user_id", "left_anti")
+
+
+@query("\nSELECT user_id, count(*) AS clicks, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY t, event_id) AS ids FROM c GROUP BY user_id")
+def j18_group_lookup(ev):
+    rows = F.sort_array(F.collect_list(F.struct("t", "event_id")))
+    grouped = _clicks(ev).groupBy("user_id").agg(rows.alias("r"))
+    return grouped.select("user_id", F.size("r").cast("long").alias("clicks"), F.array_join(F.transform("r", lambda x: x["event_id"].cast("string")), ",").alias("ids"))
+
+
+@query("""\n, z AS (SELECT user_id, day, CASE WHEN kind = 'error' THEN 'error' ELSE 'fine' END AS state FROM ev)
+SELECT day, state, count(*) AS rows FROM z GROUP BY GROUPING SETS ((day, state), (state), ())""")
+def a19_build_report(ev):
+    state = F.when(F.col("kind") == "error", "error").otherwise("fine").alias("state")
+    return ev.select("day", state).groupingSets([["day", "state"], ["state"], []], "day", "state").agg(F.count(F.lit(1)).alias("rows"))
