@@ -60,6 +60,33 @@ def test_lm_score_rare_bigrams_join_like_frequent_ones(docs):
     assert a == b
 
 
+def plain_scores(texts, target):
+    split = {k: t.encode().lower().split() for k, t in texts.items()}
+    pairs = {k: list(zip([None, *w[:-1]], w, strict=True)) for k, w in split.items()}
+    size, loss = len({x for w in split.values() for x in w}), {}
+    for name, ids in (("t", target), ("b", set(texts))):
+        c = Counter(p for k in ids for p in pairs[k])
+        cv, cw, n = Counter(), Counter(), max(sum(c.values()), 1)
+        for (v, w), m in c.items():
+            cv[v] += m
+            cw[w] += m
+        loss[name] = lambda v, w, c=c, cv=cv, cw=cw, n=n: -np.log((0.6 * c[v, w] / cv[v] + 0.35 * cw[w] / n if cv[v] else 0.95 * cw[w] / n) + 0.05 / (size + 1))
+    return {k: np.mean([loss["t"](*x) - loss["b"](*x) for x in p]) if p else 0 for k, p in pairs.items()}
+
+
+@pytest.mark.parametrize("frequent", [500_000, 50])
+def test_lm_score_tells_every_word_apart(spark, docs, frequent):
+    # 60,000 tokens of one word make each word met once rarer than 1 in 50,000
+    texts = {1: "common " * 60_000, 2: "rare alpha", 3: "rare beta", 4: "rare alpha", 5: "rare gamma"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r.score for r in lm_score.cross_entropy_difference(d, d.filter("doc_id = 4").select("doc_id"), frequent=frequent).collect()}
+    assert out[2] < out[3] and out == pytest.approx(plain_scores(texts, {4}), abs=1e-9)
+    texts = {r.doc_id: r.text or "" for r in docs.filter("doc_id is not null").collect()}
+    ids = docs.filter("doc_id % 3 = 0").select("doc_id")
+    got = {r.doc_id: r.score for r in lm_score.cross_entropy_difference(docs.filter("doc_id is not null"), ids, frequent=frequent).collect()}
+    assert got == pytest.approx(plain_scores(texts, {k for k in texts if k % 3 == 0}), abs=1e-9)
+
+
 # 2
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"

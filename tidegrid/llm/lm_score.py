@@ -2,10 +2,11 @@
 
 A target and a background bigram model share one vocabulary, one smoothing and one order, so that their losses on a token
 compare; a document's score is the mean over its tokens of target loss less background loss (nats; lower: more like the
-target). The vocabulary is every word with at least 1 / `words` of all tokens of the background, so it has at most
-`words` entries whatever the input; all other words are one unknown word. A model's probability of a word after another
-is a fixed mixture of its bigram, unigram and uniform estimates; after a word that the model has not seen, the bigram's
-weight goes to the unigram.
+target). The vocabulary is every word of the background: words are 64-bit hashes, bigrams pairs of them, and both models
+are tables that are only ever joined by a shuffle, but for the frequent bigrams. With `words` given it is every word with
+at least 1 / `words` of all tokens instead, so at most `words` entries whatever the input; all other words are then one
+unknown word. A model's probability of a word after another is a fixed mixture of its bigram, unigram and uniform
+estimates; after a word that the model has not seen, the bigram's weight goes to the unigram.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from tidegrid.llm.common import read, slices, stored
 #: Shares of the bigram, unigram and uniform estimates.
 BIGRAM, UNIGRAM, UNIFORM = 0.6, 0.35, 0.05
 
-#: Bound on the vocabulary; bound on the frequent bigrams, whose losses every task holds (12 MB); rows up to which the
+#: Bound on the vocabulary of op1_lm_score, as its SQL has it; bound on the frequent bigrams, whose losses every task holds (12 MB); rows up to which the
 #: ids of the target are broadcast.
 WORDS, FREQUENT, BROADCAST_ROWS = 50_000, 500_000, 1_000_000
 SLICE_BYTES = 8 << 20
+#: What stands before a text (the hash of a space, which no word is), and the v of a text's own row (of two spaces).
+START, OWN = 0x79CF5CEB668638D, -1377954210501137205
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -89,13 +92,16 @@ def bigram_losses(counts: DataFrame, size: int) -> DataFrame:
     sums = lambda by, p: split.groupBy(by).agg(F.sum("b").alias(f"{p}b"), F.sum("t").alias(f"{p}t"))
     total = counts.agg(F.sum("b").alias("b"), F.sum("t").alias("t")).first()
 
-    def loss(k: str, n: int) -> Column:
-        unigram = F.col(f"w{k}") / F.lit(float(max(n, 1)))
-        known = F.lit(BIGRAM) * F.col(k) / F.greatest(F.col(f"v{k}"), F.lit(1)) + F.lit(UNIGRAM) * unigram
-        return -F.ln(F.when(F.col(f"v{k}") > 0, known).otherwise(F.lit(BIGRAM + UNIGRAM) * unigram) + F.lit(UNIFORM / (size + 1)))
-
+    loss = lambda k, n: _loss(k, n or 0, size)
     joined = split.join(F.broadcast(sums("v", "v")), "v").join(F.broadcast(sums("w", "w")), "w")
-    return joined.select("key", "b", loss("t", total.t or 0).alias("target_loss"), loss("b", total.b or 0).alias("background_loss"))
+    return joined.select("key", "b", loss("t", total.t).alias("target_loss"), loss("b", total.b).alias("background_loss"))
+
+
+def _loss(k: str, n: int, size: int) -> Column:
+    """A bigram's loss from its count k, those of its words (vk, wk), all n tokens and the words in the vocabulary."""
+    unigram = F.col(f"w{k}") / F.lit(float(max(n, 1)))
+    known = F.lit(BIGRAM) * F.col(k) / F.greatest(F.col(f"v{k}"), F.lit(1)) + F.lit(UNIGRAM) * unigram
+    return -F.ln(F.when(F.col(f"v{k}") > 0, known).otherwise(F.lit(BIGRAM + UNIGRAM) * unigram) + F.lit(UNIFORM / (size + 1)))
 
 
 def _scored(vocabulary, frequent):
@@ -130,37 +136,125 @@ def _scored(vocabulary, frequent):
     return run
 
 
-def cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, frequent: int = FREQUENT,
-) -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, score) of every document.
+def hashed_bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes v and w of the distinct bigrams, each token's place in them, and its text. START stands before a text."""
+    import xxhash
 
-    The background model counts all docs, the target model those whose id is in target_ids (one column, any repeats).
-    Losses are means over a document's tokens. Null, empty and white texts have no tokens, null losses and score 0. Rows
-    that repeat an id and its text give one row; rows of one id with different texts, and the null id, one for each text.
-    Without target documents the target model is uniform. Other columns take no part and do not come back.
+    distinct, place, owner = tokens(texts)
+    size = len(distinct)
+    hashes = np.array([*map(xxhash.xxh64_intdigest, distinct.to_pylist()), START], np.uint64).view(np.int64)
+    before = np.r_[size, place[:-1]][: len(place)].astype(np.int64)
+    before[np.r_[True, owner[1:] != owner[:-1]][: len(place)]] = size
+    pairs, at = np.unique(before * (size + 1) + place, return_inverse=True)
+    return hashes[pairs // (size + 1)], hashes[pairs % (size + 1)], at, owner
+
+
+def hashed_bigram_counts(docs: DataFrame, text_col: str, target_col: str) -> DataFrame:
+    """(v, w, b, t): occurrences of each bigram of word hashes in all texts and in the target's."""
+
+    def run(batches):
+        for batch in batches:
+            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for low, part in slices(batch.column(0), SLICE_BYTES):
+                v, w, at, owner = hashed_bigrams(part)
+                t = np.bincount(at, target[low:][owner], len(v)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (v, w, np.bincount(at, minlength=len(v)), t))], names=["v", "w", "b", "t"])
+
+    return docs.select(text_col, target_col).mapInArrow(run, "v long, w long, b long, t long").groupBy("v", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+
+
+def _mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return v * np.int64(-0x61C8864680B583EB) ^ w
+
+
+def _scored_hashed(frequent):
+    """(id, h, text) batches -> (id, h, v, w, n, tokens, t, b), as _scored does; tokens is null but in a text's own row."""
+
+    def run(batches):
+        for batch in batches:
+            mixed, hot_v, hot_w, losses = frequent.value
+            for low, part in slices(batch.column(2), SLICE_BYTES):
+                rows = batch.slice(low, len(part))
+                v, w, place, owner = hashed_bigrams(part)
+                at = np.minimum(np.searchsorted(mixed, _mixed(v, w)), max(len(mixed) - 1, 0))
+                found = (hot_v[at] == v) & (hot_w[at] == w) if len(mixed) else np.zeros(len(v), bool)
+                known = found[place]
+                sums = [np.bincount(owner[known], x[at[place[known]]] if len(mixed) else None, len(part)) for x in losses]
+                rest, n = np.unique(owner[~known] * len(v) + place[~known], return_counts=True)
+                texts, pair = np.r_[np.arange(len(part)), rest // max(len(v), 1)], rest % max(len(v), 1)
+                none, zeros = np.zeros(len(part), np.int64), np.zeros(len(rest))
+                own = np.bincount(owner, minlength=len(part))
+                columns = [
+                    np.r_[none + OWN, v[pair]], np.r_[rows.column(1).to_numpy(), w[pair]], np.r_[none, n],
+                    pa.array(np.r_[own, np.zeros(len(rest), np.int64)], mask=np.arange(len(texts)) >= len(part)), *(np.r_[s, zeros] for s in sums),
+                ]
+                ids = [rows.column(k).take(pa.array(texts)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, columns)], names=["id", "h", "v", "w", "n", "tokens", "t", "b"])
+
+    return run
+
+
+def _sums_of_all_words(rows: DataFrame, marked: DataFrame, hashed: DataFrame, frequent: int) -> DataFrame:
+    """(id, h, all, rows, t, b): sums of every text's losses over the whole vocabulary.
+
+    Nothing of a word's or bigram's own size is held anywhere but the frequent bigrams, each of 1 / frequent of all
+    tokens; they only spare rows in the join, which has all bigrams.
     """
-    sc = docs.sparkSession.sparkContext
-    target = target_ids.select(F.col(target_ids.columns[0]).alias("target_id")).distinct()
-    target = F.broadcast(target) if target.count() <= BROADCAST_ROWS else target
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts = stored(hashed_bigram_counts(marked, "text", "target"))
+    before, after = (stored(counts.groupBy(c).agg(F.sum("b").alias(f"{c}b"), F.sum("t").alias(f"{c}t"))) for c in ("v", "w"))
+    total = after.agg(F.count(F.lit(1)).alias("size"), F.sum("wb").alias("b"), F.sum("wt").alias("t")).first()
+
+    def losses(found: DataFrame) -> DataFrame:
+        return found.join(before, "v").join(after, "w").select("v", "w", *(_loss(k, total[k] or 0, total.size).alias(f"{k}_loss") for k in ("t", "b")))
+
+    held = losses(counts.filter(F.col("b") * frequent >= (total.b or 0))).toArrow()
+    v, w, *each = (held[c].to_numpy() for c in ("v", "w", "t_loss", "b_loss"))
+    order = np.argsort(_mixed(v, w))
+    hot = rows.sparkSession.sparkContext.broadcast((_mixed(v, w)[order], v[order], w[order], [x[order] for x in each]))
+    kind = rows.schema["id"].dataType.simpleString()
+    parts = hashed.mapInArrow(_scored_hashed(hot), f"id {kind}, h long, v long, w long, n long, tokens long, t double, b double")
+    joined = parts.join(losses(counts), ["v", "w"], "left")
+    return joined.groupBy("id", "h").agg(
+        F.sum("tokens").alias("all"), F.count("tokens").alias("rows"),
+        *(F.sum(F.col(k) + F.coalesce(F.col("n") * F.col(f"{k}_loss"), F.lit(0.0))).alias(k) for k in ("t", "b")),
+    )
+
+
+def _sums_of_common_words(rows: DataFrame, marked: DataFrame, hashed: DataFrame, words: int, frequent: int) -> DataFrame:
+    """As _sums_of_all_words, over the words with at least 1 / words of all tokens."""
     vocabulary = shared_vocabulary(rows, words=words)
-    shared = sc.broadcast(pa.array(vocabulary, pa.string()))
-    marked = rows.join(target, F.col("id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("target"))
+    shared = rows.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
     losses = stored(bigram_losses(stored(bigram_counts(marked, shared, "text", "target")), len(vocabulary)))
     total = losses.agg(F.sum("b")).first()[0] or 0
     often = losses.filter(F.col("b") * frequent >= total)  # each has 1 / frequent of all tokens: `frequent` rows at most
     held = often.select("key", "target_loss", "background_loss").orderBy("key").toArrow()
-    hot = sc.broadcast((held["key"].to_numpy(), [held[c].to_numpy() for c in ("target_loss", "background_loss")]))
-    hashed = rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").withColumn("text", F.coalesce("text", F.lit("")))
+    hot = rows.sparkSession.sparkContext.broadcast((held["key"].to_numpy(), [held[c].to_numpy() for c in ("target_loss", "background_loss")]))
     kind = rows.schema["id"].dataType.simpleString()
     parts = hashed.mapInArrow(_scored(shared, hot), f"id {kind}, h long, key long, n long, tokens long, t double, b double")
     rare = losses.filter(F.col("b") * frequent < total).select(F.col("key").alias("rare"), "target_loss", "background_loss")
     joined = parts.join(rare, F.col("key") == F.col("rare"), "left")
-    sums = joined.groupBy("id", "h").agg(
+    return joined.groupBy("id", "h").agg(
         F.sum("tokens").alias("all"), F.sum(F.when(F.col("key") < 0, 1)).alias("rows"),
         *(F.sum(F.col(c) + F.coalesce(F.col("n") * F.col(x), F.lit(0.0))).alias(c) for c, x in (("t", "target_loss"), ("b", "background_loss"))),
     )
+
+
+def cross_entropy_difference(
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, frequent: int = FREQUENT,
+) -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss, score) of every document.
+
+    The background model counts all docs, the target model those whose id is in target_ids (one column, any repeats).
+    Losses are means over a document's tokens. Null, empty and white texts have no tokens, null losses and score 0. Rows
+    that repeat an id and its text give one row; rows of one id with different texts, and the null id, one for each text.
+    Without target documents the target model is uniform. Other columns take no part and do not come back.
+    """
+    target = target_ids.select(F.col(target_ids.columns[0]).alias("target_id")).distinct()
+    target = F.broadcast(target) if target.count() <= BROADCAST_ROWS else target
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = rows.join(target, F.col("id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("target"))
+    hashed = rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").withColumn("text", F.coalesce("text", F.lit("")))
+    sums = _sums_of_common_words(rows, marked, hashed, words, frequent) if words else _sums_of_all_words(rows, marked, hashed, frequent)
     mean = lambda c: F.when(F.col("all") > 0, F.col(c) / F.col("all"))
     return sums.select(
         F.col("id").alias(id_col), (F.col("all") / F.col("rows")).cast("long").alias("n_tokens"), mean("t").alias("target_loss"),
@@ -169,9 +263,18 @@ def cross_entropy_difference(
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
-    """Target: the documents labelled as good; background: all."""
+    """Target: the documents labelled as good; background: all. The vocabulary is cut as in its SQL."""
+    return _query(spark, sf_dir, WORDS)
+
+
+def op1_lm_score_all_words(spark, sf_dir: str) -> DataFrame:
+    """As op1_lm_score, with every word in the vocabulary."""
+    return _query(spark, sf_dir, None)
+
+
+def _query(spark, sf_dir: str, words: int | None) -> DataFrame:
     good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    out = cross_entropy_difference(read(spark, sf_dir, "documents"), good)
+    out = cross_entropy_difference(read(spark, sf_dir, "documents"), good, words=words)
     return out.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
