@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidegrid.llm import ann, bpe, chat, components, decontam, entries, line_dedup, lm_score, quality, sharding, simhash, token_files
+from tidegrid.llm import ann, bpe, chat, components, decontam, entries, line_dedup, lm_score, near_copies, quality, sharding, simhash, token_files
 
 ODD = [
     (1, None), (2, ""), (3, "  \n\t "), (4, "a"), (5, "one two"), (6, "Ein Wort für Wort ß É"), (7, "one two"), (7, "one two"), (None, "one two three four five six"),
@@ -162,6 +162,32 @@ def test_simhash_odd_rows(odd):
     assert 2 not in kept and 3 not in kept and 7 not in kept and kept[5] == 1
 
 
+def test_near_copies_against_all_pairs(spark, docs):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, "null id"), (10_000, "null id"), (10_001, " "), (10_002, None)]
+    for k in range(60):  # up to 20 changed words, so similarities on both sides of 0.8
+        changed = list(base)
+        for at in rng.integers(0, 300, k // 3):
+            changed[at] = f"x{k}"
+        rows.append((20_000 + k, " ".join(changed)))
+    sets = [set(near_copies.shingle_set(t, 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if (not x and not y) or (x and y and len(x & y) >= 0.8 * len(x | y) - 1e-9):
+                root = [root[a] if r == root[b] else r for r in root]
+    order = lambda k: (rows[k][0] is not None, rows[k][0] or 0)
+    want = {(rows[k][0], rows[min((j for j in range(len(rows)) if root[j] == root[k]), key=order)][0]) for k in range(len(rows))}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_copies.near_copies(d).collect()} == want
+    kept = {r.doc_id for r in corpus_pipeline.near_deduplication(spark, d, None).collect()}
+    assert kept == {c for _, c in want} and near_copies.near_copies(empty(d)).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(900, 901), (5, 5)], "src long, dst long")
     out = {r.node: r.root for r in components.connected_components(edges).collect()}
