@@ -301,6 +301,15 @@ def test_decontamination_planted(spark):
     assert {r.doc_id for r in decontam.contaminated(d, bench).collect()} == {1, 4}
 
 
+def test_decontamination_keeps_texts_of_one_item_id_apart(spark):
+    short, long = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("s", 14), ("l", 54)))
+    bench = spark.createDataFrame([(None, short), (None, long), (1, short), (1, long), (1, short)], "item_id long, text string")
+    d = spark.createDataFrame([(1, f"before {short} after"), (2, "clean text of its own words"), (3, " ".join(long.split()[:20])), (4, long)], "doc_id long, text string")
+    out = {(r.doc_id, r.item_id, r.shingles, r.held, r.containment) for r in decontam.contaminated(d, bench).collect()}
+    assert out == {(1, None, 10, 10, 1.0), (1, 1, 10, 10, 1.0), (4, None, 50, 50, 1.0), (4, 1, 50, 50, 1.0)}
+    assert {r.doc_id for r in decontam.decontaminate(d, bench).collect()} == {2, 3}
+
+
 # 8
 def test_line_dedup_removes_shared_passages(spark):
     passage = "\n".join(f"shared line {k} of the passage with some words in it" for k in range(12))

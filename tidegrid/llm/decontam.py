@@ -60,8 +60,9 @@ def contaminated(
     """(id, item, shingles, held, containment): every pair in which a document holds enough of an item.
 
     Words are lower-cased runs without ASCII white space. An item of fewer words than `length` is one shingle; an item
-    without words, or a null text on either side, matches nothing. Items that repeat match alike, and documents that
-    share an id count as one; the null id, of either side, is one too. Items that occur in any part of all documents make one row for
+    without words, or a null text on either side, matches nothing. Items that repeat match alike; of different
+    texts under one item id, the null id too, each is matched alone and the one held most is given (of equals, the one
+    of more shingles). Documents that share an id count as one; the null id is one too. Items that occur in any part of all documents make one row for
     each such document and no more.
     """
     items = stored(item_shingles(benchmark, item_col, item_text_col, length).distinct())
@@ -81,8 +82,9 @@ def contaminated(
         F.col(key).alias(id_col), F.col("item").alias(item_col), F.size("shingles").alias("shingles"),
         F.size(F.filter("shingles", lambda s: F.contains(F.col("m"), F.concat(F.lit(" "), s, F.lit(" "))))).alias("held"),
     )
-    held = exact.groupBy(id_col, item_col).agg(F.max("shingles").alias("shingles"), F.max("held").alias("held"))
-    return held.withColumn("containment", F.col("held") / F.col("shingles")).filter(F.col("containment") >= containment)
+    best = F.max(F.struct((F.col("held") / F.col("shingles")).alias("containment"), "shingles", "held")).alias("best")  # of one text each
+    held = exact.groupBy(id_col, item_col).agg(best).select(id_col, item_col, "best.shingles", "best.held", "best.containment")
+    return held.filter(F.col("containment") >= containment)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
