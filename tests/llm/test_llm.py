@@ -324,6 +324,17 @@ def test_line_dedup_removes_shared_passages(spark):
         assert sum(f"shared line {j} " in out[k] for j in range(12)) <= 4 and f"own line 0 of text {k}" in out[k] and f"tail 4 of {k}" in out[k]
 
 
+@pytest.mark.parametrize("size", [2, 3, 4, 6, 8])
+def test_line_dedup_removes_short_passages_whole(spark, size):
+    rows = []
+    for k in range(40):  # each passage in two documents of other lines
+        passage = [f"passage {k} line {j} " + "of nineteen words " * 5 for j in range(size)]
+        rows += [(2 * k + d, "\n".join([f"before {k} {d}", *passage, f"after {k} {d}"])) for d in (0, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.n) for r in line_dedup.remove_repeats(d, removed_col="n").collect()}
+    assert out == {k: (t, 0) if k % 2 == 0 else (f"before {k // 2} 1\nafter {k // 2} 1", size) for k, t in rows}
+
+
 def brute_lines(rows):
     seen, out = {}, {}
     for k, text in sorted(rows):

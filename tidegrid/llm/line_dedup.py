@@ -1,9 +1,9 @@
-"""Global removal of repeated passages by content-defined chunks of lines.
+"""Global removal of repeated passages by overlapping pairs of lines.
 
-Lines are hashed, and a rolling hash over the last WINDOW line hashes ends a chunk wherever it is a multiple of
-DIVISOR, so boundaries follow the content and not the place; a line of LONG_LINE words or more is a chunk by itself.
-Chunks whose hash occurs more than once in the whole corpus are compared by their bytes. Of equal chunks the first (by
-document id, then place) stays. A run of repeated chunks goes if it has several lines, or MIN_WORDS words in one.
+A passage of several lines that occurs twice shares each of its pairs of adjacent lines, wherever it lies, so every such
+pair is a chunk; so is a line of MIN_WORDS words or more by itself. Chunks whose hash occurs more than once in the whole
+corpus are compared by their bytes. Of equal chunks the first (by document id, then place) stays; the lines of the
+others go, and with them the whole of every passage of several lines, or of one long line, that occurs earlier.
 """
 
 from __future__ import annotations
@@ -15,33 +15,17 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import own_name, slices, stored
 
-WINDOW, DIVISOR, LONG_LINE, MIN_WORDS = 2, 2, 20, 50
+MIN_WORDS = 50
 
 #: Bits of the broadcast bitmap (8 MB) of hashes that occur more than once. It only spares bytes in a shuffle: what it
 #: lets through wrongly is sorted out by the comparison.
 BITMAP_BITS = 1 << 26
-_FACTOR, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def chunk_lines(lines: list[bytes]) -> list[tuple[int, int, int]]:
-    """(first line, line after the last, words) of each chunk."""
-    import xxhash
-
-    out, begin, words, rolling = [], 0, 0, [0] * WINDOW
-    for k, line in enumerate(lines):
-        n = len(line.split())
-        if n >= LONG_LINE and begin < k:
-            out.append((begin, k, words))
-            begin, words = k, 0
-        words += n
-        rolling = [*rolling[1:], xxhash.xxh64_intdigest(line)]
-        total = 0
-        for h in rolling:
-            total = (total * _FACTOR + h) & _MASK
-        if n >= LONG_LINE or (total >> 32) % DIVISOR == 0:
-            out.append((begin, k + 1, words))
-            begin, words = k + 1, 0
-    return [*out, (begin, len(lines), words)] if begin < len(lines) else out
+def chunk_lines(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each chunk."""
+    long = [(k, k + 1) for k, line in enumerate(lines) if len(line) >= 2 * MIN_WORDS - 1 and len(line.split()) >= MIN_WORDS]
+    return [*((k, k + 2) for k in range(len(lines) - 1)), *long]
 
 
 def chunks(text: str | None) -> list[tuple[int, bytes]]:
@@ -51,28 +35,17 @@ def chunks(text: str | None) -> list[tuple[int, bytes]]:
     if not text:
         return []
     lines = text.encode().split(b"\n")
-    parts = [b"\n".join(lines[a:b]) for a, b, _ in chunk_lines(lines)]
+    parts = [b"\n".join(lines[a:b]) for a, b in chunk_lines(lines)]
     return [(xxhash.xxh64_intdigest(p) - (1 << 63), p) for p in parts]
 
 
 def without(text: str | None, gone: list[dict] | None) -> tuple[str | None, int]:
-    """text without the chunks listed as repeated elsewhere (no, h), where a run of them is long enough; lines removed."""
+    """text without the lines of the chunks listed as repeated elsewhere (no, h); lines removed."""
     if not gone or not text:
         return text, 0
-    lines = text.encode().split(b"\n")
-    marked = {g["no"]: g["h"] for g in gone}
-    spans, hashed = chunk_lines(lines), chunks(text)
-    drop, run = [False] * len(spans), []
-    for k in range(len(spans) + 1):
-        if k < len(spans) and marked.get(k) == hashed[k][0]:
-            run.append(k)
-            continue
-        if run and (spans[run[-1]][1] - spans[run[0]][0] > 1 or sum(spans[j][2] for j in run) >= MIN_WORDS):
-            for j in run:
-                drop[j] = True
-        run = []
-    kept = [b"\n".join(lines[a:b]) for (a, b, _), d in zip(spans, drop, strict=True) if not d]
-    return b"\n".join(kept).decode(), sum(b - a for (a, b, _), d in zip(spans, drop, strict=True) if d)
+    lines, spans, hashed = text.encode().split(b"\n"), chunk_lines(text.encode().split(b"\n")), chunks(text)
+    drop = {k for g in gone if g["no"] < len(spans) and hashed[g["no"]][0] == g["h"] for k in range(*spans[g["no"]])}
+    return b"\n".join(line for k, line in enumerate(lines) if k not in drop).decode(), len(drop)
 
 
 def _chunk_rows(bitmap: np.ndarray | None):
@@ -125,7 +98,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """docs with text_col freed of repeated passages; removed_col, if named, tells how many lines of each text went.
 
-    A text all of whose chunks occur earlier becomes empty. Null and empty texts stay as they are. Rows that share an
+    A text all of whose lines go becomes empty. Null and empty texts stay as they are. Rows that share an
     id count as one document: equal chunks at one place of them all stay. The null id is a document, before all others.
     """
     name, lines = own_name(docs, "gone"), own_name(docs, removed_col or "removed")
