@@ -60,31 +60,38 @@ def test_lm_score_rare_bigrams_join_like_frequent_ones(docs):
     assert a == b
 
 
-def plain_scores(texts, target):
+def plain_scores(texts, target, words=50_000):
     split = {k: t.encode().lower().split() for k, t in texts.items()}
-    pairs = {k: list(zip([None, *w[:-1]], w, strict=True)) for k, w in split.items()}
-    size, loss = len({x for w in split.values() for x in w}), {}
+    everything = Counter(x for w in split.values() for x in w)
+    cls = {x: x if n >= (1 / words) * sum(everything.values()) else b"" for x, n in everything.items()}
+    before, loss = {k: [None, *map(cls.get, w)][: len(w)] for k, w in split.items()}, {}
     for name, ids in (("t", target), ("b", set(texts))):
-        c = Counter(p for k in ids for p in pairs[k])
-        cv, cw, n = Counter(), Counter(), max(sum(c.values()), 1)
+        own = Counter(x for k in ids for x in split[k])
+        c = Counter(p for k in ids for p in zip(before[k], map(cls.get, split[k]), strict=True))
+        cv, cw, n = Counter(), Counter(), max(sum(own.values()), 1)
         for (v, w), m in c.items():
             cv[v] += m
             cw[w] += m
-        loss[name] = lambda v, w, c=c, cv=cv, cw=cw, n=n: -np.log((0.6 * c[v, w] / cv[v] + 0.35 * cw[w] / n if cv[v] else 0.95 * cw[w] / n) + 0.05 / (size + 1))
-    return {k: np.mean([loss["t"](*x) - loss["b"](*x) for x in p]) if p else 0 for k, p in pairs.items()}
 
+        def one(v, x, own=own, c=c, cv=cv, cw=cw, n=n):
+            share = 0.6 * c[v, cls[x]] / cv[v] * own[x] / max(cw[cls[x]], 1) + 0.35 * own[x] / n if cv[v] else 0.95 * own[x] / n
+            return -np.log(share + 0.05 / (len(everything) + 1))
 
-@pytest.mark.parametrize("frequent", [500_000, 50])
-def test_lm_score_tells_every_word_apart(spark, docs, frequent):
+        loss[name] = one
+    return {k: np.mean([loss["t"](*x) - loss["b"](*x) for x in zip(before[k], w, strict=True)]) if w else 0 for k, w in split.items()}
+
+
+@pytest.mark.parametrize(("words", "frequent"), [(50_000, 500_000), (50_000, 50), (300, 3)])
+def test_lm_score_tells_every_word_apart(spark, docs, words, frequent):
     # 60,000 tokens of one word make each word met once rarer than 1 in 50,000
-    texts = {1: "common " * 60_000, 2: "rare alpha", 3: "rare beta", 4: "rare alpha", 5: "rare gamma"}
+    texts = {1: "common " * 60_000, 2: "rare alpha", 3: "rare beta", 4: "rare alpha", 5: "rare gamma", 6: ""}
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    out = {r.doc_id: r.score for r in lm_score.cross_entropy_difference(d, d.filter("doc_id = 4").select("doc_id"), frequent=frequent).collect()}
-    assert out[2] < out[3] and out == pytest.approx(plain_scores(texts, {4}), abs=1e-9)
+    out = {r.doc_id: r.score for r in lm_score.cross_entropy_difference(d, d.filter("doc_id = 4").select("doc_id"), words=words, frequent=frequent).collect()}
+    assert out[2] < out[3] and out == pytest.approx(plain_scores(texts, {4}, words), abs=1e-9)
     texts = {r.doc_id: r.text or "" for r in docs.filter("doc_id is not null").collect()}
     ids = docs.filter("doc_id % 3 = 0").select("doc_id")
-    got = {r.doc_id: r.score for r in lm_score.cross_entropy_difference(docs.filter("doc_id is not null"), ids, frequent=frequent).collect()}
-    assert got == pytest.approx(plain_scores(texts, {k for k in texts if k % 3 == 0}), abs=1e-9)
+    got = {r.doc_id: r.score for r in lm_score.cross_entropy_difference(docs.filter("doc_id is not null"), ids, words=words, frequent=frequent).collect()}
+    assert got == pytest.approx(plain_scores(texts, {k for k in texts if k % 3 == 0}, words), abs=1e-9)
 
 
 # 2
@@ -242,8 +249,8 @@ def test_token_files_against_the_library(spark, odd, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for frame in (odd, docs):
+    added = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "two  <|endoftext|>\n\n<|endoftext|>z a"), (3, "plain words"), (4, None), (5, "<|endoftext|>"), (6, "<|endoftext |>")], "doc_id long, text string")
+    for frame in (odd, added, docs):
         rows = sorted(((r.doc_id, r.text) for r in frame.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
         path = token_files.write_token_files(frame, vocabularies.path("byte_bpe_50k.json"))
         got = sorted(((r.start, r.doc_id, bytes(r.tokens)) for r in token_files.read_token_files(spark, path).collect()))

@@ -35,6 +35,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """As stored, but as Parquet, which takes less of the shared folder where there are many rows."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -81,20 +88,21 @@ def slices(column, step_bytes: int = 4 << 20):
     return [(a, column.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def map_column(df: DataFrame, column: str, make, fields: list[tuple[str, str]]) -> DataFrame:
-    """df with the columns `fields` (name, type) that make() gives.
+def map_column(df: DataFrame, column: str, make, fields: list[tuple[str, str]], step_bytes: int = 4 << 20, keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns in keep) with the columns `fields` (name, type) that make() gives.
 
     make() runs once in each task and returns a function from a slice of the string or binary column, as an Arrow array,
     to one Arrow array for each field. Slices are small, so that a task holds little however long the texts are.
     """
+    kept = df.columns if keep is None else keep
 
     def run(batches):
         import pyarrow as pa
 
         work = make()
         for batch in batches:
-            for low, part in slices(batch.column(column)):
-                rows = batch.slice(low, len(part))
-                yield pa.RecordBatch.from_arrays([*rows.columns, *work(part)], names=[*rows.schema.names, *(n for n, _ in fields)])
+            for low, part in slices(batch.column(column), step_bytes):
+                rows = [batch.column(c).slice(low, len(part)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*rows, *work(part)], names=[*kept, *(n for n, _ in fields)])
 
-    return df.mapInArrow(run, with_fields(df, fields))
+    return df.mapInArrow(run, with_fields(df.select(*kept), fields))

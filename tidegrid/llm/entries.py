@@ -15,6 +15,5 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_chat": chat.op9_chat,
     "op10_sharding": sharding.op10_sharding,
-    "op1_lm_score_all_words": lm_score.op1_lm_score_all_words,
 }
 SQL = {"op1_lm_score": lm_score.SQL_OP1, "op7_decontamination": decontam.SQL_OP7, "op9_chat": chat.SQL_OP9}

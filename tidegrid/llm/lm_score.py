@@ -2,11 +2,14 @@
 
 A target and a background bigram model share one vocabulary, one smoothing and one order, so that their losses on a token
 compare; a document's score is the mean over its tokens of target loss less background loss (nats; lower: more like the
-target). The vocabulary is every word of the background: words are 64-bit hashes, bigrams pairs of them, and both models
-are tables that are only ever joined by a shuffle, but for the frequent bigrams. With `words` given it is every word with
-at least 1 / `words` of all tokens instead, so at most `words` entries whatever the input; all other words are then one
-unknown word. A model's probability of a word after another is a fixed mixture of its bigram, unigram and uniform
-estimates; after a word that the model has not seen, the bigram's weight goes to the unigram.
+target). The vocabulary is every word of the background. Words with at least 1 / `words` of all tokens, at most `words` of
+them, are a class of their own each; all others are the class of rare words, each a member by its own count:
+
+    p(w | v) = BIGRAM p(class of w | class of v) p(w | class of w) + UNIGRAM p(w) + UNIFORM / (words of the vocabulary + 1)
+
+and after a class that the model has not seen, the bigram's weight goes to the unigram. So rare words differ from each
+other, and their counts, like those of bigrams, are tables that grow with the corpus and are joined by a shuffle. What
+tasks hold is bounded: classes, the most frequent bigrams of classes and the most frequent rare words.
 """
 
 from __future__ import annotations
@@ -17,17 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import read, slices, stored
+from tidegrid.llm.common import read, slices, written
 
 #: Shares of the bigram, unigram and uniform estimates.
 BIGRAM, UNIGRAM, UNIFORM = 0.6, 0.35, 0.05
 
-#: Bound on the vocabulary of op1_lm_score, as its SQL has it; bound on the frequent bigrams, whose losses every task holds (12 MB); rows up to which the
-#: ids of the target are broadcast.
+#: Bound on the classes of one word; bound on the bigrams and on the rare words that every task holds (12 MB each), which
+#: have a `frequent`th of all tokens each; rows up to which the ids of the target are broadcast.
 WORDS, FREQUENT, BROADCAST_ROWS = 50_000, 500_000, 1_000_000
 SLICE_BYTES = 8 << 20
-#: What stands before a text (the hash of a space, which no word is), and the v of a text's own row (of two spaces).
-START, OWN = 0x79CF5CEB668638D, -1377954210501137205
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -40,207 +41,133 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return flat.dictionary, place[real], owner[real]
 
 
-def bigram_keys(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's bigram, as one number, and its text. Id V is the unknown word, V + 1 what stands before a text."""
+def bigrams(texts: pa.Array, classes: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, each token's place in them, the classes before it and of it, and its text.
+
+    Of V classes of one word, class V is that of rare words, and V + 1 what stands before a text.
+    """
     distinct, place, owner = tokens(texts)
-    size = len(vocabulary)
-    ids = pc.index_in(distinct, value_set=vocabulary).fill_null(size).to_numpy().astype(np.int64)[place]
-    before = np.r_[size + 1, ids[:-1]][: len(ids)]
-    before[np.r_[True, owner[1:] != owner[:-1]][: len(ids)]] = size + 1
-    return before * (size + 2) + ids, owner
+    size = len(classes)
+    after = pc.index_in(distinct, value_set=classes).fill_null(size).to_numpy().astype(np.int64)[place]
+    before = np.r_[size + 1, after[:-1]][: len(after)]
+    before[np.r_[True, owner[1:] != owner[:-1]][: len(after)]] = size + 1
+    return distinct, place, before, after, owner
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts; counted in each slice before the shuffle."""
+def word_counts(marked: DataFrame) -> DataFrame:
+    """(word, b, t) over all texts and over the target's; counted in each slice before the shuffle."""
 
     def run(batches):
         for batch in batches:
-            for _, part in slices(batch.column(0), SLICE_BYTES):
-                distinct, place, _ = tokens(part)
-                n = np.bincount(place, minlength=len(distinct))
-                met = pa.array(np.flatnonzero(n))
-                yield pa.RecordBatch.from_arrays([distinct.take(met), pa.array(n).take(met)], names=["word", "n"])
-
-    return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
+            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for low, part in slices(batch.column(0), SLICE_BYTES):
+                distinct, place, owner = tokens(part)
+                b, t = (np.bincount(place, x, len(distinct)).astype(np.int64) for x in (None, target[low:][owner]))
+                met = pa.array(np.flatnonzero(b))
+                yield pa.RecordBatch.from_arrays([distinct.take(met), *(pa.array(x).take(met) for x in (b, t))], names=["word", "b", "t"])
 
-def shared_vocabulary(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> list[str]:
-    """The words with at least 1 / words of all tokens, sorted: `words` at most."""
-    counts = stored(word_counts(docs, text_col))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return sorted(r.word for r in counts.filter(F.col("n") * words >= total).select("word").collect())
+    return marked.mapInArrow(run, "word string, b long, t long").groupBy("word").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
 
 
-def bigram_counts(docs: DataFrame, vocabulary, text_col: str, target_col: str) -> DataFrame:
-    """(key, b, t): occurrences of each bigram in all texts and in the target's."""
+def bigram_counts(marked: DataFrame, classes) -> DataFrame:
+    """(v, w, b, t): occurrences of each bigram of classes in all texts and in the target's."""
 
     def run(batches):
         for batch in batches:
             target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            size = len(classes.value) + 2
             for low, part in slices(batch.column(0), SLICE_BYTES):
-                keys, owner = bigram_keys(part, vocabulary.value)
-                key, at = np.unique(keys, return_inverse=True)
-                t = np.bincount(at, target[low:][owner], len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, minlength=len(key))), pa.array(t)], names=["key", "b", "t"])
-
-    return docs.select(text_col, target_col).mapInArrow(run, "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-
+                _, _, before, after, owner = bigrams(part, classes.value)
+                key, at = np.unique(before * size + after, return_inverse=True)
+                b, t = (np.bincount(at, x, len(key)).astype(np.int64) for x in (None, target[low:][owner]))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (key // size, key % size, b, t))], names=["v", "w", "b", "t"])
 
-def bigram_losses(counts: DataFrame, size: int) -> DataFrame:
-    """(key, b, target_loss, background_loss) of every bigram; size: words in the vocabulary, which bounds what is broadcast."""
-    split = counts.withColumn("v", F.floor(F.col("key") / (size + 2))).withColumn("w", F.pmod("key", F.lit(size + 2)))
-    sums = lambda by, p: split.groupBy(by).agg(F.sum("b").alias(f"{p}b"), F.sum("t").alias(f"{p}t"))
-    total = counts.agg(F.sum("b").alias("b"), F.sum("t").alias("t")).first()
+    return marked.mapInArrow(run, "v long, w long, b long, t long").groupBy("v", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
 
-    loss = lambda k, n: _loss(k, n or 0, size)
-    joined = split.join(F.broadcast(sums("v", "v")), "v").join(F.broadcast(sums("w", "w")), "w")
-    return joined.select("key", "b", loss("t", total.t).alias("target_loss"), loss("b", total.b).alias("background_loss"))
 
+def _loss(share: Column, vocabulary: int) -> Column:
+    return -F.ln(share + F.lit(UNIFORM / (vocabulary + 1)))
 
-def _loss(k: str, n: int, size: int) -> Column:
-    """A bigram's loss from its count k, those of its words (vk, wk), all n tokens and the words in the vocabulary."""
-    unigram = F.col(f"w{k}") / F.lit(float(max(n, 1)))
-    known = F.lit(BIGRAM) * F.col(k) / F.greatest(F.col(f"v{k}"), F.lit(1)) + F.lit(UNIGRAM) * unigram
-    return -F.ln(F.when(F.col(f"v{k}") > 0, known).otherwise(F.lit(BIGRAM + UNIGRAM) * unigram) + F.lit(UNIFORM / (size + 1)))
 
-
-def _scored(vocabulary, frequent):
-    """(id, h, text) batches -> (id, h, key, n, tokens, t, b).
-
-    For each text a row with its tokens and the losses of its frequent bigrams, under a key that no bigram has, and a row
-    for each other bigram with its number.
+def _bigram_losses(counts: DataFrame, n: dict[str, int], size: int, vocabulary: int) -> tuple[DataFrame, DataFrame]:
+    """(v, w, b, t_loss, b_loss) of bigrams that end in a class of one word; (v, t_rate, b_rate) of all classes v: what an
+    occurrence of a rare word adds to its probability after v. What is broadcast has a row for each class.
     """
+    sums = lambda by: counts.groupBy(by).agg(F.sum("b").alias(f"{by}b"), F.sum("t").alias(f"{by}t"))
+    ends = F.broadcast(sums("w"))
+    joined = counts.join(F.broadcast(sums("v")), "v").join(ends, "w")
 
-    def run(batches):
-        for batch in batches:
-            hot, losses = frequent.value
-            for low, part in slices(batch.column(2), SLICE_BYTES):
-                rows = batch.slice(low, len(part))
-                keys, owner = bigram_keys(part, vocabulary.value)
-                distinct, place = np.unique(keys, return_inverse=True)
-                at = np.searchsorted(hot, distinct)
-                found = (hot[np.minimum(at, len(hot) - 1)] == distinct) if len(hot) else np.zeros(len(distinct), bool)
-                known = found[place]
-                sums = [np.bincount(owner[known], x[at[place[known]]] if len(hot) else None, len(part)) for x in losses]
-                rest, n = np.unique(owner[~known] * len(distinct) + place[~known], return_counts=True)
-                texts = np.r_[np.arange(len(part)), rest // max(len(distinct), 1)]
-                own = -1 - rows.column(1).to_numpy() % (1 << 62)  # spreads the rows that find nothing
-                zeros = np.zeros(len(rest))
-                columns = [
-                    np.r_[own, distinct[rest % max(len(distinct), 1)]], np.r_[np.zeros(len(part), np.int64), n],
-                    np.r_[np.bincount(owner, minlength=len(part)), np.zeros(len(rest), np.int64)], *(np.r_[s, zeros] for s in sums),
-                ]
-                ids = [rows.column(k).take(pa.array(texts)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, columns)], names=["id", "h", "key", "n", "tokens", "t", "b"])
-
-    return run
-
-
-def hashed_bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes v and w of the distinct bigrams, each token's place in them, and its text. START stands before a text."""
-    import xxhash
-
-    distinct, place, owner = tokens(texts)
-    size = len(distinct)
-    hashes = np.array([*map(xxhash.xxh64_intdigest, distinct.to_pylist()), START], np.uint64).view(np.int64)
-    before = np.r_[size, place[:-1]][: len(place)].astype(np.int64)
-    before[np.r_[True, owner[1:] != owner[:-1]][: len(place)]] = size
-    pairs, at = np.unique(before * (size + 1) + place, return_inverse=True)
-    return hashes[pairs // (size + 1)], hashes[pairs % (size + 1)], at, owner
+    def share(m: str) -> Column:
+        word = F.col(f"w{m}") / F.lit(float(max(n[m], 1)))
+        known = F.lit(BIGRAM) * F.col(m) / F.greatest(F.col(f"v{m}"), F.lit(1)) + F.lit(UNIGRAM) * word
+        return F.when(F.col(f"v{m}") > 0, known).otherwise(F.lit(BIGRAM + UNIGRAM) * word)
 
+    losses = joined.filter(F.col("w") < size).select("v", "w", "b", *(_loss(share(m), vocabulary).alias(f"{m}_loss") for m in "tb"))
+    each = sums("v").join(F.broadcast(counts.filter(F.col("w") == size).select("v", F.col("b").alias("rare_b"), F.col("t").alias("rare_t"))), "v", "left")
+    rare = counts.filter(F.col("w") == size).agg(*(F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in "tb")).first()
 
-def hashed_bigram_counts(docs: DataFrame, text_col: str, target_col: str) -> DataFrame:
-    """(v, w, b, t): occurrences of each bigram of word hashes in all texts and in the target's."""
+    def rate(m: str) -> Column:
+        own, word = F.coalesce(f"rare_{m}", F.lit(0)) / F.greatest(F.col(f"v{m}"), F.lit(1)), 1 / max(n[m], 1)
+        return F.when(F.col(f"v{m}") > 0, F.lit(BIGRAM) * own / F.lit(float(max(rare[m], 1))) + F.lit(UNIGRAM * word)).otherwise(F.lit((BIGRAM + UNIGRAM) * word))
 
-    def run(batches):
-        for batch in batches:
-            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for low, part in slices(batch.column(0), SLICE_BYTES):
-                v, w, at, owner = hashed_bigrams(part)
-                t = np.bincount(at, target[low:][owner], len(v)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (v, w, np.bincount(at, minlength=len(v)), t))], names=["v", "w", "b", "t"])
+    return losses, each.select("v", *(rate(m).alias(f"{m}_rate") for m in "tb"))
 
-    return docs.select(text_col, target_col).mapInArrow(run, "v long, w long, b long, t long").groupBy("v", "w").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
 
+def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each of wanted in the sorted keys; -1: none."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return np.where(keys[at] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
 
-def _mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return v * np.int64(-0x61C8864680B583EB) ^ w
 
+def _scored(classes, held):
+    """(id, h, text) batches -> (id, h, rare, v, key, n, tokens, t, b).
 
-def _scored_hashed(frequent):
-    """(id, h, text) batches -> (id, h, v, w, n, tokens, t, b), as _scored does; tokens is null but in a text's own row."""
+    For each text a row with its tokens and the losses of what the task holds, under a key that nothing has; and a row with
+    its number for each other bigram (v and key are its classes) and each other rare word (key is its hash, v the class
+    before it).
+    """
+    import xxhash
 
     def run(batches):
+        (pairs, pair_losses), (words, word_counts), rates, floor = held.value
         for batch in batches:
-            mixed, hot_v, hot_w, losses = frequent.value
+            size = len(classes.value)
             for low, part in slices(batch.column(2), SLICE_BYTES):
                 rows = batch.slice(low, len(part))
-                v, w, place, owner = hashed_bigrams(part)
-                at = np.minimum(np.searchsorted(mixed, _mixed(v, w)), max(len(mixed) - 1, 0))
-                found = (hot_v[at] == v) & (hot_w[at] == w) if len(mixed) else np.zeros(len(v), bool)
-                known = found[place]
-                sums = [np.bincount(owner[known], x[at[place[known]]] if len(mixed) else None, len(part)) for x in losses]
-                rest, n = np.unique(owner[~known] * len(v) + place[~known], return_counts=True)
-                texts, pair = np.r_[np.arange(len(part)), rest // max(len(v), 1)], rest % max(len(v), 1)
-                none, zeros = np.zeros(len(part), np.int64), np.zeros(len(rest))
-                own = np.bincount(owner, minlength=len(part))
+                distinct, place, before, after, owner = bigrams(part, classes.value)
+                rare = after == size
+                odd = np.unique(place[rare])
+                hashes, at_word = np.zeros(len(distinct), np.int64), np.full(len(distinct), -1)
+                hashes[odd] = np.array([xxhash.xxh64_intdigest(w, 42) for w in distinct.take(pa.array(odd)).to_pylist()], np.uint64).view(np.int64)
+                at_word[odd] = _place(words, hashes[odd])
+                at = np.where(rare, at_word[place], -1)
+                at[~rare] = _place(pairs, before[~rare] * (size + 2) + after[~rare])
+                key, known = np.where(rare, hashes[place], after), at >= 0
+                pair, word = known & ~rare, known & rare
+                sums = []
+                for m in (0, 1):
+                    loss = np.zeros(len(key))
+                    loss[pair] = pair_losses[m][at[pair]]
+                    loss[word] = -np.log(rates[m][before[word]] * word_counts[m][at[word]] + floor)
+                    sums.append(np.bincount(owner, loss, len(part)))
+                left = np.stack([owner, before, rare, key])[:, ~known]
+                left = left[:, np.lexsort(left[::-1])]
+                fresh = np.flatnonzero(np.r_[True, (left[:, 1:] != left[:, :-1]).any(axis=0)][: left.shape[1]])
+                table, n = left[:, fresh], np.diff(np.r_[fresh, left.shape[1]])
+                texts = np.r_[np.arange(len(part)), table[0]]
+                none, zeros = np.zeros(len(part), np.int64), np.zeros(len(n))
                 columns = [
-                    np.r_[none + OWN, v[pair]], np.r_[rows.column(1).to_numpy(), w[pair]], np.r_[none, n],
-                    pa.array(np.r_[own, np.zeros(len(rest), np.int64)], mask=np.arange(len(texts)) >= len(part)), *(np.r_[s, zeros] for s in sums),
+                    np.r_[none, table[2]].astype(bool), np.r_[none - 1, table[1]], np.r_[rows.column(1).to_numpy(), table[3]], np.r_[none, n],
+                    pa.array(np.r_[np.bincount(owner, minlength=len(part)), np.zeros(len(n), np.int64)], mask=np.arange(len(texts)) >= len(part)), *(np.r_[s, zeros] for s in sums),
                 ]
                 ids = [rows.column(k).take(pa.array(texts)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, columns)], names=["id", "h", "v", "w", "n", "tokens", "t", "b"])
+                yield pa.RecordBatch.from_arrays([*ids, *map(pa.array, columns)], names=["id", "h", "rare", "v", "key", "n", "tokens", "t", "b"])
 
     return run
 
 
-def _sums_of_all_words(rows: DataFrame, marked: DataFrame, hashed: DataFrame, frequent: int) -> DataFrame:
-    """(id, h, all, rows, t, b): sums of every text's losses over the whole vocabulary.
-
-    Nothing of a word's or bigram's own size is held anywhere but the frequent bigrams, each of 1 / frequent of all
-    tokens; they only spare rows in the join, which has all bigrams.
-    """
-    counts = stored(hashed_bigram_counts(marked, "text", "target"))
-    before, after = (stored(counts.groupBy(c).agg(F.sum("b").alias(f"{c}b"), F.sum("t").alias(f"{c}t"))) for c in ("v", "w"))
-    total = after.agg(F.count(F.lit(1)).alias("size"), F.sum("wb").alias("b"), F.sum("wt").alias("t")).first()
-
-    def losses(found: DataFrame) -> DataFrame:
-        return found.join(before, "v").join(after, "w").select("v", "w", *(_loss(k, total[k] or 0, total.size).alias(f"{k}_loss") for k in ("t", "b")))
-
-    held = losses(counts.filter(F.col("b") * frequent >= (total.b or 0))).toArrow()
-    v, w, *each = (held[c].to_numpy() for c in ("v", "w", "t_loss", "b_loss"))
-    order = np.argsort(_mixed(v, w))
-    hot = rows.sparkSession.sparkContext.broadcast((_mixed(v, w)[order], v[order], w[order], [x[order] for x in each]))
-    kind = rows.schema["id"].dataType.simpleString()
-    parts = hashed.mapInArrow(_scored_hashed(hot), f"id {kind}, h long, v long, w long, n long, tokens long, t double, b double")
-    joined = parts.join(losses(counts), ["v", "w"], "left")
-    return joined.groupBy("id", "h").agg(
-        F.sum("tokens").alias("all"), F.count("tokens").alias("rows"),
-        *(F.sum(F.col(k) + F.coalesce(F.col("n") * F.col(f"{k}_loss"), F.lit(0.0))).alias(k) for k in ("t", "b")),
-    )
-
-
-def _sums_of_common_words(rows: DataFrame, marked: DataFrame, hashed: DataFrame, words: int, frequent: int) -> DataFrame:
-    """As _sums_of_all_words, over the words with at least 1 / words of all tokens."""
-    vocabulary = shared_vocabulary(rows, words=words)
-    shared = rows.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
-    losses = stored(bigram_losses(stored(bigram_counts(marked, shared, "text", "target")), len(vocabulary)))
-    total = losses.agg(F.sum("b")).first()[0] or 0
-    often = losses.filter(F.col("b") * frequent >= total)  # each has 1 / frequent of all tokens: `frequent` rows at most
-    held = often.select("key", "target_loss", "background_loss").orderBy("key").toArrow()
-    hot = rows.sparkSession.sparkContext.broadcast((held["key"].to_numpy(), [held[c].to_numpy() for c in ("target_loss", "background_loss")]))
-    kind = rows.schema["id"].dataType.simpleString()
-    parts = hashed.mapInArrow(_scored(shared, hot), f"id {kind}, h long, key long, n long, tokens long, t double, b double")
-    rare = losses.filter(F.col("b") * frequent < total).select(F.col("key").alias("rare"), "target_loss", "background_loss")
-    joined = parts.join(rare, F.col("key") == F.col("rare"), "left")
-    return joined.groupBy("id", "h").agg(
-        F.sum("tokens").alias("all"), F.sum(F.when(F.col("key") < 0, 1)).alias("rows"),
-        *(F.sum(F.col(c) + F.coalesce(F.col("n") * F.col(x), F.lit(0.0))).alias(c) for c, x in (("t", "target_loss"), ("b", "background_loss"))),
-    )
-
-
 def cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, frequent: int = FREQUENT,
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, frequent: int = FREQUENT,
 ) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) of every document.
 
@@ -253,8 +180,39 @@ def cross_entropy_difference(
     target = F.broadcast(target) if target.count() <= BROADCAST_ROWS else target
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = rows.join(target, F.col("id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("target"))
-    hashed = rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").withColumn("text", F.coalesce("text", F.lit("")))
-    sums = _sums_of_common_words(rows, marked, hashed, words, frequent) if words else _sums_of_all_words(rows, marked, hashed, frequent)
+    share = 1 / words
+    counts = written(word_counts(marked), "words")
+    total = counts.agg(F.count(F.lit(1)).alias("size"), *(F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in "tb")).first()
+    own_class = F.col("b") >= F.lit(share * total.b)
+    spark = rows.sparkSession
+    names = sorted(r.word for r in counts.filter(own_class).select("word").collect())  # `words` at most
+    classes = spark.sparkContext.broadcast(pa.array(names, pa.string()))
+    losses, rates = _bigram_losses(written(bigram_counts(marked, classes), "bigrams"), total.asDict(), len(names), total.size)
+    losses, rates = written(losses, "losses"), written(rates, "rates")
+    rare = counts.filter(~own_class).select(F.xxhash64("word").alias("key"), "t", "b")
+    often = F.col("b") * frequent >= F.lit(total.b)  # `frequent` rows at most
+    pairs = losses.filter(often).withColumn("key", F.col("v") * (len(names) + 2) + F.col("w")).orderBy("key").toArrow()
+    some = rare.filter(often).orderBy("key").toArrow()
+    class_rates = np.zeros((2, len(names) + 2))
+    found = rates.toArrow()  # a row for each class
+    class_rates[:, found["v"].to_numpy()] = [found[f"{m}_rate"].to_numpy() for m in "tb"]
+    columns = lambda table, *names: [table[c].to_numpy() for c in names]
+    held = spark.sparkContext.broadcast((
+        (pairs["key"].to_numpy(), columns(pairs, "t_loss", "b_loss")), (some["key"].to_numpy(), columns(some, "t", "b")), class_rates, UNIFORM / (total.size + 1),
+    ))
+    hashed = rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    parts = hashed.mapInArrow(_scored(classes, held), f"id {kind}, h long, rare boolean, v long, key long, n long, tokens long, t double, b double")
+    # one table: losses of the bigrams, which have their v, and counts of the rare words, which have not
+    value = lambda c, m: F.col(c).cast("double").alias(f"{m}_value")
+    known = losses.filter(~often).select(F.lit(False).alias("rare"), "v", F.col("w").alias("key"), *(value(f"{m}_loss", m) for m in "tb"))
+    known = known.union(rare.filter(~often).select(F.lit(True), F.lit(-2).cast("long"), "key", *(value(m, m) for m in "tb")))
+    joined = parts.withColumn("at", F.when(F.col("rare"), F.lit(-2)).otherwise(F.col("v"))).join(known.withColumnRenamed("v", "at"), ["rare", "at", "key"], "left")
+    joined = joined.join(F.broadcast(rates), "v", "left")
+    more = lambda m: F.when(F.col("rare"), _loss(F.col(f"{m}_rate") * F.col(f"{m}_value"), total.size)).otherwise(F.col(f"{m}_value"))
+    sums = joined.groupBy("id", "h").agg(
+        F.sum("tokens").alias("all"), F.count("tokens").alias("rows"), *(F.sum(F.col(m) + F.coalesce(F.col("n") * more(m), F.lit(0.0))).alias(m) for m in "tb"),
+    )
     mean = lambda c: F.when(F.col("all") > 0, F.col(c) / F.col("all"))
     return sums.select(
         F.col("id").alias(id_col), (F.col("all") / F.col("rows")).cast("long").alias("n_tokens"), mean("t").alias("target_loss"),
@@ -263,18 +221,9 @@ def cross_entropy_difference(
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
-    """Target: the documents labelled as good; background: all. The vocabulary is cut as in its SQL."""
-    return _query(spark, sf_dir, WORDS)
-
-
-def op1_lm_score_all_words(spark, sf_dir: str) -> DataFrame:
-    """As op1_lm_score, with every word in the vocabulary."""
-    return _query(spark, sf_dir, None)
-
-
-def _query(spark, sf_dir: str, words: int | None) -> DataFrame:
+    """Target: the documents labelled as good; background: all."""
     good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    out = cross_entropy_difference(read(spark, sf_dir, "documents"), good, words=words)
+    out = cross_entropy_difference(read(spark, sf_dir, "documents"), good)
     return out.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
@@ -282,18 +231,17 @@ SQL_OP1 = r"""
 WITH d AS (SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS w,
   doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS target FROM documents),
 t AS (SELECT doc_id, target, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
-vocabulary AS (SELECT word FROM t GROUP BY word HAVING count(*) * 50000 >= (SELECT count(*) FROM t)),
-size AS (SELECT count(*) AS v FROM vocabulary),
-k AS (SELECT doc_id, target, pos, CASE WHEN word IN (SELECT word FROM vocabulary) THEN word ELSE '' END AS w FROM t),
+n AS (SELECT count(*) AS b, count(*) FILTER (target) AS t, count(DISTINCT word) AS size FROM t),
+words AS (SELECT word, count(*) AS b, count(*) FILTER (target) AS t, CASE WHEN count(*) >= (1.0::DOUBLE / 50000) * (SELECT b FROM n) THEN word ELSE '' END AS class FROM t GROUP BY word),
+k AS (SELECT doc_id, target, pos, word, words.b AS own_b, words.t AS own_t, class AS w FROM t JOIN words USING (word)),
 g AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), ' ') AS v FROM k),
-n AS (SELECT count(*) AS b, count(*) FILTER (target) AS t FROM g),
 c AS (SELECT v, w, count(*) AS b, count(*) FILTER (target) AS t FROM g GROUP BY v, w),
 cv AS (SELECT v, sum(b) AS b, sum(t) AS t FROM c GROUP BY v), cw AS (SELECT w, sum(b) AS b, sum(t) AS t FROM c GROUP BY w),
 p AS (SELECT v, w,
-  -ln(CASE WHEN cv.t > 0 THEN 0.6::DOUBLE * c.t / cv.t + 0.35::DOUBLE * cw.t / greatest(n.t, 1) ELSE 0.95::DOUBLE * cw.t / greatest(n.t, 1) END + 0.05::DOUBLE / (size.v + 1)) AS lt,
-  -ln(0.6::DOUBLE * c.b / cv.b + 0.35::DOUBLE * cw.b / n.b + 0.05::DOUBLE / (size.v + 1)) AS lb
-  FROM c JOIN cv USING (v) JOIN cw USING (w), n, size),
-s AS (SELECT doc_id, count(*) AS n_tokens, avg(lt) AS lt, avg(lb) AS lb FROM g JOIN p USING (v, w) GROUP BY doc_id)
+  CASE WHEN cv.t > 0 THEN 0.6::DOUBLE * c.t / cv.t / greatest(cw.t, 1) + 0.35::DOUBLE / greatest(n.t, 1) ELSE 0.95::DOUBLE / greatest(n.t, 1) END AS rt,
+  0.6::DOUBLE * c.b / cv.b / cw.b + 0.35::DOUBLE / n.b AS rb, 0.05::DOUBLE / (n.size + 1) AS floor
+  FROM c JOIN cv USING (v) JOIN cw USING (w), n),
+l AS (SELECT doc_id, count(*) AS n_tokens, avg(-ln(rt * own_t + floor)) AS lt, avg(-ln(rb * own_b + floor)) AS lb FROM g JOIN p USING (v, w) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, round(lt, 6) AS target_loss, round(lb, 6) AS background_loss, round(coalesce(lt - lb, 0), 6) AS score
-FROM d LEFT JOIN s USING (doc_id)
+FROM d LEFT JOIN l USING (doc_id)
 """
