@@ -16,11 +16,12 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import new_path, offsets_of, partitions, slices
-from tidegrid.llm.words import Remembered, encode_column
+from tidegrid.llm.words import Remembered, encode_column, gather
 
 #: Values in a word and bits of each, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -36,33 +37,50 @@ LARGEST = (1 << 60) - 2  # what a selector-15 word can hold besides the escape
 
 #: Tokens after which a block ends (with the document in hand), and words that go to the library as one text.
 BLOCK_TOKENS, JOINED = 1 << 17, 2000
+#: Values that are packed apart from others; a multiple of nearly all of COUNTS.
+SEGMENT = 480
 
 
 def encode_words(values: np.ndarray) -> np.ndarray:
-    """uint64 values -> Simple-8b words: from each value on, the selector that packs the most."""
+    """uint64 values -> Simple-8b words: from each value on, the selector that packs the most of its segment.
+
+    No word crosses from one segment of SEGMENT values to the next, so that all segments are packed in step.
+    """
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64)
-    # how many of WIDTHS are too narrow for each value
-    size = WIDTH_RANK[values] if values.max() < 1 << 16 else np.searchsorted(LIMITS, values, side="right").astype(np.uint8)
+    rows = -(-n // SEGMENT)
+    # how many of WIDTHS are too narrow for each value; after each segment comes what no word holds
+    padded = np.full(rows * SEGMENT, 255, np.uint8)
+    padded[:n] = WIDTH_RANK[values] if values.max() < 1 << 16 else np.searchsorted(LIMITS, values, side="right")
+    size = np.column_stack([padded.reshape(rows, SEGMENT), np.full(rows, 255, np.uint8)]).ravel()
     widest, span = size, 1  # the largest size in the `span` values from here on
-    packs = np.ones(n, np.uint8)
+    packs = np.ones(len(size), np.uint8)
     for s in range(14, -1, -1):
         c = int(COUNTS[s])
-        if c > n:
+        if c > min(n, SEGMENT):
             break
-        more = c - span  # two overlapping windows of `span` make one of c, as c is at most twice span
-        widest, span = np.maximum(widest[: n - c + 1], widest[more : more + n - c + 1]), c
+        more, left = c - span, len(size) - c + 1  # two overlapping windows of `span` make one of c, as c is at most twice span
+        widest, span = np.maximum(widest[:left], widest[more : more + left]), c
         fits = widest <= RANK_OF_WIDTH[int(BITS[s])]
-        packs[np.flatnonzero(fits)] = c
-    jump = (np.arange(n) + packs).tolist()
-    at, i = [], 0
-    while i < n:
-        at.append(i)
-        i = jump[i]
-    first = np.array(at)
-    chosen = SELECTOR_OF_COUNT[packs[first]]
+        if not fits.any():  # then none fits that packs more
+            break
+        packs[:left][fits] = c
+    at = np.arange(rows) * (SEGMENT + 1)
+    stop = at + SEGMENT
+    stop[-1] -= rows * SEGMENT - n
+    begins = np.zeros(len(size), bool)
+    while len(at):
+        begins[at] = True
+        at = at + packs[at]
+        inside = at < stop
+        if not inside.all():
+            at, stop = at[inside], stop[inside]
+    first = np.flatnonzero(begins)
+    packs = packs[first]
+    first -= first // (SEGMENT + 1)
+    chosen = SELECTOR_OF_COUNT[packs]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in range(2, 16):
         rows = np.flatnonzero(chosen == s)
@@ -115,23 +133,26 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         names = self.tokenizer.get_vocab()
         self.token_bytes = np.zeros(max(names.values()) + 1, np.int64)
         for name, i in names.items():
             self.token_bytes[i] = len(name)  # a byte-level name has a letter for each byte
 
         self.words = Remembered(self.letters)
+        #: What the library cuts out of a text before all else; it sees texts with any of them whole.
+        self.added = [str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def alone(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def letters(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Encodes many runs as one text of words, and cuts the ids where the words' bytes end."""
+        if not len(runs):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         sizes = np.diff(offsets_of(runs)) + 1
-        words = runs.to_pylist()
-        joined = [" " + " ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
-        ids = np.frombuffer(b"".join(self.alone(joined)), "<u4")
+        cuts = pa.array(np.minimum(np.arange(0, len(runs) + JOINED, JOINED), len(runs)), pa.int32())
+        joined = pc.binary_join_element_wise("", pc.binary_join(pa.ListArray.from_arrays(cuts, runs), " "), " ")
+        ids = np.frombuffer(b"".join(self.alone(joined.to_pylist())), "<u4")
         stop = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum(sizes)) + 1
         return ids, np.diff(np.r_[0, stop])
 
@@ -140,7 +161,17 @@ class _Encoder:
         return np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return encode_column(texts, self.words, self.marks, self.alone)
+        texts = texts.fill_null("")
+        whole = np.zeros(len(texts), bool)
+        for added in self.added:
+            whole |= pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return encode_column(texts, self.words, self.marks, self.alone)
+        ids, edges = encode_column(pc.if_else(pa.array(whole), "", texts), self.words, self.marks, self.alone)
+        rows = self.alone(texts.filter(pa.array(whole)).to_pylist())
+        begin, size, n = edges[:-1].copy(), np.diff(edges), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        begin[whole], size[whole] = len(ids) + np.cumsum(n) - n, n
+        return gather(np.concatenate([ids, np.frombuffer(b"".join(rows), "<u4")]), begin, size, np.arange(len(texts))), np.r_[0, np.cumsum(size)]
 
 
 @cache
@@ -188,13 +219,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     """Encodes every whole text, adds end_id, and writes the ids in ascending order of id; returns the folder's path.
 
     Parts are ranges of ids, so no task sees more than its range. Null texts are empty: the end id alone. The null id
-    comes first; rows of one id go by text. tokenizer: a file that every executor can open.
+    comes first; rows of one id go by the hash of their text, equal texts as they come. An empty table makes an empty
+    folder. tokenizer: a file that every executor can open.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     docs = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    order = [F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first()]
-    ranged = docs.repartitionByRange(partitions(docs), order[0], F.xxhash64("t")).sortWithinPartitions(*order)
+    order = [F.col("k").asc_nulls_first(), F.xxhash64("t")]
+    ranged = docs.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
     ranged.mapInArrow(_to_blocks(tokenizer, end_id), BLOCKS).write.parquet(path)
     return path
 

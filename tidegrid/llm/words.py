@@ -82,20 +82,29 @@ def _ends(whole: pa.Array, stem: pa.Array) -> pa.Array:
 class Remembered:
     """Runs, with the ids of those met before kept for later slices; all are forgotten beyond a number of entries."""
 
-    def __init__(self, work: Runs, entries: int = 300_000, longest: int = 48) -> None:
-        self.work, self.entries, self.longest, self.known = work, entries, longest, {}
+    def __init__(self, work: Runs, entries: int = 200_000, longest: int = 48) -> None:
+        self.work, self.entries, self.longest = work, entries, longest
+        self.forget()
+
+    def forget(self) -> None:
+        self.runs, self.ids, self.counts = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def __call__(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        words, known = runs.to_pylist(), self.known
-        fresh = [w for w in words if w not in known]
-        ids, counts = self.work(pa.array(fresh, pa.string()))
-        raw, stop = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
-        made = {w: raw[a:b] for w, a, b in zip(fresh, [0, *stop], stop, strict=False)}
-        rows = [known[w] if w in known else made[w] for w in words]
-        if len(known) + len(made) > self.entries:
-            known.clear()
-        known.update((w, x) for w, x in made.items() if len(w) <= self.longest)
-        return np.frombuffer(b"".join(rows), "<u4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        """runs: distinct strings."""
+        met = pc.index_in(runs, value_set=self.runs)
+        fresh = runs.filter(met.is_null())
+        ids, counts = self.work(fresh)
+        place = met.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.runs) + np.arange(len(fresh))
+        flat, size = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        out = gather(flat, np.cumsum(size) - size, size, place), size[place]
+        if len(self.runs) + len(fresh) > self.entries:
+            self.forget()
+        short = np.diff(offsets_of(fresh)) <= self.longest
+        if len(self.runs) + short.sum() <= self.entries:
+            self.runs = pa.concat_arrays([self.runs, fresh.filter(pa.array(short))])
+            self.ids, self.counts = np.concatenate([self.ids, ids[np.repeat(short, counts)]]), np.concatenate([self.counts, counts[short]])
+        return out
 
 
 def as_binary(data: np.ndarray, edges: np.ndarray) -> pa.Array:
