@@ -35,50 +35,61 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def item_shingles(benchmark: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """item, span (words of a shingle), shingles (distinct, as text), hashes (distinct). Items without words go."""
-    found = benchmark.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
+def item_shingles(benchmark: DataFrame, id_col: str, text_col: str, length: int, least_words: int) -> DataFrame:
+    """item, span (words of a shingle), shingles (distinct, as text), hashes (distinct); items of fewer words go.
+
+    Items whose shingles are the same are one, under the smallest of their ids, so that copies cost one search.
+    """
+    found = benchmark.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).filter(F.size("w") >= max(least_words, 1))
     found = found.withColumn("span", F.least(F.size("w"), F.lit(length))).withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
     text = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("span") + 1), lambda i: F.array_join(F.slice("w", i, F.col("span")), " "))
     hashes = F.lit(None).cast("array<bigint>")
     for k in range(1, length + 1):
         hashes = F.when(F.col("span") == k, shingle_hashes(F.col("h"), k)).otherwise(hashes)
-    return found.select("item", "span", F.array_distinct(text).alias("shingles"), F.array_distinct(hashes).alias("hashes"))
+    each = found.select("item", "span", F.sort_array(F.array_distinct(text)).alias("shingles"), F.sort_array(F.array_distinct(hashes)).alias("hashes"))
+    return each.groupBy("span", "shingles", "hashes").agg(F.min("item").alias("item"))
 
 
 def sketches(items: DataFrame, containment: float) -> DataFrame:
-    """(h, item): each item's smallest hashes, as many as its size partition needs."""
-    upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("hashes"))))
+    """(h, entry, item, least): each item's smallest hashes, as many as its size partition needs; least: the number of
+    shingles below which a document cannot hold enough of any item of the partition.
+    """
+    upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("hashes"))))  # a partition: from over half of this number up to it
     need = F.floor(upper * F.lit(1 - containment) + F.lit(1e-9)).cast("int") + 1
-    return items.select("item", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), F.least(need, F.size("hashes")))).alias("h"))
+    least = F.ceil((F.floor(upper / 2) + 1) * F.lit(containment) - F.lit(1e-9)).cast("int")
+    taken = F.slice(F.array_sort("hashes"), F.lit(1), F.least(need, F.size("hashes")))
+    return items.select("entry", "item", F.least(least, F.size("hashes")).alias("least"), F.explode(taken).alias("h"))
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, containment: float = 0.8, length: int = 5, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", least_words: int | None = None,
 ) -> DataFrame:
     """(id, item, shingles, held, containment): every pair in which a document holds enough of an item.
 
-    Words are lower-cased runs without ASCII white space. An item of fewer words than `length` is one shingle; an item
-    without words, or a null text on either side, matches nothing. Items that repeat match alike; of different
-    texts under one item id, the null id too, each is matched alone and the one held most is given (of equals, the one
-    of more shingles). Documents that share an id count as one; the null id is one too. Items that occur in any part of all documents make one row for
-    each such document and no more.
+    Words are lower-cased runs without ASCII white space. Items of fewer than least_words words (by default `length`, as
+    shorter ones occur by chance) match nothing; with a smaller least_words an item of fewer words than `length` is one
+    shingle. A null text on either side matches nothing. Items with the same shingles are one, under the smallest of
+    their ids; of different texts under one item id, the null id too, each is matched alone and the one held most is
+    given (of equals, the one of more shingles). Documents that share an id count as one; the null id is one too. Items
+    that occur in any part of all documents make one row for each such document and no more. Other columns take no part;
+    an empty table on either side gives no rows.
     """
-    items = stored(item_shingles(benchmark, item_col, item_text_col, length).distinct())
+    items = item_shingles(benchmark, item_col, item_text_col, length, length if least_words is None else least_words)
+    items = stored(items).withColumn("entry", F.xxhash64("span", "shingles"))
     keys = sketches(items, containment)
     spans = [r.span for r in items.select("span").distinct().collect()]  # at most `length` numbers
     key, text = "__doc", "__text"
     rows = docs.select(F.col(id_col).alias(key), F.col(text_col).alias(text))
-    hashed = rows.select(key, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
+    # n: no document has more shingles than words
+    hashed = rows.select(key, F.size(words(F.col(text))).alias("n"), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
     probes = F.concat(*(shingle_hashes(F.col("w"), k) for k in spans)) if spans else F.array().cast("array<bigint>")
-    probe = hashed.select(key, F.explode(probes).alias("h"))
-    pairs = stored(probe.join(small(keys, keys.count()), "h").select(F.col(key).alias("__pair"), "item").distinct())
+    probe = hashed.select(key, "n", F.explode(probes).alias("h"))
+    pairs = stored(probe.join(small(keys, keys.count()), "h").filter(F.col("n") >= F.col("least")).select(F.col(key).alias("__pair"), "entry").distinct())
     marked = F.concat(F.lit(" "), F.array_join(words(F.col(text)), " "), F.lit(" "))
-    near = rows.join(small(pairs, pairs.count()), F.col(key).eqNullSafe(F.col("__pair"))).select(key, "item", marked.alias("m"))
-    known = items.withColumnRenamed("item", "known")
+    near = rows.join(small(pairs, pairs.count()), F.col(key).eqNullSafe(F.col("__pair"))).select(key, "entry", marked.alias("m"))
     size = items.agg(F.sum(F.octet_length(F.array_join("shingles", " ")) + 8 * F.size("hashes"))).first()[0] or 0
-    exact = near.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, F.col("item").eqNullSafe(F.col("known"))).select(
+    exact = near.join(F.broadcast(items) if size <= BROADCAST_BYTES else items, "entry").select(
         F.col(key).alias(id_col), F.col("item").alias(item_col), F.size("shingles").alias("shingles"),
         F.size(F.filter("shingles", lambda s: F.contains(F.col("m"), F.concat(F.lit(" "), s, F.lit(" "))))).alias("held"),
     )
@@ -102,10 +113,10 @@ def op7_decontamination(spark, sf_dir: str) -> DataFrame:
 SQL_OP7 = r"""
 WITH d AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
 b AS (SELECT item_id, [x for x in regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) AS s FROM d),
-bs AS (SELECT DISTINCT item_id, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) AS s FROM b),
-n AS (SELECT item_id, count(*) AS shingles FROM bs GROUP BY 1),
-m AS (SELECT doc_id, item_id, count(*) AS held FROM ds JOIN bs USING (s) GROUP BY 1, 2)
+e AS (SELECT min(item_id) AS item_id, s FROM (SELECT item_id, list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])) AS s FROM b) WHERE len(s) > 0 GROUP BY s),
+ds AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) AS x FROM d),
+bs AS (SELECT item_id, s, unnest(s) AS x FROM e),
+m AS (SELECT doc_id, item_id, len(s) AS shingles, count(*) AS held FROM ds JOIN bs USING (x) GROUP BY doc_id, item_id, s)
 SELECT doc_id, item_id, CAST(shingles AS INTEGER) AS shingles, CAST(held AS INTEGER) AS held, round(held / shingles, 6) AS containment
-FROM m JOIN n USING (item_id) WHERE held / shingles >= 0.8
+FROM m WHERE held / shingles >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY held / shingles DESC, shingles DESC) = 1
 """
