@@ -103,11 +103,43 @@ def test_quality_held_out_accuracy(spark):
     assert np.mean([r.predicted == labels[r.doc_id] for r in out]) > 0.95
 
 
+def test_quality_scores_are_log_density_ratios(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows = docs.filter("doc_id is not null").select("doc_id", "text").collect()
+    x = {r.doc_id: quality.text_statistics(pa.array([r.text], pa.string()))[0] for r in rows}
+    train = [k for k in x if k in known and zlib.crc32(str(k).encode()) % 4 != 2]
+    y = np.array([known[k] for k in train])
+    z = np.array([x[k] for k in train])
+    cov = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).mean() * cov[c] for c in (0, 1))
+    logs = []
+    for c in (0, 1):
+        own = 0.98 * cov[c] + 0.02 * pooled
+        own = 0.998 * own + np.eye(z.shape[1]) * 0.002 * np.trace(own) / z.shape[1]
+        inverse, mean, prior = np.linalg.inv(own), z[y == c].mean(axis=0), ((y == c).sum() + 1) / (len(y) + 2)
+        logs.append({k: np.log(prior) - (v - mean) @ inverse @ (v - mean) / 2 - np.linalg.slogdet(own)[1] / 2 for k, v in x.items()})
+    want = {k: 1 / (1 + np.exp(np.clip(logs[0][k] - logs[1][k], -500, 500))) for k in x}
+    got = {r.doc_id: r for r in quality.op2_quality(spark, "/root/testdata/sf0.001").collect()}
+    assert {k: got[k].score for k in want} == pytest.approx(want, abs=1e-6)
+    assert all(r.predicted == (r.score >= 0.7) for r in got.values())
+
+
+def test_quality_statistics_by_hand():
+    text = "Aa bb bb! 12\n cc"
+    x = dict(zip(quality.FEATURES, quality.text_statistics(pa.array([text]))[0], strict=True))
+    share = lambda part, whole: np.arcsin(np.sqrt(part / whole))
+    size, words = len(text) + quality.EXTRA_BYTES, [2, 2, 3, 2, 2]
+    assert x["upper"] == pytest.approx(share(1, size)) and x["digit"] == pytest.approx(share(2, size)) and x["line"] == pytest.approx(share(1, size)) and x["shout"] == pytest.approx(share(1, size))
+    assert x["word_length"] == pytest.approx((sum(np.log(words)) + 8 * 1.5) / 13) and x["short_words"] == pytest.approx(share(5 + 8 * 0.35, 13)) and x["repeats"] == 0
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (5, 0), (6, 1), (8, None), (None, 1)], "doc_id long, quality int")
     model = quality.fit(odd, labels)
     out = quality.with_score(odd, model).collect()
     assert len(out) == len(ODD) and all(0 <= r["_score"] <= 1 for r in out)
+    assert quality.with_statistics(odd.withColumn("features", F.lit(1))).columns[-1] == "_features"
     none = quality.fit(empty(odd), empty(labels))
     assert {round(r["_score"], 6) for r in quality.with_score(odd, none).collect()} == {0.5}
 
@@ -164,6 +196,7 @@ def test_simhash_odd_rows(odd):
     for r in out:
         by[r.doc_id].add((r.fingerprint, r.component_id))
     assert by[1] == by[2] == by[3] == {(0, 1)} and by[7] == {(next(iter(by[5]))[0], 5)}
+    assert simhash.with_fingerprints(odd.withColumn("fingerprint", F.lit(1))).columns[-1] == "_fingerprint"
     assert len(by[None]) == 1 and simhash.near_duplicates(empty(odd)).count() == 0
     kept = Counter(r.doc_id for r in simhash.keep_first(odd).collect())
     assert 2 not in kept and 3 not in kept and 7 not in kept and kept[5] == 1
@@ -223,6 +256,50 @@ def test_neighbours_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def recall(rows, got, k=20):
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    found, hit, total = defaultdict(set), 0, 0
+    for r in got:
+        found[r.query_id].add(r.vec_id)
+    for at in np.flatnonzero(ids % 20 == 0):
+        exact = x @ x[at]
+        exact[at] = -np.inf
+        want = set(ids[np.argsort(-exact, kind="stable")[:k]].tolist())
+        assert len(found[int(ids[at])]) == len(want)
+        hit, total = hit + len(want & found[int(ids[at])]), total + len(want)
+    return hit / total
+
+
+@pytest.mark.parametrize("kind", ["array<float>", "array<double>"])
+def test_neighbours_of_vectors_of_unlike_length(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    x *= rng.choice([0.01, 0.3, 1.0], 3000)[:, None]
+    x[7] *= 60
+    rows = [(k, [float(np.float32(c)) for c in v]) for k, v in enumerate(x)]
+    d = spark.createDataFrame(rows, f"vec_id long, embedding {kind}")
+    assert recall(rows, ann.nearest(d, F.col("vec_id") % 20 == 0).collect()) >= 0.9
+
+
+def test_neighbours_visit_less_where_vectors_lie_in_clusters(spark):
+    from tidegrid.llm.common import stored
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(100, 64))
+    made = {}
+    for name, x in (("uniform", rng.normal(size=(4000, 64))), ("clusters", centres[rng.integers(0, 100, 4000)] + 0.2 * rng.normal(size=(4000, 64)))):
+        x /= np.sqrt((x**2).sum(axis=1))[:, None]
+        g = stored(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "rep long, e array<double>"))
+        made[name] = ann.fitted(g, g.filter("rep % 20 = 0"), 20)
+    assert all(m["recall"] >= 0.9 and m["products"] < 1 for m in made.values()) and made["clusters"]["share"] < 0.2 < made["uniform"]["share"]
+
+
+def test_neighbours_score_in_the_columns_own_type(spark):
+    d = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0000000001])], "vec_id long, embedding array<double>")
+    assert [r.score for r in ann.nearest(d, F.col("vec_id") == 0).collect()] == [1.0 * 2.0 + 2.0 * 1.0000000001]
+
+
 def test_neighbours_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (20, [0.5, 0.5]), (7, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (40, [])]
@@ -293,9 +370,13 @@ def test_bpe_any_text(texts):
 # 7
 def test_decontamination_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "one two"), (2, None), (3, ""), (4, "one two three four five six"), (5, "Ab aB ab ab ab"), (None, "a")], "item_id long, text string")
-    out = {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, bench).collect()}
+    out = {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, bench, least_words=1).collect()}
     assert out == {(5, 1), (7, 1), (None, 1), (None, 4), (9, 5), (4, None)}
-    assert {r.doc_id for r in decontam.decontaminate(odd, bench).collect()} == {1, 2, 3, 6, 8, 10, 11, 12}
+    assert {r.doc_id for r in decontam.decontaminate(odd, bench, least_words=1).collect()} == {1, 2, 3, 6, 8, 10, 11, 12}
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, bench).collect()} == {(None, 4), (9, 5)}
+    assert {r.doc_id for r in decontam.decontaminate(odd, bench).collect()} == {1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12}
+    copies = bench.filter("item_id = 4").withColumn("more", F.explode(F.sequence(F.lit(3), F.lit(40)))).select((F.col("item_id") + F.col("more")).alias("item_id"), F.concat(F.lit(" "), "text").alias("text"), F.lit(1).alias("__doc"))
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(odd, copies).collect()] == [(None, 7)]
     assert decontam.contaminated(empty(odd), bench).count() == 0 and decontam.contaminated(odd, bench.filter("false")).count() == 0
 
 
@@ -310,10 +391,10 @@ def test_decontamination_planted(spark):
 
 def test_decontamination_keeps_texts_of_one_item_id_apart(spark):
     short, long = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("s", 14), ("l", 54)))
-    bench = spark.createDataFrame([(None, short), (None, long), (1, short), (1, long), (1, short)], "item_id long, text string")
+    bench = spark.createDataFrame([(None, short + " a"), (None, long + " a"), (1, short), (1, long), (1, short)], "item_id long, text string")
     d = spark.createDataFrame([(1, f"before {short} after"), (2, "clean text of its own words"), (3, " ".join(long.split()[:20])), (4, long)], "doc_id long, text string")
     out = {(r.doc_id, r.item_id, r.shingles, r.held, r.containment) for r in decontam.contaminated(d, bench).collect()}
-    assert out == {(1, None, 10, 10, 1.0), (1, 1, 10, 10, 1.0), (4, None, 50, 50, 1.0), (4, 1, 50, 50, 1.0)}
+    assert out == {(1, None, 11, 10, 10 / 11), (1, 1, 10, 10, 1.0), (4, None, 51, 50, 50 / 51), (4, 1, 50, 50, 1.0)}
     assert {r.doc_id for r in decontam.decontaminate(d, bench).collect()} == {2, 3}
 
 
@@ -342,31 +423,45 @@ def test_line_dedup_removes_short_passages_whole(spark, size):
     assert out == {k: (t, 0) if k % 2 == 0 else (f"before {k // 2} 1\nafter {k // 2} 1", size) for k, t in rows}
 
 
-def brute_lines(rows):
-    seen, out = {}, {}
+def brute_lines(rows, words=50):
+    """Each text without the lines of what occurs before: pairs of neighbouring lines, and long lines."""
+    first, out = {}, {}
     for k, text in sorted(rows):
-        for no, (h, part) in enumerate(line_dedup.chunks(text)):
-            if seen.setdefault(part, (k, no)) != (k, no):
-                out.setdefault(k, []).append({"no": no, "h": h})
-    return {k: line_dedup.without(t, out.get(k))[0] for k, t in rows}
+        lines, gone = (text or "").split("\n") if text else [], set()
+        for at in range(len(lines)):
+            for span in (2, 1):
+                part = tuple(lines[at : at + span])
+                if len(part) < span or (span == 1 and len([w for w in part[0].replace("\x0b", " ").split(" ") for w in w.split()]) < words):
+                    continue
+                if first.setdefault(part, (k, at)) != (k, at):
+                    gone.update(range(at, at + span))
+        out[k] = "\n".join(x for at, x in enumerate(lines) if at not in gone) if text else text
+    return out
 
 
 def test_line_dedup_against_brute_force(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert {r.doc_id: r.text for r in line_dedup.remove_repeats(docs).collect()} == brute_lines(rows)
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(docs).collect()}
+    assert got == brute_lines(rows) and any(len(got[k] or "") < len(t or "") for k, t in rows)
 
 
 def test_line_dedup_odd_rows(odd):
     out = line_dedup.remove_repeats(odd, removed_col="n")
     assert out.columns == [*odd.columns, "n"] and out.count() == len(ODD)
+    assert Counter((r.doc_id, r.text, r.n) for r in out.collect()) == Counter((k, t, 0) for k, t in ODD)
+    assert line_dedup.remove_repeats(odd, removed_col="score").columns == [*odd.columns, "_score"]
     assert line_dedup.remove_repeats(empty(odd)).count() == 0
+    nulls = odd.sparkSession.createDataFrame([(None, "a\nb\nc"), (None, "x\na\nb"), (3, "a\nb"), (3, "z\nx\na\nb")], "doc_id long, text string")
+    assert sorted(map(repr, line_dedup.remove_repeats(nulls).collect())) == sorted(map(repr, [*nulls.filter("doc_id is null").collect(), *nulls.sparkSession.createDataFrame([(3, ""), (3, "z")], "doc_id long, text string").collect()]))
 
 
 # 9
 def test_chat_layouts(spark):
     records = [
         '{"messages":[{"role":"user","content":"hi <b> \\\\l \\"q\\""},{"role":"assistant","content":"</turn>\\n ok"}]}', '{"prompt":"p","completion":"c"}',
-        '{"instruction":"i","input":"x","output":"o"}', '{"instruction":"i","input":"","output":"o"}', '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":null}]}', '{"zzz":1}', "no json", None, '{"turns":[]}',
+        '{"instruction":"i","input":"x","output":"o"}', '{"instruction":"i","input":"","output":"o"}', '{"conversations":[{"from":"Human","value":"a"},{"from":"gpt","value":null}]}', '{"zzz":1}', "no json", None, '{"turns":[]}',
+        '{"id":7,"prompt":"p","meta":{"completion":1},"completion":"c"}', '{"messages":[{"role":"user","content":"a","name":"n"},{"content":"b"}],"model":"m"}', '{"messages":[{"role":"Assistant","content":"a"}]}', "[1]", "",
+        '{"messages": [ ]}', '{"prompt":"p","completion":"%s"}' % ("long " * 100_000),
     ]
     d = spark.createDataFrame([(k, r, "clash") for k, r in enumerate(records)], "k int, record string, layout string")
     out = {r.k: r for r in chat.format_records(d).withColumn("back", chat.parsed_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()}
@@ -374,7 +469,23 @@ def test_chat_layouts(spark):
     assert turns(0) == [("user", 'hi <b> \\l "q"'), ("assistant", "</turn>\n ok")] and out[0].loss == "</turn>\n ok"
     assert turns(1) == [("user", "p"), ("assistant", "c")] and turns(2)[0][1] == "i\n\nx" and turns(3)[0][1] == "i"
     assert turns(4) == [("user", "a"), ("assistant", "")]
-    assert out[5]["_layout"] is None and out[6].formatted is None and out[7].formatted is None and out[8].formatted in ("", None)
+    assert out[5]["_layout"] is None and out[6].formatted is None and out[7].formatted is None
+    assert out[8].formatted == "" == out[8].loss and out[8]["_layout"] == "turns" and out[8].back == out[8].loss_spans == []
+    assert turns(9) == [("user", "p"), ("assistant", "c")] and turns(10) == [("user", "a"), ("", "b")]
+    assert turns(11) == [("Assistant", "a")] and out[11].loss == "" and out[12].formatted is None and out[13].formatted is None
+    assert out[14].formatted == "" and out[15].loss == "long " * 100_000
+    assert chat.format_records(empty(d)).count() == 0
+
+
+def test_chat_rows_of_turns(spark):
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 0, "assistant", "z"), (1, 0, "assistant", "a"), (1, 0, "assistant", "a"), (2, None, None, "t"), (2, 5, "user", "x" * 200_000), (None, 3, "user", "u"), (None, 2, "user", "v")]
+    d = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, record string")
+    made = chat.format_records(chat.records_of_turns(d)).withColumn("back", chat.parsed_turns(F.col("formatted")))
+    out = {r.conv_id: [(t.role, t.text) for t in r.back] for r in made.collect()}
+    assert out == {
+        1: [("assistant", "a"), ("assistant", "a"), ("assistant", "z"), ("user", ""), ("assistant", "b")], 2: [("", "t"), ("user", "x" * 200_000)], None: [("user", "v"), ("user", "u")],
+    }
+    assert chat.records_of_turns(empty(d)).count() == 0
 
 
 # 10
@@ -386,6 +497,18 @@ def test_sharding_law(spark, odd):
         by[r["_shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert sharding.shuffle_into_shards(empty(odd)).count() == 0
+    clash = odd.withColumn("__bucket", F.lit(1)).withColumn("bucket", F.lit(2)).withColumn("place", F.lit(3)).withColumn("b", F.lit(4)).withColumn("start", F.lit(5))
+    again = sharding.shuffle_into_shards(clash, shards=4, bucket_bytes=50_000)
+    assert again.columns == [*clash.columns, "_shard", "slot"] and again.count() == len(ODD) and {(r["__bucket"], r.bucket, r.place, r.b, r.start) for r in again.collect()} == {(1, 2, 3, 4, 5)}
+
+
+def test_shards_are_folders(spark, docs):
+    import tempfile
+
+    path = tempfile.mkdtemp() + "/shards"
+    sharding.shuffle_into_shards(docs, bucket_bytes=20_000, path=path)
+    one = spark.read.parquet(f"{path}/shard=3")
+    assert one.columns == [*docs.columns, "slot"] and abs(one.count() - docs.count() / 24) < 1
 
 
 def test_sharding_order_depends_on_seed(docs):

@@ -1,13 +1,14 @@
 """Chat formatting with DataFrame functions alone.
 
-A record's layout is told by a fingerprint: the hash of its nested field paths. Each fingerprint selects a declarative
-mapping (a schema and one SQL expression) that turns prompt, instruction and message layouts into canonical turns. A
-template then marks the turns; control strings inside texts are escaped so that the text can be read back exactly.
+A record's layout is told by a fingerprint: the hash of those of its nested field paths that any layout knows. Each
+fingerprint selects a declarative mapping (a schema, one SQL expression and names of roles) that turns prompt, instruction
+and message layouts into canonical turns. A template then marks the turns; control strings inside texts are escaped so
+that the text can be read back exactly.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,41 +20,63 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """name; a record with all its fields; its schema; an expression over the parsed record r that gives the turns."""
+    """name; the field paths it needs; its schema; an expression over the parsed record r that gives the turns; roles that
+    it names otherwise (in lower case; any case counts).
+    """
 
     name: str
-    example: str
+    paths: tuple[str, ...]
     schema: str
     turns: str
+    roles: dict[str, str] = field(default_factory=dict)
 
 
 LAYOUTS = (
-    Layout("turns", '{"turns":[{"role":"a","text":"a"}]}', "turns array<struct<role:string,text:string>>",
-           "r.turns"),
-    Layout("messages", '{"messages":[{"role":"a","content":"a"}]}', "messages array<struct<role:string,content:string>>",
+    Layout("turns", ("turns[].role", "turns[].text"), "turns array<struct<role:string,text:string>>", "r.turns"),
+    Layout("messages", ("messages[].role", "messages[].content"), "messages array<struct<role:string,content:string>>",
            "transform(r.messages, m -> struct(m.role as role, m.content as text))"),
-    Layout("from_value", '{"conversations":[{"from":"a","value":"a"}]}', "conversations array<struct<`from`:string,value:string>>",
-           "transform(r.conversations, m -> struct(m.`from` as role, m.value as text))"),
-    Layout("prompt_completion", '{"prompt":"a","completion":"a"}', "prompt string, completion string",
+    Layout("from_value", ("conversations[].from", "conversations[].value"), "conversations array<struct<`from`:string,value:string>>",
+           "transform(r.conversations, m -> struct(m.`from` as role, m.value as text))",
+           {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "user": "user", "assistant": "assistant", "system": "system"}),
+    Layout("prompt_completion", ("prompt", "completion"), "prompt string, completion string",
            "array(struct('user' as role, r.prompt as text), struct('assistant' as role, r.completion as text))"),
-    Layout("prompt_response", '{"prompt":"a","response":"a"}', "prompt string, response string",
+    Layout("prompt_response", ("prompt", "response"), "prompt string, response string",
            "array(struct('user' as role, r.prompt as text), struct('assistant' as role, r.response as text))"),
-    Layout("instruction_output", '{"instruction":"a","output":"a"}', "instruction string, output string",
+    Layout("instruction_output", ("instruction", "output"), "instruction string, output string",
            "array(struct('user' as role, r.instruction as text), struct('assistant' as role, r.output as text))"),
-    Layout("instruction_input_output", '{"instruction":"a","input":"a","output":"a"}', "instruction string, input string, output string",
+    Layout("instruction_input_output", ("instruction", "input", "output"), "instruction string, input string, output string",
            "array(struct('user' as role, concat_ws('\\n\\n', r.instruction, nullif(r.input, '')) as text), struct('assistant' as role, r.output as text))"),
-    Layout("system_prompt_completion", '{"system":"a","prompt":"a","completion":"a"}', "system string, prompt string, completion string",
+    Layout("system_prompt_completion", ("system", "prompt", "completion"), "system string, prompt string, completion string",
            "array(struct('system' as role, r.system as text), struct('user' as role, r.prompt as text), struct('assistant' as role, r.completion as text))"),
 )
 
-#: Names of one role in different layouts.
-ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+_PATHS = sorted({p for x in LAYOUTS for p in x.paths})
+_LISTS = sorted({p.partition("[].")[0] for p in _PATHS if "[]." in p})
 
 
 def fingerprint(record: Column) -> Column:
-    """The hash of a JSON record's nested field paths, without the types of its values; null for what is no JSON."""
-    paths = F.schema_of_variant(F.try_parse_json(record))
-    return F.xxhash64(F.regexp_replace(paths, r"\b(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DECIMAL\(\d+,\d+\))", "")).alias("fingerprint")
+    """The hash of those nested field paths of a JSON record that any layout knows; null for what is no JSON object.
+
+    Other fields don't count. Of a list the first element's fields do; a list without elements has its own path alone.
+    Keys are read from the text, so a record may be of any size.
+    """
+    own = F.json_object_keys(record)
+    paths = [F.array_intersect(own, F.array(*(F.lit(p) for p in _PATHS if "[]." not in p)))]
+    for name in _LISTS:
+        inner = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
+        known = F.transform(inner, _under(f"{name}[]."))
+        known = F.array_intersect(known, F.array(*(F.lit(p) for p in _PATHS if p.startswith(f"{name}[]."))))
+        empty = F.get_json_object(record, f"$.{name}") == "[]"
+        paths.append(F.when(F.array_contains(own, name), F.when(empty, F.array(F.lit(f"{name}[]"))).otherwise(known)).otherwise(F.array().cast("array<string>")))
+    return F.when(own.isNotNull(), path_hash(F.concat(*paths)))
+
+
+def _under(prefix: str):
+    return lambda key: F.concat(F.lit(prefix), key)
+
+
+def path_hash(paths: Column) -> Column:
+    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), ","))
 
 
 def canonical_turns(record: str) -> tuple[Column, Column]:
@@ -61,12 +84,22 @@ def canonical_turns(record: str) -> tuple[Column, Column]:
     print_ = fingerprint(F.col(record))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in LAYOUTS:
-        here = print_ == fingerprint(F.lit(x.example))
+        forms = [x.paths, (f"{x.paths[0].partition('.')[0]}",)] if "[]." in x.paths[0] else [x.paths]
+        here = F.coalesce(print_.isin(*(path_hash(F.array(*map(F.lit, p))) for p in forms)), F.lit(False))
         mapped = F.expr(f"transform(array(from_json(`{record}`, '{x.schema}')), r -> {x.turns})[0]").cast(TURNS)
-        name, turns = F.when(here, F.lit(x.name)).otherwise(name), F.when(here, mapped).otherwise(turns)
-    role = F.create_map(*(F.lit(v) for kv in ROLES.items() for v in kv))
-    clean = F.transform(turns, lambda t: F.struct(F.coalesce(role[F.lower(t["role"])], t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return name, clean
+        name, turns = F.when(here, F.lit(x.name)).otherwise(name), F.when(here, F.transform(mapped, _cleaned(x.roles))).otherwise(turns)
+    return name, turns
+
+
+def _cleaned(roles: dict[str, str]):
+    """A turn -> the same with its role by the other names, and empty texts for nulls."""
+    known = F.create_map(*(F.lit(v) for kv in roles.items() for v in kv)) if roles else None
+
+    def turn(t: Column) -> Column:
+        role = t["role"] if known is None else F.coalesce(known[F.lower(t["role"])], t["role"])
+        return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
+
+    return turn
 
 
 def escaped(text: Column) -> Column:
@@ -84,8 +117,9 @@ def format_records(records: DataFrame, record_col: str = "record") -> DataFrame:
     A turn is `<turn role="ROLE">`, a newline, its escaped text, a newline, `</turn>` and a newline. loss_spans has
     start and stop, in code points of formatted, of each assistant text, in order. A null role or text is an empty one.
     Records of an unknown layout, null records and what is no JSON keep their row with nulls in the added columns; a
-    record without turns has an empty text. Rows are formatted alone; other columns stay, and an added column whose
-    name is taken gets underscores in front.
+    record with an empty list of turns has an empty text and no spans. A record's other fields don't count; a field that
+    should be a text and is a list or an object counts as its JSON. Rows are formatted alone, equal ones alike; other
+    columns stay, and an added column whose name is taken gets underscores in front. An empty table stays empty.
     """
     layout, turns, pieces, formatted, spans = (own_name(records, x) for x in ("layout", "turns", "pieces", "formatted", "loss_spans"))
     name, canonical = canonical_turns(record_col)
@@ -130,7 +164,8 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 def records_of_turns(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """One JSON record of the layout "turns" for each conversation, from one row for each turn (turn, role, text).
 
-    Turns go by number, ties by role and then text; repeated rows stay. Rows with a null id form one conversation.
+    Turns go by number (null: first), ties by role and then text; repeated rows stay. Rows with a null id form one
+    conversation. A conversation is one row, however long; other columns take no part; an empty table gives no rows.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(turn)).alias("t"))
