@@ -18,6 +18,8 @@ CLASSES = {
 }
 FEATURES = (*CLASSES, "word_length", "word_spread", "short_words", "repeats", "fresh_words")
 D = len(FEATURES)
+#: Bytes of text that a task works on at once; the statistics take some twenty bytes for each.
+SLICE_BYTES = 1 << 20
 #: Bytes and words of ordinary text that each text is taken to hold besides its own, so that the shares of a short one
 #: stay moderate: such a word's log length, its variance, and the share of words of three letters or fewer.
 EXTRA_BYTES, EXTRA_WORDS, WORD, WORD_VARIANCE, SHORT = 40, 8, 1.5, 0.35, 0.35
@@ -135,6 +137,12 @@ def moments(labelled: DataFrame, features: str = "features", label: str = "label
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text", out_col: str = "features") -> DataFrame:
+    """docs with the statistics of each whole text, under a name that docs hasn't (underscores go in front).
+
+    Null texts count as empty ones. Each row stands alone, so repeated rows and groups of copies change nothing; an empty
+    table stays empty.
+    """
+
     def make():
         def work(texts):
             x = text_statistics(texts)
@@ -142,7 +150,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", out_col: str = "fea
 
         return work
 
-    return map_column(docs, text_col, make, [(out_col, "array<double>")])
+    return map_column(docs, text_col, make, [(own_name(docs, out_col), "array<double>")], SLICE_BYTES)
 
 
 def held_out(id_column: Column) -> Column:
@@ -153,7 +161,8 @@ def held_out(id_column: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model from all labelled documents that are not held out. Null ids and labels other than 0 and 1 take no part.
 
-    Statistics, not texts, go to the labels. The model is a few kilobytes.
+    Statistics, not texts, go to the labels. The model is a few kilobytes. A document that repeats, or that has several
+    labels, counts once for each pair of rows. Without labelled documents, an empty table included, every text scores 0.5.
     """
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col(id_col)))
     rows = with_statistics(docs.select(id_col, text_col).filter(~held_out(F.col(id_col)))).select(id_col, "features")
@@ -161,12 +170,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs with the score (0 to 1; higher: class 1 likelier) of each whole text; null texts score as empty ones."""
+    """docs with the score (0 to 1; higher: class 1 likelier) of each whole text, under a name that docs hasn't.
+
+    Null texts score as empty ones, equal texts alike; repeated rows each keep a row, an empty table stays empty.
+    """
 
     def make():
         return lambda texts: [pa.array(model.score(text_statistics(texts)))]
 
-    return map_column(docs, text_col, make, [(own_name(docs, out_col), "double")])
+    return map_column(docs, text_col, make, [(own_name(docs, out_col), "double")], SLICE_BYTES)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
