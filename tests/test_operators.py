@@ -16,6 +16,63 @@ def test_asof_ties_nulls_and_later_rows(spark):
     assert run(tolerance=0) == {1: "y", 2: None, 3: None, 4: None}
 
 
+def test_asof_takes_the_place_of_a_column_of_that_name(spark):
+    probes = spark.createDataFrame([(1, 5, "own"), (2, 1, "own")], "k int, t long, v string")
+    states = spark.createDataFrame([(1, 4, "found"), (2, 4, "late")], "k int, t long, v string")
+    got = asof.asof_join(probes, states, ["k"], "t", ["v"])
+    assert got.columns == ["k", "t", "v"] and sorted((r.k, r.v or "") for r in got.collect()) == [(1, "found"), (2, "")]
+    got = asof.asof_or_default(probes, states, ["k"], "t", ["v"], {"v": F.lit("none")})
+    assert sorted((r.k, r.v) for r in got.collect()) == [(1, "found"), (2, "none")]
+    got = asof.asof_guarded(probes, states, ["k"], "t", ["v"], F.col("t") > 5)
+    assert sorted((r.k, r.v) for r in got.collect()) == [(1, None), (2, None)]
+
+
+def test_intervals_without_end_and_overlaps(spark):
+    points = spark.createDataFrame([(1, 0), (1, 5), (1, 1000), (2, 5), (1, None)], "k int, t long")
+    spans = spark.createDataFrame([(1, 0, 5, "a"), (1, 4, None, "b"), (1, 9, 7, "never"), (2, None, 9, "none")], "k int, s long, e long, n string")
+    got = sorted((r.k, r.t, r.n) for r in asof.interval_join(points, spans, ["k"], "t", "s", "e", 10).collect())
+    assert got == [(1, 0, "a"), (1, 5, "b"), (1, 1000, "b")]
+    got = sorted((r.k, r.t, r.n) for r in asof.interval_join(points, spans, ["k"], "t", "s", "e", 10, closed=True).collect())
+    assert got == [(1, 0, "a"), (1, 5, "a"), (1, 5, "b"), (1, 1000, "b")]
+    rows = spark.createDataFrame([(1, 6, 8), (1, 5, 5), (1, 0, 100), (1, 8, 6), (2, 0, 9), (1, None, 5)], "k int, a long, b long")
+    got = sorted((r.k, r.a, r.b) for r in asof.overlaps(rows, spans, ["k"], "s", "e", "a", "b").collect())
+    assert got == [(1, 0, 100), (1, 5, 5)]
+
+
+def test_transitions_through_a_null_state(spark):
+    rows = spark.createDataFrame([("k", 1, "x"), ("k", 2, None), ("k", 3, None), ("k", 4, "a")], "k string, t int, s string")
+    got = [(r.changes, r.previous) for r in sequence.transitions(rows, ["k"], ["t"], "s").orderBy("t").collect()]
+    assert got == [(1, None), (2, "x"), (2, "x"), (3, None)]
+
+
+def test_null_keys_compare_and_overlay(spark):
+    a = spark.createDataFrame([(None, "x"), (1, "y"), (2, None)], "k int, v string")
+    b = spark.createDataFrame([(None, "z"), (2, None), (3, "w")], "k int, v string")
+    assert tuple(relations.compared(a, b, ["k"], ["v"]).first()) == (2, 1, 1, 1, 0)
+    got = {(r.k, r.v, r.overlaid) for r in relations.overlaid(a, b, ["k"], ["v"]).collect()}
+    assert got == {(None, "z", True), (1, "y", False), (2, None, True), (3, "w", True)}
+
+
+def test_bootstrap_equals_naive_resampling(spark):
+    import hashlib
+
+    import numpy as np
+
+    rows = [(f"m{k % 5}", 0.1 + 0.8 * (k * 7 % 11) / 11, 0.5, k % 2, 1.0 + k % 3) for k in range(40)] + [("m0", None, 0.5, 1, 9.0), ("m9", 0.2, None, 1, 9.0)]
+    d = spark.createDataFrame(rows, "m string, p double, q double, y int, w double")
+    got = {r.metric: (r.value, r.low, r.high) for r in evaluate.cluster_bootstrap(d, "m", other="q", rounds=50).collect()}
+    seen = [r for r in rows if None not in r]
+    loss = {"log_loss": lambda p, y: -np.log(p if y else 1 - p), "brier": lambda p, y: (p - y) ** 2}
+    for metric, f in loss.items():
+        mean = lambda taken: sum(w * (f(p, y) - f(q, y)) for m in taken for k, p, q, y, w in seen if k == m) / sum(r[4] for m in taken for r in seen if r[0] == m)  # noqa: B023, E731
+        names = sorted({r[0] for r in seen})
+        draws = [[names[int(hashlib.md5(f"7|{r * 5 + k}".encode()).hexdigest()[:13], 16) % 5] for k in range(5)] for r in range(50)]
+        each = [mean(taken) for taken in draws]
+        assert got[metric] == pytest.approx((mean(names), np.percentile(each, 2.5), np.percentile(each, 97.5)), abs=1e-12)
+    with pytest.raises(ValueError, match="resampled"):
+        evaluate.cluster_bootstrap(d.filter("m = 'm1'"), "m")
+
+
 def test_min_gap_with_holes(spark):
     rows = spark.createDataFrame([("m", t) for t in (3, 9, 70, 80, 140, 141)] + [("n", None), ("n", 1)], "k string, t long")
     assert sorted((r.k, r.t) for r in sequence.min_gap(rows, ["k"], "t", 64).collect()) == [("m", 3), ("m", 70), ("m", 140), ("n", 1)]

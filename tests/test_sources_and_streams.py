@@ -15,6 +15,16 @@ def test_jsonl(spark, tmp_path):
         tables.read_jsonl(spark, str(tmp_path), "a int, b struct<c:string>").collect()
     assert tables.read_jsonl(spark, str(tmp_path), "a int", strict=False).count() == 3
     assert tables.list_files(spark, str(tmp_path), "*.jsonl").count() == 2
+    with pytest.raises(FileNotFoundError):
+        tables.list_files(spark, str(tmp_path), "*.csv")
+
+
+def test_upserts_of_a_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, at int, v string")
+    state.upsert_into(str(tmp_path / "o"), ["k"], ["at"])(rows, 0)
+    assert sorted((r.k, r.v) for r in state.latest(spark.read.parquet(str(tmp_path / "o")), ["k"]).collect()) == [(1, "b"), (2, "c")]
+    with pytest.raises(Exception, match="repeats"):
+        state.upsert_into(str(tmp_path / "p"), ["k"])(rows, 0)
 
 
 def test_splits_and_sinks(spark, tmp_path):

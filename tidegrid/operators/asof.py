@@ -16,7 +16,7 @@ def asof_join(
 
     Keys are equal on both sides and `on` orders both. strict leaves out states at the probe's own time; tolerance
     (inclusive) is the largest distance. Of states at one time the last by `ties` counts (forward: the first). A state's
-    null value is a value. One shuffle by keys; with `span`, a key's time is cut into stretches of that length which
+    null value is a value. Where probes have a column of a value's name, the value found takes its place. One shuffle by keys; with `span`, a key's time is cut into stretches of that length which
     are worked on apart, each with the state that comes in from the stretches before it, so a hot key is no one task's.
     """
     sign = 1 if direction == "backward" else -1
@@ -42,7 +42,7 @@ def asof_join(
         rows = rows.join(carried, match, "left").withColumn("__found", F.coalesce("__found", "__in")).drop("__part", "__in", *(f"__in_{p}" for p in parts))
     if tolerance is not None:
         rows = rows.withColumn("__found", F.when(F.abs(F.col(on) - F.col("__found.at")) <= tolerance, F.col("__found")))
-    return rows.select(*probes.columns, *(F.col(f"__found.v{k}").alias(v) for k, v in enumerate(values)))
+    return rows.select(*(c for c in probes.columns if c not in values), *(F.col(f"__found.v{k}").alias(v) for k, v in enumerate(values)))
 
 
 def asof_or_default(probes: DataFrame, states: DataFrame, keys, on, values, defaults: dict[str, Column], **how) -> DataFrame:
@@ -57,7 +57,7 @@ def asof_guarded(probes: DataFrame, states: DataFrame, keys, on, values, guard:
     names = [*values, *(g for g in guard_values if g not in values)]
     rows = asof_join(probes, states, keys, on, names, **how)
     kept = rows.withColumns({f"__{v}": F.when(guard, F.col(v)) for v in values})
-    return kept.select(*probes.columns, *(F.col(f"__{v}").alias(v) for v in values))
+    return kept.select(*(c for c in probes.columns if c not in values), *(F.col(f"__{v}").alias(v) for v in values))
 
 
 def asof_index(probes: DataFrame, states: DataFrame, keys, on, name: str = "index", clamp: bool = False) -> DataFrame:
@@ -70,22 +70,26 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys, on: str, start:
     """Pairs of a point and an interval [start, end) of the same keys that holds it (closed: [start, end]).
 
     Intervals are listed under each stretch of `width` that they touch, so the join is on equal keys and stretch;
-    choose width near the usual interval length. A null end never ends and is listed up to the last point.
+    choose width near the usual interval length. An interval with a null end never ends: it is in no stretch, and joins
+    on the keys alone, as it holds every later point anyway.
     """
-    last = points.agg(F.max(on).alias("__last"))
-    open_end = intervals.crossJoin(F.broadcast(last)).withColumn("__to", F.coalesce(end, F.greatest("__last", F.col(start)) + 1))
-    inside = open_end.filter(F.col("__to") >= F.col(start))
-    listed = inside.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col("__to") / width)))).drop("__last")
+    ended = intervals.filter(F.col(end) >= F.col(start))
+    listed = ended.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     binned = points.withColumn("__bin", F.floor(F.col(on) / width))
-    within = (F.col(on) >= F.col(start)) & ((F.col(on) <= F.col("__to")) if closed else (F.col(on) < F.col("__to")))
-    return binned.join(listed, [*keys, "__bin"]).filter(within).drop("__bin", "__to")
+    within = (F.col(on) >= F.col(start)) & ((F.col(on) <= F.col(end)) if closed else (F.col(on) < F.col(end)))
+    found = binned.join(listed, [*keys, "__bin"]).filter(within).drop("__bin")
+    return found.unionByName(points.join(intervals.filter(F.col(end).isNull()), list(keys)).filter(F.col(on) >= F.col(start)))
 
 
 def overlaps(rows: DataFrame, intervals: DataFrame, keys, start: str, end: str, a: str, b: str) -> DataFrame:
-    """rows [a, b] that meet any interval [start, end] of their keys; each row once."""
-    other = intervals.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(start).alias("__s"), F.col(end).alias("__e"))
-    on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("__e") >= F.col(a), F.col("__s") <= F.col(b)]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return rows.join(other, cond, "left_semi")
+    """rows [a, b] that meet any interval [start, end] of their keys; each row once.
+
+    Of the intervals that begin up to b, the one that ends last ends at a or later: one as-of join on running maxima, so
+    no row meets more than one interval. Rows and intervals with a null bound, or that end before they begin, meet none.
+    """
+    fine = intervals.filter(F.col(end) >= F.col(start)).select(*keys, F.col(start).alias("__b"), F.col(end).alias("__end"))
+    latest = fine.groupBy(*keys, "__b").agg(F.max("__end").alias("__end"))
+    so_far = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = latest.withColumn("__end", F.max("__end").over(so_far))
+    probes = rows.filter(F.col(b) >= F.col(a)).withColumn("__b", F.col(b))
+    return asof_join(probes, latest, keys, "__b", ["__end"]).filter(F.col("__end") >= F.col(a)).drop("__b", "__end")

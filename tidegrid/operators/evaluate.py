@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,27 +130,34 @@ def weighted_loss(df: DataFrame, sample: str, loss: str, weight: str, total: flo
 
 
 def cluster_bootstrap(df: DataFrame, match: str, p: str = "p", other: str | None = None, y: str = "y", w: str = "w", rounds: int = 1000, seed: int = 7) -> DataFrame:
-    """(mean, low, high) of the weighted log loss, or of its difference from `other`'s, resampling matches.
+    """(metric, value, low, high) of the weighted log loss and Brier score, or of their differences from `other`'s, with the
+    2.5th and 97.5th percentile over resamples of the matches; metric is log_loss or brier.
 
-    Each match is summed to two numbers in Spark. A match's count in a resample is Poisson(1), drawn from a seed and
-    the match, so resamples are summed in Spark too, whatever the number of matches.
+    Only rows with a prediction (of both, if other is given) take part. Each match is summed in Spark. A resample draws n
+    of the n matches with replacement: the k-th draw of round r is a hash of (seed, r, k), so the same whatever the
+    partitions, and rounds are summed in Spark. n is the number of matches, so a table has n times rounds draws. Fewer
+    than two matches fail.
     """
     clip = lambda c: F.greatest(F.least(F.col(c), F.lit(1 - EDGE)), F.lit(EDGE))
-    loss = lambda c: -F.when(F.col(y) == 1, F.ln(clip(c))).otherwise(F.ln(1 - clip(c)))
-    value = loss(p) - loss(other) if other else loss(p)
-    sums = df.groupBy(F.col(match).cast("string").alias("m")).agg(F.sum(F.col(w) * value).alias("s"), F.sum(w).alias("w"))
-
-    def resample(batches):
-        import pyarrow as pa
-        import xxhash
-
-        total = np.zeros((rounds, 2))
-        for b in batches:
-            for m, s, weight in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                n = np.random.default_rng([seed, xxhash.xxh64_intdigest(str(m))]).poisson(1, rounds)
-                total += n[:, None] * (s, weight)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["r", "s", "w"])
-
-    each = sums.mapInArrow(resample, "r long, s double, w double").groupBy("r").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("v"))
-    whole = sums.agg((F.sum("s") / F.sum("w")).alias("mean"))
-    return whole.crossJoin(each.agg(F.expr("percentile(v, 0.025)").alias("low"), F.expr("percentile(v, 0.975)").alias("high")))
+    log_loss = lambda c: -F.when(F.col(y) == 1, F.ln(clip(c))).otherwise(F.ln(1 - clip(c)))
+    brier = lambda c: (F.col(c) - F.col(y)) * (F.col(c) - F.col(y))
+    seen = F.col(p).isNotNull() & (F.col(other).isNotNull() if other else F.lit(True))
+    value = lambda f: F.sum(F.col(w) * (f(p) - f(other) if other else f(p)))
+    sums = df.filter(seen).groupBy(F.col(match).cast("string").alias("m")).agg(value(log_loss).alias("log_loss"), value(brier).alias("brier"), F.sum(w).alias("w"))
+    numbered = sums.withColumn("place", F.row_number().over(Window.orderBy("m")) - 1)  # one row a match
+    total = sums.count()
+    if total < 2:
+        raise ValueError(f"{total} matches cannot be resampled")
+    draws = df.sparkSession.range(rounds * total).select((F.col("id") / total).cast("long").alias("r"), draw(F.col("id"), total, seed).alias("place"))
+    times = draws.groupBy("r", "place").agg(F.count(F.lit(1)).alias("times"))
+    mean = lambda c, n=F.lit(1): F.sum(F.col(c) * n) / F.sum(F.col("w") * n)
+    each = times.join(numbered, "place").groupBy("r").agg(mean("log_loss", F.col("times")).alias("log_loss"), mean("brier", F.col("times")).alias("brier"))
+    bounds = lambda c: F.struct(F.lit(c).alias("metric"), F.expr(f"percentile({c}, 0.025)").alias("low"), F.expr(f"percentile({c}, 0.975)").alias("high"))
+    ranges = each.agg(F.array(bounds("log_loss"), bounds("brier")).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    whole = sums.agg(F.array(*(F.struct(F.lit(c).alias("metric"), mean(c).alias("value")) for c in ("log_loss", "brier"))).alias("x"))
+    return whole.select(F.explode("x").alias("x")).select("x.*").join(ranges, "metric").select("metric", "value", "low", "high")
+
+
+def draw(number: Column, below: int, seed: int) -> Column:
+    """A number from 0 to below - 1 by the first 13 hex digits of a hash, which any SQL has."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), number.cast("string"))), 1, 13), 16, 10).cast("long") % F.lit(below)).cast("int")

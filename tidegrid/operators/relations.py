@@ -26,13 +26,15 @@ def unique_lookup(df: DataFrame, lookup: DataFrame, keys: Names, how: str = "inn
 def compared(a: DataFrame, b: DataFrame, keys: Names, columns: Names) -> DataFrame:
     """One row: both, only_a, only_b, differing (rows of both whose columns are not equal), repeated (keys on a side).
 
+    Null keys equal each other.
+
     A companion table is whole and true to its base if all but both are 0.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
         mark = F.struct(*columns).alias(name) if columns else F.lit(1).alias(name)
         return df.groupBy(*keys).agg(F.first(mark).alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
 
-    both = side(a, "__a").join(side(b, "__b"), list(keys), "full")
+    both = _full(side(a, "__a"), side(b, "__b"), keys)
     here, there = F.col("__a_n").isNotNull(), F.col("__b_n").isNotNull()
     return both.agg(
         F.count_if(here & there).alias("both"), F.count_if(~there).alias("only_a"), F.count_if(~here).alias("only_b"),
@@ -41,6 +43,15 @@ def compared(a: DataFrame, b: DataFrame, keys: Names, columns: Names) -> DataFra
     )
 
 
+def _full(a: DataFrame, b: DataFrame, keys: Names) -> DataFrame:
+    """The full join on keys, null equal to null, with one column for each key."""
+    other = b.withColumnsRenamed({k: f"__{k}" for k in keys}).withColumn("__there", F.lit(True))
+    rows = a.join(other, [a[k].eqNullSafe(other[f"__{k}"]) for k in keys], "full")
+    named = [F.when(F.col("__there"), F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys]
+    rest = [c for c in (*a.columns, *b.columns) if c not in keys]
+    return rows.select(*named, *rest)
+
+
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """The rows that one side has more often than the other, with side a or b."""
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
@@ -53,9 +64,12 @@ def paired(a: DataFrame, b: DataFrame, keys: Names, group: Names, weight: str =
 
 
 def overlaid(base: DataFrame, overlay: DataFrame, keys: Names, columns: Names) -> DataFrame:
-    """base with overlay's rows in place of those of the same key, and overlay's other rows added; overlaid tells which."""
+    """base with overlay's rows in place of those of the same key, and overlay's other rows added; overlaid tells which.
+
+    Null keys equal each other.
+    """
     over = overlay.select(*keys, F.struct(*columns).alias("__new"))
-    out = base.select(*keys, F.struct(*columns).alias("__old")).join(over, list(keys), "full")
+    out = _full(base.select(*keys, F.struct(*columns).alias("__old")), over, keys)
     pick = F.coalesce("__new", "__old")
     return out.select(*keys, *(pick[c].alias(c) for c in columns), F.col("__new").isNotNull().alias("overlaid"))
 

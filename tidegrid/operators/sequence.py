@@ -27,16 +27,18 @@ def change_only(df: DataFrame, keys: Names, order: Names, signature: Names) -> D
 def transitions(df: DataFrame, keys: Names, order: Names, state: str, was: dict[str, str] | None = None) -> DataFrame:
     """Adds changes (so far, the first row counts), previous (state before the current run) and sticky flags.
 
+    A null state is a state: it begins a run, and is the previous one of the next.
+
     was: flag name -> state; the flag is true from the first row with that state on.
     """
     so_far = _so_far(keys, order)
     before = F.lag(state).over(_w(keys, order))
     fresh = (~F.col(state).eqNullSafe(before)) | (F.row_number().over(_w(keys, order)) == 1)
     marked = df.withColumn("__b", before).withColumn("__c", fresh)
-    out = marked.withColumn("changes", F.sum(F.col("__c").cast("long")).over(so_far)).withColumn("previous", F.last(F.when(F.col("__c"), F.struct("__b"))["__b"], True).over(so_far))
+    out = marked.withColumn("changes", F.sum(F.col("__c").cast("long")).over(so_far)).withColumn("__p", F.last(F.when(F.col("__c"), F.struct("__b")), True).over(so_far)).withColumn("previous", F.col("__p.__b"))
     for name, value in (was or {}).items():
         out = out.withColumn(name, F.max(F.coalesce(F.col(state) == value, F.lit(False))).over(so_far))
-    return out.drop("__b", "__c")
+    return out.drop("__b", "__c", "__p")
 
 
 def since_change(df: DataFrame, keys: Names, on: str, state: str, name: str = "since", ties: Names = ()) -> DataFrame:

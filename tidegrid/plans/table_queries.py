@@ -140,9 +140,15 @@ def a27_slices(e):
     return _r(evaluate.metrics(sliced, ["slice"]), *_METRICS)
 
 
-@query(predictions, PR)
+@query(predictions, PR, """, l AS (SELECT source AS m, sum(w * -ln(CASE WHEN y = 1 THEN least(greatest(p, 1e-6), 1 - 1e-6) ELSE 1 - least(greatest(p, 1e-6), 1 - 1e-6) END)) AS a, sum(w * (p - y) * (p - y)) AS b, sum(w) AS w FROM e WHERE p IS NOT NULL GROUP BY source),
+k AS (SELECT *, row_number() OVER (ORDER BY m) - 1 AS place, count(*) OVER () AS n FROM l),
+i AS (SELECT unnest(range(0, 1000 * (SELECT count(*) FROM l))) AS i, (SELECT count(*) FROM l) AS n),
+d AS (SELECT i // n AS r, CAST('0x' || substr(md5('7|' || i), 1, 13) AS BIGINT) % n AS place FROM i),
+v AS (SELECT r, sum(a) / sum(w) AS a, sum(b) / sum(w) AS b FROM d JOIN k USING (place) GROUP BY r)
+SELECT 'log_loss' AS metric, round((SELECT sum(a) / sum(w) FROM l), 6) AS value, round(quantile_cont(a, 0.025), 6) AS low, round(quantile_cont(a, 0.975), 6) AS high FROM v
+UNION ALL SELECT 'brier', round((SELECT sum(b) / sum(w) FROM l), 6), round(quantile_cont(b, 0.025), 6), round(quantile_cont(b, 0.975), 6) FROM v""")
 def a28_cluster_bootstrap(e):
-    return evaluate.cluster_bootstrap(e.filter(F.col("p").isNotNull()), "source")
+    return _r(evaluate.cluster_bootstrap(e, "source"), "value", "low", "high")
 
 
 @query(predictions, PR, " SELECT count(*) AS rows, count(DISTINCT doc_id) AS keys, count(DISTINCT (source, lang)) AS groups, (SELECT count(*) FROM (SELECT 1 FROM e GROUP BY source, lang HAVING count(DISTINCT y) > 1)) AS mixed_labels, 0::BIGINT AS off_weights FROM e")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,10 @@ def field(column: str, path: str) -> Column:
 
 
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """path, length and modified of the files below a folder, contents unread; fails while it runs if there are none."""
+    """path, length and modified of the files below a folder, contents unread; fails if there are none."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    if not found.inputFiles():
+        raise FileNotFoundError(f"{path} holds no {pattern}")
     return found.select("path", "length", F.col("modificationTime").alias("modified")).orderBy(F.lower("path"))
 
 
@@ -71,8 +74,11 @@ def write_checked(df: DataFrame, path: str, partition_by: Names = ()) -> int:
 
 def resume(df: DataFrame, path: str, key: str) -> DataFrame:
     """The rows of keys that the table at path doesn't hold yet; all rows if there is no table."""
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return df
-    return df.join(spark.read.parquet(path).select(key).distinct(), [key], "left_anti")
+    try:
+        there = df.sparkSession.read.schema(df.select(key).schema).parquet(path)
+        there.inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return df
+        raise
+    return df.join(there.distinct(), [key], "left_anti")

@@ -60,11 +60,21 @@ def stream_min_gap(rows: DataFrame, key: str, on: str, gap: int) -> DataFrame:
     return rows.select(key, on).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind[key]}, `{on}` {kind[on]}", "last long", "append", "NoTimeout")
 
 
-def upsert_into(path: str, keys: list[str]):
-    """A foreachBatch function that writes each micro-batch's upserts under its number; writing one again replaces it."""
+def upsert_into(path: str, keys: list[str], order: list[str] | None = None):
+    """A foreachBatch function that writes each micro-batch's last upsert of each key (by `order`) under its number.
+
+    Writing a number again replaces it, so a batch that runs twice counts once. Without an order a batch must hold a key
+    once; if it doesn't, the batch fails.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rest = [c for c in batch.columns if c not in keys]
+        last = F.max(F.struct(*(order or []), *(c for c in rest if c not in (order or [])))) if order else F.first(F.struct(*rest))
+        once = batch.groupBy(*keys).agg(last.alias("v"), F.count(F.lit(1)).alias("n"))
+        if not order:
+            fine = F.when(F.col("n") > 1, F.raise_error(F.lit("a key repeats in a batch")).cast("boolean")).otherwise(F.lit(True))
+            once = once.filter(fine)
+        once.select(*keys, *(F.col("v")[c].alias(c) for c in rest)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
