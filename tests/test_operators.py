@@ -142,17 +142,46 @@ def test_rounds_end_before_start_and_roll_back(spark):
     assert out == sorted((m, *f) for m in ("x", "y") for f in found)
 
 
-def test_clock_and_roster():
-    c = rounds.Clock()
-    o = dict(round_id="r", phase="live", game_time=10.0, round_start_time=10.0, round_time=115, paused=False, technical=False, waiting=False, t_timeout=False, ct_timeout=False, paused_ticks=0)
-    assert c.step(o)["remaining"] == 115
-    assert not c.step(o | {"paused": True})["known"] and not c.step(o)["known"] and c.step(o | {"round_id": "q"})["known"]
-    r = rounds.Roster()
-    ten = [dict(id=f"{t}{k}", team=t, alive=True, position=True, equipment=True) for t in ("T", "CT") for k in range(5)]
-    assert r.step(ten)["quality"] == "usable"
-    assert r.step(ten[1:], keep=False)["quality"] == "unusable"
-    r.died("T0")
-    assert r.step(ten[1:])["alive"] == 9 and r.step(ten)["alive"] == 9
+CLOCK = "match_id string, tick long, round_id string, phase string, game_time double, round_start_time double, round_time int, paused boolean, technical boolean, waiting boolean, t_timeout boolean, ct_timeout boolean, paused_ticks int, explosion double, defuse double"
+
+
+def test_round_clocks(spark):
+    def row(match, tick, **kw):
+        base = dict(round_id="r", phase="live", game_time=10.0, round_start_time=10.0, round_time=115, paused=False, technical=False, waiting=False, t_timeout=False, ct_timeout=False, paused_ticks=0, explosion=None, defuse=None)
+        return (match, tick, *(base | kw).values())
+
+    rows = [
+        row("a", 1), row("a", 2, t_timeout=True, waiting=True, game_time=20.0), row("a", 3, paused=True), row("a", 4, game_time=30.0), row("a", 5, round_id="q", phase="freeze"),
+        row("a", 6, round_id="q", phase="post-plant", game_time=50.0, explosion=9.0, defuse=float("nan")), row("a", 7, round_id="q", paused_ticks=4), row("a", 8, round_id=None),
+        row("b", 1, phase="freeze", paused=True, paused_ticks=3), row("b", 2, paused_ticks=7, game_time=10.1), row("b", 3, paused_ticks=7, game_time=12.0), row("b", 4, paused_ticks=8),
+        row("c", 1, phase="freeze", technical=True), row("c", 2, game_time=11.0), row("d", 1, phase=None, paused=None), row("d", 2, game_time=None), row("d", 3, game_time=float("inf"), paused_ticks=None),
+    ]
+    d = spark.createDataFrame(rows, CLOCK)
+    out = {(r.match_id, r.tick): r for r in rounds.round_clocks(d).collect()}
+    assert {k: r.remaining for k, r in out.items() if r.remaining is not None} == {("a", 1): 115.0, ("a", 2): 105.0, ("b", 2): pytest.approx(114.9), ("b", 3): 113.0}
+    assert {k for k, r in out.items() if r.known} == {("a", 1), ("a", 2), ("a", 6), ("b", 2), ("b", 3)}
+    assert (out["a", 6].elapsed, out["a", 6].to_explosion, out["a", 6].to_defuse) == (40.0, 9.0, None) and out["a", 2].pause == "tactical-timeout-flag"
+    assert {k for k, r in out.items() if r.source == "unsupported-pause"} == {("a", 3), ("a", 4), ("a", 7), ("b", 1), ("b", 4), ("c", 1), ("c", 2), ("d", 3)}
+    for last in (2, 4):  # what is known at a row never depends on later ones
+        assert all(out[r.match_id, r.tick] == r for r in rounds.round_clocks(d.filter(f"tick <= {last}")).collect())
+    assert rounds.round_clocks(d.filter("false")).count() == 0
+
+
+def test_rosters(spark):
+    ten = [(f"{t}{k}", t) for t in ("T", "CT") for k in range(5)]
+    seen = [("r", 1, m, t, True, True, True) for m, t in ten]
+    seen += [("r", 2, m, t, None if m == "T1" else True, True, m != "CT4") for m, t in ten[1:]]  # T0 out of sight, T1's life unknown
+    seen += [("r", 3, m, t, m != "T1", True, True) for m, t in ten]
+    seen += [("r", 4, m, t, None if m == "T1" else True, True, True) for m, t in ten] + [("r", 4, "s", "spectator", True, True, True)]
+    seen += [("q", 5, m, t, True, True, True) for m, t in ten] + [("q", 5, "0", "CT", True, True, True)]
+    s = spark.createDataFrame([("m", *r) for r in seen], "match_id string, round_id string, tick long, member string, team string, alive boolean, position boolean, equipment boolean")
+    f = spark.createDataFrame([("m", "r", k) for k in range(5)] + [("m", "q", 5)], "match_id string, round_id string, tick long")
+    deaths = spark.createDataFrame([("m", "r", 4, "CT0")], "match_id string, round_id string, tick long, member string")
+    out = {r.tick: (r.t, r.ct, r.life_known, r.alive, r.quality, r.reasons) for r in rounds.rosters(f, s, deaths).collect()}
+    assert out[0] == (0, 0, 0, 0, "unusable", ["roster-unconfirmed"]) and out[1] == (5, 5, 10, 10, "usable", [])
+    assert out[2] == (5, 5, 8, 8, "unusable", ["life-unknown", "alive-equipment-unknown"])
+    assert out[3] == (5, 5, 10, 9, "usable", []) and out[4] == (5, 5, 10, 8, "usable", [])
+    assert out[5][:2] == (5, 6) and out[5][4:] == ("unusable", ["roster-unconfirmed"])
 
 
 def test_farthest_points(spark):

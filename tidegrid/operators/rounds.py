@@ -1,13 +1,16 @@
-"""The state machine of a match: attempts at rounds, their clock and their roster, as folds that batch and stream share."""
+"""The state of a match: attempts at rounds, as a fold that batch and stream share; their clock and roster, as windows."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidegrid.functions.scalar import finite
 
 #: One row for each boundary at which the rules were seen, in order of tick and seq.
 OBSERVED = """tick long, seq long, raw_round int, rounds_played int, score_t int, score_ct int, warmup boolean, match_started boolean,
@@ -16,6 +19,14 @@ ATTEMPTS = """round_id string, segment int, round_number int, start_tick long, l
 disposition string, winner string, reason string"""
 
 
+# Results and inputs carry these strings.
+PLAYING = ("live", "post-plant")
+CLOCK_SOURCES = ("game-time-minus-rule-start", "unsupported-pause", "not-applicable-or-unknown")
+PAUSES = ("unverified-hard-pause-or-resume", "tactical-timeout-flag", "none")
+ROSTER_REASONS = ("roster-unconfirmed", "life-unknown", "alive-position-unknown", "alive-equipment-unknown")
+NO_MEMBER = "0"
+
+
 @dataclass
 class Attempt:
     round_id: str
@@ -150,91 +161,80 @@ def _empty(key: str) -> pd.DataFrame:
     return pd.DataFrame(columns=[key, *(x.split()[0] for x in ATTEMPTS.replace("\n", " ").split(", "))])
 
 
-@dataclass
-class Clock:
-    """Time into a round. A hard pause makes it unknown for the rest of the round, unless it came before a fresh start."""
-
-    round_id: str | None = None
-    tainted: bool = False
-    paused_ticks: int | None = None
-    live: bool = False
-
-    FRESH = 0.125  # seconds after the rule start within which entering live is a fresh start
-
-    def step(self, o: dict) -> dict:
-        if o["round_id"] != self.round_id:
-            self.round_id, self.live, self.tainted, self.paused_ticks = o["round_id"], False, False, o["paused_ticks"]
-        tactical = o["t_timeout"] or o["ct_timeout"]
-        hard = o["paused"] or o["technical"] or (o["waiting"] and not tactical)
-        self.tainted |= bool(hard or (self.paused_ticks is not None and o["paused_ticks"] != self.paused_ticks))
-        elapsed = o["game_time"] - o["round_start_time"]
-        playing = o["phase"] in ("live", "post-plant")
-        if playing and not self.live:
-            self.live = True
-            if not hard and math.isfinite(elapsed) and 0 <= elapsed <= self.FRESH:
-                self.tainted, self.paused_ticks = False, o["paused_ticks"]
-        pause = "unverified-hard-pause-or-resume" if self.tainted else "tactical-timeout-flag" if tactical else "none"
-        known = self.round_id is not None and playing and not self.tainted and math.isfinite(elapsed) and elapsed >= 0 and o["round_time"] > 0
-        planted = known and o["phase"] == "post-plant"
-        tail = lambda v: v if planted and v is not None and math.isfinite(v) and v >= 0 else None
-        return {
-            "elapsed": elapsed if known else None, "remaining": max(0.0, o["round_time"] - elapsed) if known and not planted else None,
-            "to_explosion": tail(o.get("explosion")), "to_defuse": tail(o.get("defuse")), "known": known,
-            "source": "game-time-minus-rule-start" if known else "unsupported-pause" if self.tainted else "not-applicable-or-unknown", "pause": pause,
-        }
-
-
-CLOCKS = "tick long, elapsed double, remaining double, to_explosion double, to_defuse double, known boolean, source string, pause string"
-
-
-def round_clocks(observed: DataFrame, key: str = "match_id") -> DataFrame:
-    """key and CLOCKS for each row, in order of tick."""
-    kind = observed.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        clock, rows = Clock(), []
-        for row in pdf.sort_values("tick", kind="stable").to_dict("records"):
-            row = _clean(row)
-            rows.append({key: row[key], "tick": row["tick"], **clock.step(row)})
-        return pd.DataFrame(rows)
-
-    return observed.groupBy(key).applyInPandas(run, f"`{key}` {kind}, {CLOCKS}")
-
-
-@dataclass
-class Roster:
-    """Members of a round so far. A death while live lasts; one who is no longer seen is neither alive nor dead."""
-
-    members: dict[str, dict] = field(default_factory=dict)
-    deaths: set[str] = field(default_factory=set)
-    SIDE = 5
-
-    def died(self, member: str, phase: str = "live") -> None:
-        if phase in ("live", "post-plant"):
-            self.deaths.add(member)
-
-    def step(self, seen: Iterable[dict], keep: bool = True) -> dict:
-        now = {p["id"]: p for p in seen if p["team"] in ("T", "CT")}
-        after = {}
-        for k in self.members.keys() | now.keys():
-            old, new = self.members.get(k), now.get(k)
-            dead = k in self.deaths or (old is not None and old["alive"] is False and (new is None or new["alive"] is None))
-            if new is None:
-                after[k] = old | {"alive": False if dead else None, "position": False, "equipment": False}
-            else:
-                after[k] = new | {"alive": False if dead else new["alive"]}
-        if keep:
-            self.members = after
-        everyone = list(after.values())
-        alive = [p for p in everyone if p["alive"] is True]
-        t, ct = (sum(p["team"] == side for p in everyone) for side in ("T", "CT"))
-        life, position, equipment = sum(p["alive"] is not None for p in everyone), sum(bool(p["position"]) for p in alive), sum(bool(p["equipment"]) for p in alive)
-        whole = t == ct == self.SIDE and "0" not in after
-        reasons = [name for bad, name in (
-            (not whole, "roster-unconfirmed"), (life != len(everyone), "life-unknown"),
-            (position != len(alive), "alive-position-unknown"), (equipment != len(alive), "alive-equipment-unknown")) if bad]
-        quality = "unusable" if not whole or life != len(everyone) else "partial" if reasons else "usable"
-        return {"t": t, "ct": ct, "life_known": life, "alive": len(alive), "position_known": position, "equipment_known": equipment, "known": whole, "quality": quality, "reasons": reasons}
+def round_clocks(observed: DataFrame, key: str = "match_id", fresh: float = 0.125, ties: Sequence[str] = ()) -> DataFrame:
+    """observed with the time into the round: elapsed, remaining, to_explosion, to_defuse, known, source, pause.
+
+    observed: key, tick, round_id, phase, game_time, round_start_time, round_time, paused, technical, waiting, t_timeout,
+    ct_timeout, paused_ticks, explosion, defuse. A hard pause (paused, technical, or waiting outside a tactical timeout),
+    or a number of paused ticks other than the round's first, makes the time unknown for the rest of the round. If the
+    round's first live row is fresh, with no hard pause and at most `fresh` seconds after the rule's start, what came
+    before it no longer counts, and its own number of paused ticks is the one to compare with. A round is a run of rows
+    with one round_id. One shuffle by key; a match bounds what one task sorts.
+    """
+    order = Window.partitionBy(key).orderBy("tick", *ties)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    tactical = flag("t_timeout") | flag("ct_timeout")
+    hard = flag("paused") | flag("technical") | (flag("waiting") & ~tactical)
+    elapsed = F.col("game_time") - F.col("round_start_time")
+    timed = finite(elapsed) >= 0
+    changed = (~F.col("round_id").eqNullSafe(F.lag("round_id").over(order))) | (F.row_number().over(order) == 1)
+    rows = observed.withColumn("__run", F.sum(changed.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(order))
+    run = Window.partitionBy(key, "__run")
+    playing = F.coalesce(F.col("phase").isin(*PLAYING), F.lit(False))
+    rows = rows.withColumn("__play", F.min(F.when(playing, F.col("__n"))).over(run))
+    entry = F.max(F.when(F.col("__n") == F.col("__play"), F.struct((~hard & F.coalesce(timed & (elapsed <= fresh), F.lit(False))).alias("fresh"), "paused_ticks")))
+    rows = rows.withColumn("__entry", entry.over(run)).withColumn("__restarted", F.coalesce(F.col("__entry.fresh") & (F.col("__n") >= F.col("__play")), F.lit(False)))
+    first = F.first(F.struct("paused_ticks")).over(run.orderBy("__n").rowsBetween(Window.unboundedPreceding, 0))["paused_ticks"]
+    base = F.when(F.col("__restarted"), F.col("__entry.paused_ticks")).otherwise(first)
+    spoils = (hard | (base.isNotNull() & ~F.col("paused_ticks").eqNullSafe(base))) & ~(F.col("__restarted") & (F.col("__n") == F.col("__play")))
+    so_far = Window.partitionBy(key, "__run", "__restarted").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__spoils", spoils).withColumn("__unknown", F.max("__spoils").over(so_far))
+    known = F.col("round_id").isNotNull() & playing & ~F.col("__unknown") & F.coalesce(timed & (F.col("round_time") > 0), F.lit(False))
+    planted = F.col("known") & (F.col("phase") == PLAYING[1])
+    tail = lambda c: F.when(planted & (finite(F.col(c)) >= 0), F.col(c))
+    rows = rows.withColumn("known", known)
+    out = rows.withColumns({
+        "elapsed": F.when(F.col("known"), elapsed), "remaining": F.when(F.col("known") & ~planted, F.greatest(F.lit(0.0), F.col("round_time") - elapsed)),
+        "to_explosion": tail("explosion"), "to_defuse": tail("defuse"),
+        "source": F.when(F.col("known"), CLOCK_SOURCES[0]).when(F.col("__unknown"), CLOCK_SOURCES[1]).otherwise(CLOCK_SOURCES[2]),
+        "pause": F.when(F.col("__unknown"), PAUSES[0]).when(tactical, PAUSES[1]).otherwise(PAUSES[2]),
+    })
+    return out.select(*observed.columns, "elapsed", "remaining", "to_explosion", "to_defuse", "known", "source", "pause")
+
+
+def rosters(frames: DataFrame, seen: DataFrame, deaths: DataFrame, keys: Sequence[str] = ("match_id", "round_id"), side: int = 5) -> DataFrame:
+    """frames (keys, tick) with t, ct, life_known, alive, position_known, equipment_known, known, quality, reasons.
+
+    seen: keys, tick, member, team, alive (null: unknown), position, equipment; one row for each member in sight at a
+    frame. deaths: keys, tick, member; those of a live round. A member belongs to its round from the first sight on. Dead
+    is who has died by then, or was last known to be dead; else a member in sight is what its row says, and one out of
+    sight is unknown, without place and equipment. Rows of other teams take no part. Frames before any sight have zeros.
+    Members and frames of a round meet by a join on the round: some ten rows for each frame.
+    """
+    keys = list(keys)
+    ours = seen.filter(F.col("team").isin("T", "CT"))
+    member = Window.partitionBy(*keys, "member").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    first = ours.groupBy(*keys, "member").agg(F.min("tick").alias("__first"))
+    died = deaths.groupBy(*keys, "member").agg(F.min("tick").alias("__died"))
+    grid = frames.select(*keys, "tick").distinct().join(first, keys).filter(F.col("tick") >= F.col("__first")).join(died, [*keys, "member"], "left")
+    rows = grid.join(ours.withColumn("__seen", F.lit(True)), [*keys, "tick", "member"], "left")
+    rows = rows.withColumn("team", F.last("team", True).over(member)).withColumn("__last", F.last("alive", True).over(member))
+    dead = F.coalesce(F.col("tick") >= F.col("__died"), F.lit(False)) | F.coalesce(F.col("alive").isNull() & ~F.col("__last"), F.lit(False))
+    rows = rows.withColumn("alive", F.when(dead, F.lit(False)).otherwise(F.col("alive")))
+    there = lambda c: F.count_if(F.coalesce(F.col("alive") & F.col(c), F.lit(False)))
+    count = rows.groupBy(*keys, "tick").agg(
+        F.count_if(F.col("team") == "T").alias("t"), F.count_if(F.col("team") == "CT").alias("ct"), F.count("alive").alias("life_known"),
+        F.count_if(F.coalesce("alive", F.lit(False))).alias("alive"), there("position").alias("position_known"), there("equipment").alias("equipment_known"),
+        F.count_if(F.col("member") == NO_MEMBER).alias("__nobody"),
+    )
+    numbers = ["t", "ct", "life_known", "alive", "position_known", "equipment_known", "__nobody"]
+    out = frames.join(count, [*keys, "tick"], "left").fillna(0, numbers)
+    whole = (F.col("t") == side) & (F.col("ct") == side) & (F.col("__nobody") == 0)
+    unknown = F.col("life_known") != F.col("t") + F.col("ct")
+    bad = (~whole, unknown, F.col("position_known") != F.col("alive"), F.col("equipment_known") != F.col("alive"))
+    reasons = F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in zip(bad, ROSTER_REASONS, strict=True))))
+    quality = F.when(~whole | unknown, "unusable").when(F.size("reasons") > 0, "partial").otherwise("usable")
+    return out.withColumn("known", whole).withColumn("reasons", reasons).withColumn("quality", quality).drop("__nobody")
 
 
 def changed_attempts(match: Match, rows: Iterable[dict]) -> Iterator[dict]:

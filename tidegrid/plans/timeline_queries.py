@@ -335,6 +335,57 @@ def t01_round_attempts(ev):
     return rounds.round_attempts(observed)
 
 
+def _clock_rows(ev: DataFrame) -> DataFrame:
+    """A sign-up starts a round of the user; values stand for pauses, the hour of the day for time-outs."""
+    so_far = sequence._so_far(["user_id"], ["t", "event_id"])
+    seconds = F.col("t") / 1e6
+    started = F.last(F.when(F.col("kind") == "signup", seconds), True).over(so_far)
+    no = F.lit(False)
+    return ev.select(
+        F.col("user_id").alias("match_id"), F.col("t").alias("tick"), "event_id", F.nullif(F.count_if(F.col("kind") == "signup").over(so_far), F.lit(0)).cast("string").alias("round_id"),
+        F.when(F.col("kind") == "view", "live").when(F.col("kind") == "error", "post-plant").otherwise("freeze").alias("phase"),
+        seconds.alias("game_time"), started.alias("round_start_time"), F.lit(172_800).alias("round_time"), (F.col("value") > 45).alias("paused"), no.alias("technical"),
+        (F.col("value") > 30).alias("waiting"), (F.col("event_id") % 3 == 0).alias("t_timeout"), no.alias("ct_timeout"), F.count_if(F.col("value") > 40).over(so_far).cast("int").alias("paused_ticks"),
+        (F.col("value") - 5).alias("explosion"), F.lit(None).cast("double").alias("defuse"),
+    )
+
+
+@query("""\n, o AS (SELECT user_id AS m, event_id AS id, row_number() OVER w AS n, nullif(count(*) FILTER (kind = 'signup') OVER w, 0) AS r, CASE kind WHEN 'view' THEN 'live' WHEN 'error' THEN 'post-plant' ELSE 'freeze' END AS phase,
+  t / 1e6 - max(CASE WHEN kind = 'signup' THEN t / 1e6 END) OVER w AS elapsed, value > 45 OR (value > 30 AND event_id % 3 <> 0) AS hard, event_id % 3 = 0 AS tactical, count(*) FILTER (value > 40) OVER w AS ticks, value - 5 AS explosion
+  FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+f AS (SELECT m, r, min(n) AS first, min(n) FILTER (phase <> 'freeze') AS play FROM o GROUP BY m, r),
+g AS (SELECT f.*, a.ticks AS first_ticks, b.ticks AS play_ticks, coalesce(NOT b.hard AND b.elapsed BETWEEN 0 AND 21600, false) AS fresh FROM f JOIN o a ON a.m = f.m AND a.n = f.first LEFT JOIN o b ON b.m = f.m AND b.n = f.play),
+u AS (SELECT o.*, EXISTS (SELECT 1 FROM o x WHERE x.m = o.m AND x.r IS NOT DISTINCT FROM o.r AND x.n <= o.n AND (NOT (g.fresh AND o.n >= g.play) OR x.n > g.play)
+    AND (x.hard OR x.ticks <> CASE WHEN g.fresh AND o.n >= g.play THEN g.play_ticks ELSE g.first_ticks END)) AS lost FROM o JOIN g ON g.m = o.m AND g.r IS NOT DISTINCT FROM o.r),
+k AS (SELECT *, r IS NOT NULL AND phase <> 'freeze' AND NOT lost AND coalesce(elapsed >= 0, false) AS known FROM u)
+SELECT id AS event_id, known, round(CASE WHEN known THEN elapsed END, 6) AS elapsed, round(CASE WHEN known AND phase = 'live' THEN greatest(0, 172800 - elapsed) END, 6) AS remaining,
+  CASE WHEN known AND phase = 'post-plant' AND explosion >= 0 THEN explosion END AS to_explosion, CASE WHEN known THEN 'game-time-minus-rule-start' WHEN lost THEN 'unsupported-pause' ELSE 'not-applicable-or-unknown' END AS source,
+  CASE WHEN lost THEN 'unverified-hard-pause-or-resume' WHEN tactical THEN 'tactical-timeout-flag' ELSE 'none' END AS pause FROM k""")
+def t02_round_clocks(ev):
+    out = rounds.round_clocks(_clock_rows(ev), fresh=21_600, ties=["event_id"])
+    return out.select("event_id", "known", F.round("elapsed", 6).alias("elapsed"), F.round("remaining", 6).alias("remaining"), "to_explosion", "source", "pause")
+
+
+@query("""\n, z AS (SELECT day, user_id % 7 AS r, t // 3600000000 AS tick, user_id AS member, CASE WHEN user_id % 2 = 0 THEN 'T' ELSE 'CT' END AS team, max(event_id) AS last_id FROM ev GROUP BY ALL),
+l AS (SELECT z.*, e.kind, e.value FROM z JOIN ev e ON e.event_id = z.last_id),
+n AS (SELECT day, r, tick, member, team, CASE WHEN kind = 'error' THEN false WHEN kind <> 'view' THEN true END AS alive, value > 10 AS position, value > 5 AS equipment FROM l),
+f AS (SELECT DISTINCT day, r, tick FROM n), b AS (SELECT day, r, member, min(tick) AS first, any_value(team) AS team FROM n GROUP BY ALL),
+d AS (SELECT day, user_id % 7 AS r, user_id AS member, min(t // 3600000000) AS died FROM p WHERE value > 60 GROUP BY ALL),
+g AS (SELECT f.day, f.r, f.tick, b.member, b.team, n.position, n.equipment, n.member IS NOT NULL AS seen, CASE WHEN d.died <= f.tick THEN false WHEN n.alive IS NOT NULL THEN n.alive
+    WHEN (SELECT arg_max(x.alive, x.tick) FROM n x WHERE x.day = f.day AND x.r = f.r AND x.member = b.member AND x.tick <= f.tick AND x.alive IS NOT NULL) = false THEN false END AS alive
+  FROM f JOIN b ON b.day = f.day AND b.r = f.r AND b.first <= f.tick LEFT JOIN n ON n.day = f.day AND n.r = f.r AND n.tick = f.tick AND n.member = b.member LEFT JOIN d ON d.day = f.day AND d.r = f.r AND d.member = b.member),
+h AS (SELECT day, r, tick, count(*) FILTER (team = 'T') AS t, count(*) FILTER (team = 'CT') AS ct, count(alive) AS life_known, count(*) FILTER (alive) AS alive, count(*) FILTER (alive AND position) AS position_known, count(*) FILTER (alive AND equipment) AS equipment_known FROM g GROUP BY ALL)
+SELECT *, t = 5 AND ct = 5 AS known, CASE WHEN NOT (t = 5 AND ct = 5) OR life_known <> t + ct THEN 'unusable' WHEN position_known <> alive OR equipment_known <> alive THEN 'partial' ELSE 'usable' END AS quality FROM h""")
+def t03_rosters(ev):
+    keys = ["day", "r"]
+    hour = F.floor(F.col("t") / HOUR).alias("tick")
+    rows = ev.select("day", (F.col("user_id") % 7).alias("r"), hour, F.col("user_id").cast("string").alias("member"), F.when(F.col("user_id") % 2 == 0, "T").otherwise("CT").alias("team"), "event_id", "kind", "value")
+    last = sequence.keep_one(rows, [*keys, "tick", "member"], ["event_id"], last=True)
+    seen = last.select(*keys, "tick", "member", "team", F.when(F.col("kind") == "error", False).when(F.col("kind") != "view", True).alias("alive"), (F.col("value") > 10).alias("position"), (F.col("value") > 5).alias("equipment"))
+    deaths = rows.filter("kind = 'purchase' AND value > 60").select(*keys, "tick", "member")
+    return rounds.rosters(seen.select(*keys, "tick").distinct(), seen, deaths, keys).drop("reasons")
+
+
 @query("\n, l AS (SELECT kind, lag(kind) OVER (PARTITION BY user_id ORDER BY t, event_id) AS b FROM ev) SELECT b || '->' || kind AS transition, count(*) AS rows FROM l WHERE b IS NOT NULL GROUP BY 1")
 def a46_transition_matrix(ev):
     return evaluate.transition_matrix(ev, ["user_id"], ["t", "event_id"], "kind")
