@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import scalar
-from tidegrid.operators import asof, evaluate, relations, rounds, select, sequence, spatial
+from tidegrid.operators import asof, evaluate, relations, rounds, samples, select, sequence, spatial
 
 
 def test_asof_ties_nulls_and_later_rows(spark):
@@ -194,3 +194,38 @@ def test_scalars(spark):
     row = one.select(scalar.rounded(F.lit(-2.5), 0).alias("a"), scalar.short_number(F.lit(1.5)).alias("b"), scalar.short_number(F.lit(3.0)).alias("c"), scalar.clock(F.lit(6005)).alias("d"),
                      scalar.clamp(F.lit(None).cast("double"), 0.0, 1.0).alias("e"), scalar.finite(F.lit(float("nan"))).alias("f"), scalar.finite_not_negative(F.lit(-1.0)).alias("g")).first()
     assert tuple(row) == (-3.0, "1.5", "3", "100:05", None, None, None)
+
+
+def test_confirmed_states(spark):
+    events = [(1, 1, "kill", "a"), (2, 1, "kill", None), (3, 1, "bomb-planted", None), (4, 1, "bomb-defuse-start", "c"), (5, 1, "bomb-defuse-start", "c"), (6, 1, "bomb-exploded", None), (7, 1, "kill", "x"), (8, 1, "bomb-planted", None), (8, 2, "bomb-defuse-abort", None), (9, 1, "chat", None)]
+    states = [
+        (1, ["b"], ["c"], None, None, None), (2, ["b"], ["c"], None, None, None), (3, ["b"], ["c"], "planted", None, None), (4, ["b", "c"], ["c"], "defusing", "c", 3.0), (5, ["b", "c"], ["c"], "defusing", "d", 3.0),
+        (6, [], [], "planted", None, None), (7, ["x"], [], None, None, None), (8, [], [], "defusing", None, None), (9, [], [], None, None, None), (10, [], [], None, None, None),
+    ]
+    s = spark.createDataFrame([("m", *r) for r in states], "match_id string, tick int, alive_ids array<string>, ct_alive_ids array<string>, bomb_state string, defuser string, to_defuse double")
+    e = spark.createDataFrame([("m", *r) for r in events], "match_id string, tick int, seq int, type string, subject string")
+    assert {r.tick for r in samples.confirmed(s, e).filter("confirmed").collect()} == {1, 3, 4}
+
+
+def test_samples_of_frames_without_members_or_equipment(spark):
+    gear = "struct<money:int,armor:int,helmet:boolean,defuser:boolean,value:int,items:array<struct<category:string,count:int>>>"
+    rows = [(1, "T", True, -5, 1, 0, (100, 50, True, False, 900, [("rifle", 1), ("grenade", 2)])), (1, "T", False, 0, 0, 1, None), (2, None, True, 10, 0, 0, None)]
+    d = spark.createDataFrame(rows, f"frame int, team string, alive boolean, health int, kills int, deaths int, equipment {gear}")
+    out = {r.frame: r for r in samples.team_summaries(d, ["frame"]).collect()}
+    assert (out[1].t_alive, out[1].t_health, out[1].t_known, out[1].t_money, out[1].t_grenades, out[1].t_snipers, out[1].ct_money, out[1].ct_members) == (1, 0, 1, 100, 2, 0, 0, 0)
+    assert out[2].t_members == out[2].ct_members == 0
+    base = {r.frame: r for r in samples.baseline(samples.team_summaries(d, ["frame"]), ["frame"]).collect()}
+    assert base[1].clutch and base[1].t_coverage == 0.5 and base[2].t_mean_health == 0.0 and not base[2].clutch
+    row = spark.range(1).select(*(c.alias(n) for n, c in samples.presence_only(["id"]).items()), samples.broad_endgame(F.lit(None).cast("string"), F.lit(1), F.lit(1)).alias("b")).first()
+    assert tuple(row) == (0.0, False)
+
+
+def test_scalars_that_guard(spark):
+    one = lambda *c: tuple(spark.range(1).select(*(x.alias(f"c{k}") for k, x in enumerate(c))).first())
+    lit = lambda v: F.lit(v).cast("double")
+    assert one(scalar.at_most(lit(1.0000004), lit(1)), scalar.at_most(lit(1.000001), lit(1)), scalar.at_least(lit(0.9999996), lit(1))) == (True, False, True)
+    assert one(scalar.distance(lit(0), lit(0), lit(3), lit(4)), scalar.distance(lit(None), lit(0), lit(3), lit(4))) == (5.0, None)
+    assert one(scalar.facing(lit(1), lit(0), lit(10), 0.9), scalar.facing(lit(-1), lit(0), lit(10), 0.9), scalar.facing(lit(0), lit(0), lit(10), 0.9)) == (True, False, None)
+    assert one(scalar.null_if_either(lit(1), lit(None), lit(5)), scalar.affine(lit(3), 1.0, 2.0), scalar.affine(lit(3), 1.0, 2.0, True)) == (None, 1.0, -1.0)
+    assert one(scalar.calibrated(lit(0.5), 2.0, 0.0), scalar.calibrated(lit(1.0), 5.0, 0.0)) == (0.5, 1 - 1e-6)
+    assert one(*scalar.masked({"a": lit(1)}, F.lit(False)).values()) == (None,)

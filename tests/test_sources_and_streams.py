@@ -80,3 +80,20 @@ def test_streamed_min_gap_equals_the_batch(spark, tmp_path):
     batch = sequence.min_gap(spark.read.parquet(folder), ["k"], "t", 64)
     assert sorted(spark.read.parquet(out).select("k", "t").collect()) == sorted(batch.collect())
     assert spark.read.parquet(out).agg(F.count("t")).first()[0] == 4
+
+
+def test_last_write_with_late_rows(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    ddl = "k string, at timestamp, seq int, v string"
+    day = "2024-01-01 00:00:"
+    for part in ([("m", "01", 1, "provisional"), ("m", "02", 2, "two")], [("m", "01", 3, "final"), ("m", "20", 4, "later")], [("m", "20", 5, "last"), ("m", "40", 6, "passed")], [("m", "01", 7, "too late"), ("m", "59", 8, "open")]):
+        spark.createDataFrame([(k, day + t, n, v) for k, t, n, v in part], "k string, at string, seq int, v string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(folder)
+    made = state.last_write(_stream(spark, folder, ddl), ["k"], "at", "seq", "5 seconds")
+    q = made.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    assert sorted((r.at.second, r.v) for r in spark.read.parquet(out).collect()) == [(1, "final"), (2, "two"), (20, "last"), (40, "passed")]
+
+
+def test_fresh_values(spark):
+    rows = spark.createDataFrame([(10.0, 8.5, "a"), (10.0, 8.4, "b"), (10.0, None, "c"), (10.0, 10.5, "d")], "t double, found double, v string")
+    assert [r.v for r in state.fresh(rows, "found", "t", ["v"], 1.5).orderBy("found").collect()] == [None, None, "a", None]

@@ -161,3 +161,45 @@ def cluster_bootstrap(df: DataFrame, match: str, p: str = "p", other: str | None
 def draw(number: Column, below: int, seed: int) -> Column:
     """A number from 0 to below - 1 by the first 13 hex digits of a hash, which any SQL has."""
     return (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), number.cast("string"))), 1, 13), 16, 10).cast("long") % F.lit(below)).cast("int")
+
+
+def edge_calibration_error(df: DataFrame, keys: Names, p: str = "p", y: str = "y", w: str = "w", bins: int = 10) -> DataFrame:
+    """The weighted mean distance of prediction and observed rate over bins whose edges are multiples of 1 / bins as floating
+    point has them; an edge belongs to the bin above it, and predictions are not clipped. It differs from
+    calibration_error only where a prediction lies on an edge.
+    """
+    place = sum((F.col(p) >= F.lit(k * (1.0 / bins))).cast("int") for k in range(1, bins))
+    placed = df.filter(F.col(p).isNotNull()).withColumn("__bin", place)
+    means = placed.groupBy(*keys, "__bin").agg(F.sum(w).alias("weight"), (F.sum(F.col(w) * F.col(p)) / F.sum(w)).alias("mean"), (F.sum(F.col(w) * F.col(y)) / F.sum(w)).alias("observed"))
+    return calibration_error(means, keys)
+
+
+def fold_report(df: DataFrame, fold: str, phase: str, p: str = "p", y: str = "y", w: str = "w") -> DataFrame:
+    """(fold, phase, rows, positive_rate, metrics): one row for each fold, for each phase, and one over all; what a row is
+    not about is null, and level (fold, phase or all) tells rows of a null fold or phase apart. One pass over the data.
+    """
+    level = F.when(F.grouping(fold) == 0, "fold").when(F.grouping(phase) == 0, "phase").otherwise("all")
+    return df.groupingSets([[fold], [phase], []], fold, phase).agg(
+        level.alias("level"), F.count(F.lit(1)).alias("rows"), (F.sum(F.col(w) * F.col(y)) / F.sum(w)).alias("positive_rate"), *metric_columns(p, y, w),
+    )
+
+
+def prior_without(df: DataFrame, match: str, y: str = "y", w: str = "w", name: str = "prior") -> DataFrame:
+    """(match, prior): the weighted rate of positives over all other matches; null if there are none."""
+    own = df.groupBy(match).agg(F.sum(F.col(w) * F.col(y)).alias("__y"), F.sum(w).alias("__w"))
+    total = own.agg(F.sum("__y").alias("__ty"), F.sum("__w").alias("__tw"), F.count(F.lit(1)).alias("__n"))
+    other = F.when(F.col("__n") > 1, F.try_divide(F.col("__ty") - F.col("__y"), F.col("__tw") - F.col("__w")))
+    return own.crossJoin(F.broadcast(total)).select(match, other.alias(name))  # the total is one row
+
+
+def value_counts(df: DataFrame, keys: Names, column: str) -> DataFrame:
+    """(keys, value, rows), nulls counted like values."""
+    return df.groupBy(*keys, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def merged_counts(parts: Sequence[DataFrame], keys: Names, counts: Names) -> DataFrame:
+    """Counts of several parts (matches, shards) by keys, added up: what counting all rows at once gives."""
+    rows = parts[0]
+    for other in parts[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in counts))

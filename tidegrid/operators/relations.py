@@ -112,3 +112,13 @@ def repeated_rows(df: DataFrame, times: Column, group: Names, weight: str = "wei
     """Each row `times` over (copy from 0), with weights 1 / rows of its group after that."""
     out = df.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
     return out.withColumn(weight, 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*group)))
+
+
+def subset(inner: Column, outer: Column) -> Column:
+    """Whether every member of one array is in the other; null if either is."""
+    return F.size(F.array_except(inner, outer)) == 0
+
+
+def in_several(df: DataFrame, split: str, members: Names) -> DataFrame:
+    """members that more than one split holds, with the splits in order."""
+    return df.groupBy(*members).agg(F.sort_array(F.collect_set(split)).alias("splits")).filter(F.size("splits") > 1)

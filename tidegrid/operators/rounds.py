@@ -20,6 +20,8 @@ disposition string, winner string, reason string"""
 
 
 # Results and inputs carry these strings.
+OPEN, VOID, COMPLETED, UNCONFIRMED, MISSING = "open", "void", "completed", "result-unconfirmed", "result-missing"
+REPLACED, ROLLED_BACK, RESET, ENDED = "replaced-before-result", "score-rollback", "rules-score-reset", "end-of-demo"
 PLAYING = ("live", "post-plant")
 CLOCK_SOURCES = ("game-time-minus-rule-start", "unsupported-pause", "not-applicable-or-unknown")
 PAUSES = ("unverified-hard-pause-or-resume", "tactical-timeout-flag", "none")
@@ -37,7 +39,7 @@ class Attempt:
     end_tick: int | None = None
     score_t: int | None = None
     score_ct: int | None = None
-    disposition: str = "open"
+    disposition: str = OPEN
     winner: str | None = None
     reason: str | None = None
 
@@ -75,7 +77,7 @@ class Match:
             close(a, self._verdict(a, o), o["reason"])
         if o["start"] and (self.current is None or o["start_count"] != self.start_count):
             if running():
-                close(self.current, "void", "replaced-before-result")
+                close(self.current, VOID, REPLACED)
             a = self._open(o["tick"])
             touched[a.round_id] = a
             self.start_count = o["start_count"]
@@ -91,25 +93,25 @@ class Match:
     @staticmethod
     def _verdict(a: Attempt, o: dict) -> str:
         if o["winner"] not in ("T", "CT"):
-            return "void"
+            return VOID
         if a.live_tick is None or a.round_number is None or a.live_tick >= o["tick"] or o["warmup"]:
-            return "result-unconfirmed"
+            return UNCONFIRMED
         expected = (a.round_number, a.score_t + (o["winner"] == "T"), a.score_ct + (o["winner"] == "CT"))
-        return "completed" if expected == (o["rounds_played"], o["score_t"], o["score_ct"]) else "result-unconfirmed"
+        return COMPLETED if expected == (o["rounds_played"], o["score_t"], o["score_ct"]) else UNCONFIRMED
 
     def _go_live(self, o: dict, touched: dict, close) -> None:
         played = o["rounds_played"]
         number = None
         if o["raw_round"] >= 0 and o["raw_round"] == played == o["score_t"] + o["score_ct"]:
             number = o["raw_round"] + 1
-            done = [a for a in self.attempts if a.segment == self.segment and a.disposition == "completed"]
+            done = [a for a in self.attempts if a.segment == self.segment and a.disposition == COMPLETED]
             if number < self.highest or any(a.round_number == number for a in done):
                 # the score went back: results from there on no longer stand, and a new segment begins
                 for a in done:
                     if a.round_number >= number:
-                        a.disposition, a.reason = "void", f"score-rollback:{a.reason or ''}"
+                        a.disposition, a.reason = VOID, f"{ROLLED_BACK}:{a.reason or ''}"
                         touched[a.round_id] = a
-                close(self.current, "void", "rules-score-reset")
+                close(self.current, VOID, RESET)
                 self.segment += 1
                 self._open(o["tick"])
                 self.highest = 0
@@ -130,7 +132,7 @@ class Match:
 
     def finish(self) -> None:
         if self.current is not None and self.current.end_tick is None:
-            self.current.disposition, self.current.reason = "result-missing", "end-of-demo"
+            self.current.disposition, self.current.reason = MISSING, ENDED
 
 
 def _clean(row: dict) -> dict:

@@ -60,6 +60,26 @@ def stream_min_gap(rows: DataFrame, key: str, on: str, gap: int) -> DataFrame:
     return rows.select(key, on).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind[key]}, `{on}` {kind[on]}", "last long", "append", "NoTimeout")
 
 
+def last_write(rows: DataFrame, keys: list[str], on: str, order: str, lateness: str) -> DataFrame:
+    """Of a stream's rows of one key and event time the one written last (largest `order`), once the time can't change.
+
+    A provisional row is replaced by what comes later. A time's result appears when the watermark, `lateness` behind the
+    latest time seen, has passed it; rows that come in a later micro-batch are dropped. For append mode. on: a timestamp.
+    """
+    rest = [c for c in rows.columns if c not in (*keys, on, order)]
+    last = rows.withWatermark(on, lateness).groupBy(*keys, F.window(on, "1 microsecond")).agg(F.max(F.struct(order, on, *rest)).alias("v"))
+    return last.select(*keys, *(F.col("v")[c].alias(c) for c in (on, order, *rest)))
+
+
+def fresh(probes: DataFrame, found_at: str, on: str, values: list[str], longest: float) -> DataFrame:
+    """probes with values nulled where what they hold is over `longest` (inclusive) old, or unknown, or later than the probe.
+
+    Row by row, so on a stream as on a table.
+    """
+    age = F.col(on) - F.col(found_at)
+    return probes.withColumns({v: F.when((age >= 0) & (age <= longest), F.col(v)) for v in values})
+
+
 def upsert_into(path: str, keys: list[str], order: list[str] | None = None):
     """A foreachBatch function that writes each micro-batch's last upsert of each key (by `order`) under its number.
 
