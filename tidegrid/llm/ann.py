@@ -28,11 +28,11 @@ from tidegrid.llm.common import partitions, stored
 #: Rows of one task's group; larger buckets are dealt into tiles of both sides, and all pairs of tiles are visited.
 TILE_VECTORS, TILE_QUERIES = 8192, 2048
 #: Queries and vectors that the settings are fitted on, and bytes of them at most; the share of true neighbours to find.
-FIT_QUERIES, FIT_VECTORS, FIT_BYTES, FIT_RECALL = 64, 8192, 16 << 20, 0.93
+FIT_QUERIES, FIT_VECTORS, FIT_BYTES, FIT_RECALL = 128, 8192, 16 << 20, 0.95
 #: Tables, hashes in each, bucket width (over the norm) and probes in each table, to be chosen from.
 GRID = (
     (4, 16, 1.0, 60), (4, 12, 1.0, 60), (3, 10, 1.2, 100), (4, 8, 1.0, 60), (3, 8, 1.5, 100), (2, 8, 1.5, 250), (2, 8, 2.0, 400), (2, 6, 2.0, 100),
-    (2, 6, 2.0, 150), (1, 4, 2.5, 30), (1, 6, 2.5, 140), (2, 6, 2.0, 250), (2, 4, 2.0, 30), (3, 6, 1.8, 250), (8, 4, 1.5, 14),
+    (2, 6, 2.0, 150), (1, 4, 2.5, 30), (1, 4, 2.5, 45), (1, 4, 3.0, 40), (1, 6, 2.5, 140), (1, 6, 2.5, 220), (1, 6, 2.5, 320), (2, 6, 2.0, 250), (2, 4, 2.0, 30), (3, 6, 1.8, 250), (8, 4, 1.5, 14),
 )
 #: Ranges of length, each half as long as the one before; the last has all shorter ones.
 RANGES = 24
