@@ -531,6 +531,52 @@ def test_queries_equal_their_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_query_digests(spark, sf, docs):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    run = lambda name: {r.doc_id: r for r in entries.QUERIES[name](spark, sf).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    out = run("op3_simhash")
+    assert {k: r.fingerprint for k, r in out.items()} == {k: f"{brute_fingerprint(t):016x}" for k, t in texts.items()} and all(r.component_id <= k for k, r in out.items())
+    library, at, want = Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json")), 0, {}
+    for k in sorted(texts):
+        ids = np.array([*library.encode(texts[k], add_special_tokens=False).ids, 0], "<u4")
+        want[k] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert {k: (r.start, r.n_tokens, r.ids_crc32) for k, r in run("op5_token_files").items()} == want
+    path = vocabularies.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=vocabularies.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    ids = {k: np.array(library.encode_ordinary(t), "<u4") for k, t in texts.items()}
+    assert {k: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for k, r in run("op6_bpe").items()} == {k: (len(x), sha(x.tobytes()), sha(texts[k].encode())) for k, x in ids.items()}
+    kept = brute_lines(list(texts.items()))
+    lines = lambda t: len(t.split("\n")) if t else 0
+    out = run("op8_line_dedup")
+    assert {k: (r.kept_chars, r.kept_sha256) for k, r in out.items()} == {k: (len(t), sha(t.encode())) for k, t in kept.items()}
+    assert all(r.removed_lines == lines(texts[k]) - lines(kept[k]) for k, r in out.items() if kept[k])
+    out = run("op10_sharding")
+    assert {k: (r.size, r.text_crc32, r.law, r.grown_shard) for k, r in out.items()} == {k: (len(t.encode()) + 8, zlib.crc32(t.encode()), "rows", None) for k, t in texts.items()}
+    places = defaultdict(set)
+    for r in out.values():
+        places[r.shard].add(r.slot)
+    assert sorted(places) == list(range(24)) and all(v == set(range(len(v))) for v in places.values()) and len({len(v) for v in places.values()}) <= 2
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf, odd):
+    import corpus_pipeline
+
+    names = lambda d: sorted(f.name for f in d.schema.fields)
+    for d in (odd, empty(odd)):
+        for _, stage in corpus_pipeline.STAGES[1:-1]:
+            out = stage(spark, d, sf)
+            assert names(out) == names(d) and out.count() <= d.count()
+    kept = {r.doc_id for r in corpus_pipeline.near_deduplication(spark, odd, sf).collect()}
+    assert kept == {None, 1, 4, 5, 6, 8, 9, 10, 11, 12}
+    assert len(corpus_pipeline.quality_classifier(spark, odd, sf).columns) == len(odd.columns)
+    assert corpus_pipeline.byte_level_bpe(spark, odd, sf).count() == len(ODD)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
