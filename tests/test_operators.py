@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import scalar
-from tidegrid.operators import asof, evaluate, relations, rounds, samples, select, sequence, spatial
+from tidegrid.operators import asof, evaluate, facts, relations, rounds, samples, select, sequence, spatial
 
 
 def test_asof_ties_nulls_and_later_rows(spark):
@@ -229,3 +229,12 @@ def test_scalars_that_guard(spark):
     assert one(scalar.null_if_either(lit(1), lit(None), lit(5)), scalar.affine(lit(3), 1.0, 2.0), scalar.affine(lit(3), 1.0, 2.0, True)) == (None, 1.0, -1.0)
     assert one(scalar.calibrated(lit(0.5), 2.0, 0.0), scalar.calibrated(lit(1.0), 5.0, 0.0)) == (0.5, 1 - 1e-6)
     assert one(*scalar.masked({"a": lit(1)}, F.lit(False)).values()) == (None,)
+
+
+def test_formation_and_isolation_by_rules(spark):
+    at = {1: [("T", 1, 0.1, 0.1), ("T", 2, 0.15, 0.1), ("T", 3, 0.2, 0.1), ("CT", 9, 0.9, 0.9)], 2: [("T", 1, 0.1, 0.1), ("T", 2, 0.15, 0.1), ("T", 3, 0.8, 0.1), ("T", 4, 0.85, 0.1)], 3: [("T", 1, 0.1, 0.1), ("T", 2, 0.5, 0.1), ("CT", 9, 0.45, 0.1), ("CT", 8, 0.46, 0.1)], 4: [("T", 1, None, 0.1), ("T", 2, 0.5, 0.1)]}
+    d = spark.createDataFrame([(f, *r) for f, rows in at.items() for r in rows], "frame int, team string, id int, x double, y double")
+    sides = spatial.teams(d, ["frame"])
+    assert {r.frame: r.formation for r in facts.formation(sides, ["frame"], "t").collect()} == {1: "grouped", 2: "split", 3: "spread", 4: "unknown"}
+    out = {r.frame: (r.isolated, r.t_isolated, r.ct_isolated) for r in facts.isolated_side(sides, ["frame"]).collect()}
+    assert out == {1: ("CT", [], [9]), 2: ("none", [], []), 3: ("T", [1, 2], []), 4: ("unknown", None, None)}

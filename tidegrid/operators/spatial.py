@@ -90,16 +90,21 @@ def carrier_support(sides: DataFrame, frame: Names, carrier: str, radius: float)
     return rows.select(*frame, "status", F.when(seen, F.size(mates)).alias("teammates"), F.when(fine, F.array_min(dist)).alias("nearest"), F.when(fine, F.size(F.filter(dist, lambda d: d <= radius))).alias("within"))
 
 
-def linked_groups(sides: DataFrame, frame: Names, side: str, reach: float) -> DataFrame:
-    """Groups of members linked at distance `reach` or less, chains included: (frame, groups, largest, diameter).
+def labelled(side: str, reach: float) -> Column:
+    """The members with known places as (id, x, y, label): the smallest id that can be reached in steps of `reach` or less.
 
     Labels spread from each member to those in reach as often as there are members; nothing leaves the row.
     """
     known = _known(side)
     start = F.transform(known, lambda p: F.struct(p["id"].alias("id"), p["x"].alias("x"), p["y"].alias("y"), p["id"].alias("label")))
-    spread = F.aggregate(known, start, lambda acc, _: F.transform(acc, lambda p: F.struct(
+    return F.aggregate(known, start, lambda acc, _: F.transform(acc, lambda p: F.struct(
         p["id"].alias("id"), p["x"].alias("x"), p["y"].alias("y"),
         F.array_min(F.transform(F.filter(acc, lambda q: _dist(p, q) <= reach), lambda q: q["label"])).alias("label"))))
+
+
+def linked_groups(sides: DataFrame, frame: Names, side: str, reach: float) -> DataFrame:
+    """Groups of members linked at distance `reach` or less, chains included: (frame, groups, largest, diameter)."""
+    known, spread = _known(side), labelled(side, reach)
     labels = F.transform(spread, lambda p: p["label"])
     rows = sides.withColumn("__l", labels)
     sizes = F.transform(F.array_distinct("__l"), lambda x: F.size(F.filter("__l", lambda y: y == x)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import scalar
-from tidegrid.operators import evaluate, select, spatial
+from tidegrid.operators import evaluate, facts, select, spatial
 
 QUERIES, SQL = {}, {}
 FR = """WITH m AS (SELECT vec_id // 10 AS frame, vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'T' ELSE 'CT' END AS team, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label FROM embeddings),
@@ -88,6 +88,26 @@ def a14_linked_groups(m):
     return out.select("frame", F.col("groups").cast("long").alias("groups"), F.col("largest").cast("long").alias("largest"))
 
 
+@query(members, FR.replace("WITH m", "WITH RECURSIVE m"), """, r AS (SELECT frame, id, id AS root FROM m WHERE team = 'T' UNION SELECT d.frame, d.id2, r.root FROM r JOIN d ON d.frame = r.frame AND d.id = r.id AND d.team2 = 'T' AND d.d <= 0.2),
+l AS (SELECT frame, id, min(root) AS root FROM r GROUP BY ALL), g AS (SELECT frame, root, count(*) AS n, avg(x) AS cx, avg(y) AS cy, row_number() OVER (PARTITION BY frame ORDER BY count(*) DESC, root) AS k, sum(count(*)) OVER (PARTITION BY frame) AS all_n FROM l JOIN m USING (frame, id) GROUP BY frame, root),
+w AS (SELECT g.frame, coalesce(max(d.d), 0) AS diameter FROM g JOIN l a ON a.frame = g.frame AND a.root = g.root LEFT JOIN d ON d.frame = g.frame AND d.id = a.id AND EXISTS (SELECT 1 FROM l b WHERE b.frame = g.frame AND b.root = g.root AND b.id = d.id2) WHERE k = 1 GROUP BY g.frame),
+z AS (SELECT a.frame, a.n, b.n AS n2, a.all_n, w.diameter, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS apart FROM g a JOIN w USING (frame) LEFT JOIN g b ON b.frame = a.frame AND b.k = 2 WHERE a.k = 1)
+SELECT frame, CASE WHEN all_n < 2 THEN 'unknown' WHEN n / all_n >= 0.6 - 5e-7 AND diameter <= 0.3 + 5e-7 THEN 'grouped' WHEN n >= 2 AND n2 >= 2 AND (n + n2) / all_n >= 0.8 - 5e-7 AND apart >= 0.1 - 5e-7 THEN 'split' ELSE 'spread' END AS formation,
+  CASE WHEN all_n >= 2 THEN round(n / all_n, 6) END AS coverage, CASE WHEN all_n >= 2 THEN round(diameter, 6) END AS diameter FROM z""")
+def g01_formation(m):
+    rules = facts.FORMATION | {"link_distance": 0.2, "grouped_coverage": 0.6, "grouped_diameter": 0.3, "split_distance": 0.1}
+    return _r(facts.formation(spatial.teams(m, ["frame"]), ["frame"], "t", rules), "coverage", "diameter")
+
+
+@query(members, FR, """, n AS (SELECT frame, team, id, min(d) FILTER (team = team2) AS a, min(d) FILTER (team <> team2) AS e FROM d GROUP BY ALL),
+i AS (SELECT frame, team, string_agg(id, ',' ORDER BY id) FILTER (a >= 0.18 - 5e-7 AND a - e >= 0.04 - 5e-7) AS ids FROM n GROUP BY ALL), p AS (SELECT frame, coalesce(max(ids) FILTER (team = 'T'), '') AS t, coalesce(max(ids) FILTER (team = 'CT'), '') AS ct FROM i GROUP BY frame)
+SELECT frame, CASE WHEN t <> '' AND ct <> '' THEN 'both' WHEN t <> '' THEN 'T' WHEN ct <> '' THEN 'CT' ELSE 'none' END AS isolated, t AS t_isolated, ct AS ct_isolated FROM p""")
+def g05_isolated_side(m):
+    out = facts.isolated_side(spatial.teams(m, ["frame"]), ["frame"])
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("frame", "isolated", text("t_isolated"), text("ct_isolated"))
+
+
 @query(members, FR, """, c AS (SELECT frame, label AS region, count(*) FILTER (team = 'T') AS t, count(*) FILTER (team = 'CT') AS ct FROM m GROUP BY ALL) SELECT *, t > 0 AND ct > 0 AS contested FROM c""")
 def a16_occupancy(m):
     return spatial.occupancy(m.withColumnRenamed("label", "region"), ["frame"], "region")
