@@ -19,6 +19,19 @@ def test_jsonl(spark, tmp_path):
         tables.list_files(spark, str(tmp_path), "*.csv")
 
 
+def test_manifest(spark, tmp_path):
+    import hashlib
+
+    for name in "ab":
+        (tmp_path / name).write_text(name * 3)
+    rows = [(n, hashlib.sha256((n * 3).encode()).hexdigest()) for n in "ab"]
+    frame = lambda r: spark.createDataFrame(r, "name string, sha256 string")
+    assert tables.check_manifest(spark, str(tmp_path), frame(rows)) == 2
+    for bad in ([rows[0]], [*rows, ("c", "0")], [rows[0], ("b", rows[0][1])]):
+        with pytest.raises(ValueError, match="1 files differ"):
+            tables.check_manifest(spark, str(tmp_path), frame(bad))
+
+
 def test_upserts_of_a_batch(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, at int, v string")
     state.upsert_into(str(tmp_path / "o"), ["k"], ["at"])(rows, 0)

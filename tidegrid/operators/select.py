@@ -91,3 +91,33 @@ def farthest_points(df: DataFrame, keys: Names, on: str, id_col: str, k: int) ->
         return out.assign(pick=np.arange(1, len(picks) + 1, dtype=np.int32))
 
     return rows.groupBy(*keys).applyInPandas(choose, schema)
+
+
+def category_balanced(df: DataFrame, category: str, id_col: str, order: Names, each: int, cap: int) -> DataFrame:
+    """At most `cap` rows: `each` of every category, evenly spaced in it, then others, all by order; each id once.
+
+    category: an array column; a row of several categories counts in each. Added: balanced, whether a category chose it.
+    """
+    listed = df.select(id_col, *(c for c in order if c != id_col), F.explode(category).alias("__c"))
+    chosen = evenly_spaced(listed, ["__c"], [*order, id_col], each).select(F.col(id_col).alias("__id")).distinct()
+    rows = df.join(chosen, df[id_col] == chosen["__id"], "left").withColumn("balanced", F.col("__id").isNotNull()).drop("__id")
+    return rows.orderBy(F.desc("balanced"), *order, id_col).limit(cap)
+
+
+def plan_violations(plan: DataFrame, pool: DataFrame, id_col: str, unique: Sequence[Names], caps: Sequence[tuple[Names, int]], place: str, order: Sequence[Column]) -> DataFrame:
+    """(rule, rows): how many rows of a selection break each rule; all 0 for a sound one.
+
+    foreign: its id isn't in the pool; unique_KEYS: its keys repeat; cap_GROUP: it is beyond its group's cap; order: its
+    place isn't that of the order.
+    """
+    known = pool.select(F.col(id_col).alias("__id")).distinct().withColumn("__known", F.lit(True))
+    rows = plan.join(known, plan[id_col] == F.col("__id"), "left")
+    marks = {"foreign": F.col("__known").isNull()}
+    for names in unique:
+        marks["unique_" + "_".join(names)] = F.count(F.lit(1)).over(Window.partitionBy(*names)) > 1
+    for names, cap in caps:
+        marks["cap_" + "_".join(names)] = F.row_number().over(Window.partitionBy(*names).orderBy(*order, id_col)) > cap
+    rows = rows.withColumns({f"__{k}": c for k, c in marks.items()})
+    ranked = rows.withColumn("__order", F.row_number().over(Window.orderBy(*order, id_col)) != F.col(place))  # a plan is small
+    one = ranked.agg(*(F.count_if(F.col(f"__{k}")).alias(k) for k in [*marks, "order"]))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("rows")) for k in [*marks, "order"]))).alias("r")).select("r.*")

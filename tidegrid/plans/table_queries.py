@@ -243,6 +243,26 @@ def o11_backups(e):
     return select.backups(e, e.filter("doc_id % 3 = 0"), ["lang"], "doc_id", 4).select("doc_id", "lang", F.col("rank").cast("long").alias("rank"))
 
 
+_TAGS = ", t AS (SELECT *, list_filter([CASE WHEN y = 1 THEN 'good' END, CASE WHEN n_chars > 1500 THEN 'long' END, lang], lambda x: x IS NOT NULL) AS tags FROM e)"
+
+
+@query(predictions, PR, _TAGS + """, u AS (SELECT doc_id, n_chars, unnest(tags) AS c FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY c) AS n FROM u),
+k AS (SELECT DISTINCT doc_id FROM r WHERE n <= 2 OR i IN (0, n - 1)) SELECT t.doc_id, k.doc_id IS NOT NULL AS balanced FROM t LEFT JOIN k USING (doc_id) ORDER BY 2 DESC, n_chars, doc_id LIMIT 20""")
+def o17_category_balanced(e):
+    tagged = e.withColumn("tags", F.array_compact(F.array(F.when(F.col("y") == 1, "good"), F.when(F.col("n_chars") > 1500, "long"), F.col("lang"))))
+    return select.category_balanced(tagged, "tags", "doc_id", ["n_chars"], 2, 20).select("doc_id", "balanced")
+
+
+@query(predictions, PR, """, p AS (SELECT *, row_number() OVER (ORDER BY n_chars, doc_id) + CASE WHEN doc_id % 50 = 0 THEN 1 ELSE 0 END AS place, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS k, count(*) OVER (PARTITION BY source, lang) AS same FROM e WHERE doc_id % 5 = 0)
+SELECT 'foreign' AS rule, count(*) FILTER (doc_id % 7 = 0) AS rows FROM p UNION ALL SELECT 'unique_doc_id', 0 UNION ALL SELECT 'unique_source_lang', count(*) FILTER (same > 1) FROM p UNION ALL SELECT 'cap_source', count(*) FILTER (k > 2) FROM p UNION ALL SELECT 'order', count(*) FILTER (doc_id % 50 = 0) FROM p""")
+def a54_plan_violations(e):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.orderBy("n_chars", "doc_id")) + F.when(F.col("doc_id") % 50 == 0, 1).otherwise(0)
+    plan = e.filter("doc_id % 5 = 0").withColumn("place", place)
+    return select.plan_violations(plan, e.filter("doc_id % 7 <> 0"), "doc_id", [["doc_id"], ["source", "lang"]], [(["source"], 2)], "place", [F.asc("n_chars")])
+
+
 @query(predictions, PR)
 def o06_farthest_points(e):
     return select.farthest_points(e.select("doc_id", "source", "n_chars"), ["source"], "n_chars", "doc_id", 8)

@@ -32,6 +32,19 @@ def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return found.select("path", "length", F.col("modificationTime").alias("modified")).orderBy(F.lower("path"))
 
 
+def check_manifest(spark: SparkSession, path: str, manifest: DataFrame) -> int:
+    """The number of files below path, after each was compared with the manifest (name, sha256); fails if any differs, is
+    missing, or isn't listed. Files are hashed where they are read; a file must fit a task's memory.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    have = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("have"))
+    both = have.join(manifest.select("name", "sha256"), ["name"], "full")
+    bad = both.filter(~F.col("have").eqNullSafe(F.lower("sha256"))).agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first")).first()
+    if bad.n:
+        raise ValueError(f"{bad.n} files differ from the manifest, {bad.first} first")
+    return both.count()
+
+
 def read_prefix(df: DataFrame, on: str, last: int) -> DataFrame:
     """Rows up to a time; the filter reaches the Parquet scan."""
     return df.filter(F.col(on) <= last)
