@@ -22,6 +22,10 @@ from tidegrid.llm.common import map_column, offsets_of, own_name
 from tidegrid.llm.words import Remembered, as_binary, bytes_of, encode_column, gather
 
 
+#: Bytes of text that a task encodes at once.
+SLICE_BYTES = 2 << 20
+
+
 class RankQueue:
     """Buckets of linked-list positions by rank; three levels of 64-bit words tell which ranks have any."""
 
@@ -244,35 +248,65 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
         work = encoder(path, pattern)
         return lambda texts: [as_binary(*work(texts))]
 
-    return map_column(docs, text_col, make, [(own_name(docs, ids_col), "binary")])
+    return map_column(docs, text_col, make, [(own_name(docs, ids_col), "binary")], SLICE_BYTES)
 
 
-def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """df with the bytes that the ids in ids_col (null: none) stand for."""
+class Decoder:
+    """The bytes that slices of an ids column stand for."""
 
-    def make():
+    def __init__(self, path: str) -> None:
         ranks = load_ranks(path)
-        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
-            size[rank] = len(token)
-        begin = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+            self.size[rank] = len(token)
+        self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+
+    def __call__(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """ids end to end, and where each row's begin, with the end."""
+        return as_binary(gather(self.flat, self.begin, self.size, ids), np.r_[0, np.cumsum(self.size[ids])][edges])
+
+
+@cache
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
+def ids_of(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a binary column (null: none) end to end, and where each row's begin, with the end."""
+    rows = rows.fill_null(b"")
+    edges = offsets_of(rows)
+    raw = rows.buffers()[2]
+    ids = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]].view("<u4") if edges[-1] > edges[0] else np.zeros(0, np.uint32)
+    return ids, (edges - edges[0]) // 4
 
-        def work(rows: pa.Array) -> list[pa.Array]:
-            rows = rows.fill_null(b"")
-            edges = offsets_of(rows)
-            raw = rows.buffers()[2]
-            ids = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]].view("<u4").astype(np.int64) if edges[-1] > edges[0] else np.zeros(0, np.int64)
-            return [as_binary(gather(flat, begin, size, ids), np.r_[0, np.cumsum(size[ids])][(edges - edges[0]) // 4])]
 
-        return work
+def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """df with the bytes that the ids in ids_col (null: none) stand for."""
+
+    def make():
+        work = decoder(path)
+        return lambda rows: [work(*ids_of(rows))]
 
     return map_column(df, ids_col, make, [(own_name(df, out_col), "binary")])
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of documents, by encoding and then decoding the ids."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of documents, by encoding and then decoding the ids.
+
+    Both are done in one Python worker of a task, slice by slice; the ids that are decoded are those written out.
+    """
+
+    def make():
+        work, back = encoder(path, pattern), decoder(path)
+
+        def both(texts: pa.Array) -> list[pa.Array]:
+            ids = as_binary(*work(texts))
+            return [ids, back(*ids_of(ids))]
+
+        return both
+
+    coded = map_column(docs.select("doc_id", "text"), "text", make, [("ids", "binary"), ("decoded", "binary")], SLICE_BYTES, keep=["doc_id"])
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -50,36 +50,41 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint", words: int = 3, seed: int = 42) -> DataFrame:
-    """docs with a 64-bit fingerprint of each whole text. Null, empty and white texts have fingerprint zero."""
+    """docs with a 64-bit fingerprint of each whole text, under a name that docs hasn't (underscores go in front).
+
+    Null, empty and white texts have fingerprint zero. Rows are marked alone; an empty table stays empty.
+    """
 
     def make():
         return lambda texts: [pa.array([fingerprint(shingle_hashes(t, words, seed)) for t in texts.to_pylist()], pa.int64())]
 
-    return map_column(docs, text_col, make, [(out_col, "long")])
+    return map_column(docs, text_col, make, [(own_name(docs, out_col), "long")])
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
-    """uint64 [64, words]: bit k of word w of plane b is bit b of value 64 w + k."""
-    padded = np.zeros(-(-len(values) // 64) * 64, "<u8")
+    """uint64 [64 W, words] of values [n, W]: bit k of word w of plane b is bit b of value 64 w + k."""
+    padded = np.zeros((-(-len(values) // 64) * 64, values.shape[1]), "<u8")
     padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def within_radius(queries: np.ndarray, planes: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For queries[i] against the 64 values of word[i] (those in the mask lanes[i]): the i left, and their lanes near."""
+def within_radius(queries: np.ndarray, planes: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For queries[i] ([n, W]) against the 64 values of word[i] (those in the mask lanes[i]), each within its radius[i]: the
+    i left, and their lanes near.
+    """
     left = np.arange(len(queries))
-    counter_bits = max(1, radius.bit_length())
+    counter_bits = max(1, int(radius.max(initial=0)).bit_length())
     bias = (1 << counter_bits) - 1 - radius  # so that the counter overflows just beyond the radius
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    counters = [np.full(len(queries), full if bias >> k & 1 else 0, np.uint64) for k in range(counter_bits)]
-    over = ~lanes
     zero, one = np.uint64(0), np.uint64(1)
+    counters = [np.where(bias >> k & 1, full, zero) for k in range(counter_bits)]
+    over = ~lanes
 
     def differs(bit: int) -> np.ndarray:
-        return planes[bit][word] ^ (zero - (queries >> np.uint64(bit) & one))
+        return planes[bit][word] ^ (zero - (queries[:, bit >> 6] >> np.uint64(bit & 63) & one))
 
-    for bit in range(0, 64, 2):
+    for bit in range(0, len(planes), 2):
         a, b, low = differs(bit), differs(bit + 1), counters[0]
         half = low ^ a
         carry = (low & a) | (half & b)
@@ -109,63 +114,85 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(values: np.ndarray, start: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is within the radius in each run of a bucket (start[i]: where the run of i begins).
-
-    One link at most for each value, to the smallest of its local component, so nothing grows with a bucket's square.
-    """
-    planes, label = bit_planes(values), np.arange(len(values))
-    at = np.arange(len(values))
+def near_pairs(values: np.ndarray, start: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the values ([n, W]) of one run (start[i]: where the run of i begins), j before i, within radius[i]."""
+    planes, at = bit_planes(values), np.arange(len(values))
     n_words = np.where(at > start, (at - 1 >> 6) - (start >> 6) + 1, 0)
     total = np.cumsum(n_words)
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
     for low in range(0, int(total[-1]) if len(total) else 0, SLICE):
         pair = np.arange(low, min(low + SLICE, int(total[-1])))
         query = np.searchsorted(total, pair, side="right")
         word = (start[query] >> 6) + pair - (total[query] - n_words[query])
         begin, end = np.maximum(start[query] - 64 * word, 0), np.minimum(query - 64 * word, 64)
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
         upto = np.where(end >= 64, full, (np.uint64(1) << (end & 63).astype(np.uint64)) - np.uint64(1))
         lanes = upto & ~((np.uint64(1) << begin.astype(np.uint64)) - np.uint64(1))
-        left, near = within_radius(values[query], planes, word, lanes, radius)
+        left, near = within_radius(values[query], planes, word, lanes, radius[query])
         bits = np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         row, lane = np.nonzero(bits)
-        label = unite(label, query[left[row]], 64 * word[left[row]] + lane)
-    found = np.flatnonzero(label != at)
+        yield query[left[row]], 64 * word[left[row]] + lane
+
+
+def links(values: np.ndarray, start: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is within the radius in each run of a bucket.
+
+    One link at most for each value, to the smallest of its local component, so nothing grows with a bucket's square.
+    """
+    label = np.arange(len(values))
+    for i, j in near_pairs(values.reshape(-1, 1), start, np.full(len(values), radius)):
+        label = unite(label, i, j)
+    found = np.flatnonzero(label != np.arange(len(values)))
     return found, label[found]
 
 
-def _compare(radius: int):
-    def emit(group: list[np.ndarray], value: list[np.ndarray]) -> pa.RecordBatch | None:
-        g, v = np.concatenate(group), np.concatenate(value)
-        if len(g) < 2:
-            return None
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches sorted by their first column as tables of whole groups, of about so many rows at least; where each row's begins."""
+    held: list[pa.Table] = []
+
+    def joined() -> tuple[pa.Table, np.ndarray]:
+        table = pa.concat_tables(held).combine_chunks()
+        g = table.column(0).to_numpy()
         fresh = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        start = np.repeat(fresh, np.diff(np.r_[fresh, len(g)]))
-        a, b = links(v.view(np.uint64), start, radius)
-        return pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], names=["src", "dst"]) if len(a) else None
+        return table, np.repeat(fresh, np.diff(np.r_[fresh, len(g)]))
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if sum(map(len, held)) >= rows and len(table):
+            g = table.column(0).to_numpy()
+            change = np.flatnonzero(np.diff(np.r_[held[-1].column(0)[-1].as_py(), g]))
+            if len(change):  # all groups held so far end before the last change
+                cut = int(change[-1])
+                held.append(table.slice(0, cut))
+                yield joined()
+                held, table = [], table.slice(cut)
+        if len(table):
+            held.append(table)
+    if held:
+        yield joined()
 
+
+def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, value, held = [], [], 0
-        for batch in batches:
-            g, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if held + len(g) > CHUNK and held:
-                change = np.flatnonzero(np.diff(np.r_[group[-1][-1], g]))
-                if len(change):  # all groups held so far end before the last change
-                    cut = int(change[-1])
-                    group.append(g[:cut])
-                    value.append(v[:cut])
-                    if out := emit(group, value):
-                        yield out
-                    group, value, held, g, v = [], [], 0, g[cut:], v[cut:]
-            group.append(g)
-            value.append(v)
-            held += len(g)
-        if held and (out := emit(group, value)):
-            yield out
+        for table, start in whole_groups(batches):
+            v = table.column(1).to_numpy()
+            a, b = links(v.view(np.uint64), start, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(v[a]), pa.array(v[b])], names=["src", "dst"])
 
     return run
 
 
+def in_tiles(rows: DataFrame, bucket: str, node: str, tile: int = TILE, counted: DataFrame | None = None) -> DataFrame:
+    """rows with g in front, sorted by it in their partitions: any two rows of a bucket share a g, and none has over about
+    two tiles of rows. A larger bucket is dealt into tiles by its nodes, and each two tiles meet in a group. counted: a
+    cheaper table of the same buckets, if there is one.
+    """
+    large = (counted or rows).groupBy(bucket).count().filter(F.col("count") > tile).select(F.col(bucket).alias("__b"), F.ceil(F.col("count") / tile).alias("__n"))
+    tiled = rows.join(large, F.col(bucket) == F.col("__b"), "left").withColumn("__t", F.pmod(F.xxhash64(F.lit(7), node), F.coalesce("__n", F.lit(1))))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__n", F.lit(1)).cast("long") - 1))
+    met = tiled.withColumn("__u", other).withColumn("g", F.xxhash64(bucket, F.least("__t", "__u"), F.greatest("__t", "__u")))
+    return met.select("g", *rows.columns).repartition(partitions(rows), "g").sortWithinPartitions("g")
+
+
 def near_links(values: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     """(src, dst): links that join all distinct 64-bit values within the radius; values: one long column, distinct."""
     name = values.columns[0]
@@ -178,14 +205,7 @@ def near_links(values: DataFrame, radius: int = 3, tile: int = TILE) -> DataFram
         keys.append(F.xxhash64(F.lit(k), F.col(name).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
     # buckets by hash: two that fall together are compared as one, and all 64 bits count
     dealt = values.select(F.col(name).alias("v"), F.explode(F.array(*keys)).alias("bucket"))
-    large = dealt.groupBy("bucket").count().filter(F.col("count") > tile).select("bucket", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    tiled = dealt.join(large, "bucket", "left").withColumn("t", F.pmod(F.xxhash64(F.lit(7), "v"), F.coalesce("tiles", F.lit(1))))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tiles", F.lit(1)).cast("long") - 1))
-    grouped = tiled.select("bucket", "t", "v", other.alias("u")).select(
-        F.xxhash64("bucket", F.least("t", "u"), F.greatest("t", "u")).alias("g"), "v"
-    )
-    dealt_out = grouped.repartition(partitions(values), "g").sortWithinPartitions("g")
-    return dealt_out.mapInArrow(_compare(radius), "src long, dst long")
+    return in_tiles(dealt, "bucket", "v", tile).select("g", "v").mapInArrow(_compare(radius), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
