@@ -263,7 +263,12 @@ def a54_plan_violations(e):
     return select.plan_violations(plan, e.filter("doc_id % 7 <> 0"), "doc_id", [["doc_id"], ["source", "lang"]], [(["source"], 2)], "place", [F.asc("n_chars")])
 
 
-@query(predictions, PR)
+@query(predictions, PR.replace("WITH e", "WITH RECURSIVE e"), """, f AS (SELECT doc_id, source, n_chars FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars, sha256(CAST(doc_id AS VARCHAR))) = 1),
+r AS (SELECT doc_id, source, n_chars, 1 AS pick, [doc_id] AS ids, [n_chars] AS times FROM f
+  UNION ALL SELECT doc_id, source, n_chars, pick, list_append(ids, doc_id), list_append(times, n_chars) FROM (
+    SELECT e.doc_id, e.source, e.n_chars, r.pick + 1 AS pick, r.ids, r.times, row_number() OVER (PARTITION BY e.source ORDER BY list_min(list_transform(r.times, lambda t: abs(t - e.n_chars))) DESC, e.n_chars, sha256(CAST(e.doc_id AS VARCHAR))) AS q
+    FROM r JOIN e ON e.source = r.source AND NOT list_contains(r.ids, e.doc_id) WHERE r.pick < 8) WHERE q = 1)
+SELECT doc_id, source, n_chars, CAST(pick AS INTEGER) AS pick FROM r""")
 def o06_farthest_points(e):
     return select.farthest_points(e.select("doc_id", "source", "n_chars"), ["source"], "n_chars", "doc_id", 8)
 

@@ -320,7 +320,14 @@ def u10_repeated_rows(ev):
     return out.select("event_id", F.col("copy").cast("long").alias("copy"), F.round("weight", 9).alias("weight"))
 
 
-@query()
+@query("""\n, v AS (SELECT *, lag(kind) OVER w AS before, row_number() OVER w AS n FROM ev WHERE kind <> 'click' WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+a AS (SELECT *, count(*) FILTER (kind = 'signup' OR (kind = 'view' AND coalesce(before, 'error') IN ('purchase', 'error'))) OVER w AS k, count(*) FILTER (kind IN ('purchase', 'error')) OVER w AS played, count(*) FILTER (kind = 'purchase') OVER w AS won FROM v WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+g AS (SELECT user_id, k, min(t) AS start_tick, min(t) FILTER (kind = 'view') AS live_tick, arg_min(played, n) FILTER (kind = 'view') AS played, arg_min(won, n) FILTER (kind = 'view') AS won,
+  arg_min(t, n) FILTER (kind IN ('purchase', 'error')) AS end_tick, arg_min(kind, n) FILTER (kind IN ('purchase', 'error')) AS last FROM a WHERE k > 0 GROUP BY ALL),
+x AS (SELECT *, lead(start_tick) OVER (PARTITION BY user_id ORDER BY k) AS next FROM g)
+SELECT user_id AS match_id, 's0-a' || k AS round_id, 0::INTEGER AS segment, CAST(played + 1 AS INTEGER) AS round_number, start_tick, live_tick, coalesce(end_tick, next) AS end_tick, CAST(won AS INTEGER) AS score_t, CAST(played - won AS INTEGER) AS score_ct,
+  CASE WHEN end_tick IS NOT NULL AND live_tick < end_tick THEN 'completed' WHEN end_tick IS NOT NULL THEN 'result-unconfirmed' WHEN next IS NOT NULL THEN 'void' ELSE 'result-missing' END AS disposition,
+  CASE last WHEN 'purchase' THEN 'T' WHEN 'error' THEN 'CT' END AS winner, CASE WHEN end_tick IS NOT NULL THEN last WHEN next IS NOT NULL THEN 'replaced-before-result' ELSE 'end-of-demo' END AS reason FROM x""")
 def t01_round_attempts(ev):
     """A sign-up starts an attempt, a view takes it live, a purchase or an error ends it for one side."""
     played = F.coalesce(F.count_if(F.col("kind").isin("purchase", "error")).over(sequence._so_far(["user_id"], ["t", "event_id"])), F.lit(0)).cast("int")
