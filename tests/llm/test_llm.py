@@ -524,7 +524,7 @@ def test_queries_equal_their_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "conversations"):
+    for t in ("documents", "labels", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(entries.SQL[name]).to_arrow_table()
     got = entries.QUERIES[name](spark, sf).toArrow().select(want.column_names)
