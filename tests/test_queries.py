@@ -8,13 +8,15 @@ from tidegrid import plans
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def con(sf):
+@pytest.fixture(scope="module", params=["sf0.001", "sf0.01"])
+def scale(request):
+    """Some rules are met on the larger tables alone."""
+    folder = f"/root/testdata/{request.param}"
     c = duckdb.connect()
     c.execute("SET TimeZone = 'UTC'")
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    return c
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return folder, c
 
 
 def cell(v):
@@ -26,7 +28,8 @@ def rows(table, names):
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
-def test_query(spark, sf, con, name):
+def test_query(spark, scale, name):
+    sf, con = scale
     got = plans.QUERIES[name](spark, sf).toArrow()
     if name not in plans.SQL:
         assert got.num_rows > 0

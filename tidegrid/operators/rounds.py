@@ -1,4 +1,4 @@
-"""The state of a match: attempts at rounds, as a fold that batch and stream share; their clock and roster, as windows."""
+"""The state of a match: attempts at rounds, their clock and roster, as windows; and the attempts as a fold, for streams."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,13 +52,15 @@ class Match:
     start_count: int | None = None
     highest: int = 0
     phase: str = "unknown"
+    serial: int = 0
 
     @property
     def current(self) -> Attempt | None:
         return self.attempts[-1] if self.attempts else None
 
     def _open(self, tick: int) -> Attempt:
-        self.attempts.append(Attempt(f"s{self.segment}-a{len(self.attempts) + 1}", self.segment, tick))
+        self.serial += 1
+        self.attempts.append(Attempt(f"s{self.segment}-a{self.serial}", self.segment, tick))
         return self.attempts[-1]
 
     def step(self, o: dict) -> list[Attempt]:
@@ -135,32 +136,107 @@ class Match:
             self.current.disposition, self.current.reason = MISSING, ENDED
 
 
-def _clean(row: dict) -> dict:
+def clean(row: dict) -> dict:
     return {k: None if v is None or (isinstance(v, float) and math.isnan(v)) else v for k, v in row.items()}
 
 
 def fold_match(rows: Iterable[dict]) -> Match:
     match = Match()
     for row in rows:
-        match.step(_clean(row))
+        match.step(clean(row))
     match.finish()
     return match
 
 
-def round_attempts(observed: DataFrame, key: str = "match_id") -> DataFrame:
-    """key and ATTEMPTS for each match; a task folds one match at a time. A match without rows gives none."""
-    kind = observed.schema[key].dataType.simpleString()
+def command_states(observed: DataFrame, key: str = "match_id") -> DataFrame:
+    """observed (OBSERVED) with what its attempt's state is after each row: number (of attempts opened so far), state (0: none
+    or ended, 1: begun, 2: live), closes, opens, goes_live, expected and phase.
+
+    A state depends on the last row with a signal alone, so a window says it. One shuffle by key. Null flags are false.
+    """
+    order = Window.partitionBy(key).orderBy("tick", "seq")
+    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    last_start = F.last(F.when(flag("start"), F.struct("start_count")), True).over(before)
+    rows = observed.withColumn("__s", flag("start") & (last_start.isNull() | ~last_start["start_count"].eqNullSafe(F.col("start_count"))))
+    rows = rows.withColumn("__l", flag("live") & flag("match_started") & ~(flag("warmup") | flag("team_intro") | flag("freeze")))
+    after = F.when(F.col("__l"), 2).when(F.col("__s"), 1).when(flag("end"), 0)
+    rows = rows.withColumn("__after", after).withColumn("__was", F.coalesce(F.last("__after", True).over(before), F.lit(0)))
+    rows = rows.withColumn("__mid", F.when(F.col("__s"), 1).when(flag("end"), 0).otherwise(F.col("__was")))
+    opens = F.col("__s") | (F.col("__l") & (F.col("__mid") == 0))
+    played = F.col("rounds_played")
+    agreed = (F.col("raw_round") >= 0) & (F.col("raw_round") == played) & (played == F.col("score_t") + F.col("score_ct"))
+    rows = rows.withColumns({
+        "closes": flag("end") & (F.col("__was") > 0), "opens": opens, "goes_live": F.col("__l") & (F.col("__mid") < 2),
+        "state": F.coalesce(F.col("__after"), F.col("__was")), "expected": F.when(agreed, F.col("raw_round") + 1).cast("int"),
+    })
+    rows = rows.withColumn("number", F.sum(F.col("opens").cast("int")).over(so_far))
+    phase = (
+        F.when(flag("warmup"), "warmup").when(flag("team_intro"), "team-intro").when(~flag("match_started"), "unknown").when((F.col("number") > 0) & (F.col("state") == 0), "ended")
+        .when(flag("freeze") | (F.col("state") < 2), "freeze").otherwise("live")
+    )
+    return rows.withColumn("phase", phase).drop("__s", "__l", "__after", "__was", "__mid")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["tick", "seq"], kind="stable").to_dict("records")
-        out = pd.DataFrame([asdict(a) for a in fold_match(rows).attempts], dtype=object)
-        return out.assign(**{key: pdf[key].iloc[0]})[[key, *(x.split()[0] for x in ATTEMPTS.replace("\n", " ").split(", "))]] if len(out) else _empty(key)
+def opened(states: DataFrame, key: str) -> DataFrame:
+    """One row for each attempt opened (key, number): its start, its going live, its end, and what they say together.
 
-    return observed.groupBy(key).applyInPandas(run, f"`{key}` {kind}, {ATTEMPTS}")
+    A score that goes back is seen from the attempts in order: the number at going live is below the last known one, or
+    equal to it although that attempt was completed. (Numbers never fall within a segment, so the last one is the highest.)
+    """
+    played, won = F.col("rounds_played"), F.col("winner")
+    part = lambda n, **c: F.struct(F.col("number").alias("n") if n == 0 else (F.col("number") + n).alias("n"), *(v.alias(k) for k, v in c.items()))
+    none = F.lit(None)
+    live = F.struct("tick", F.col("expected").alias("round_number"), "score_t", "score_ct")
+    ended = F.struct("tick", won.alias("winner"), "reason", F.coalesce("warmup", F.lit(False)).alias("warmup"), played.alias("played"), "score_t", "score_ct")
+    signal = states.filter("opens OR goes_live OR closes")
+    own = F.when(F.col("opens") | F.col("goes_live"), part(0, start=F.when(F.col("opens"), F.col("tick")), live=F.when(F.col("goes_live"), live), ended=F.when(none.cast("boolean"), ended)))
+    # an end belongs to the attempt before a start at the same row
+    other = F.when(F.col("closes"), F.struct((F.col("number") - F.col("opens").cast("int")).alias("n"), none.cast("long").alias("start"), F.when(none.cast("boolean"), live).alias("live"), ended.alias("ended")))
+    each = signal.select(key, F.explode(F.array_compact(F.array(own, other))).alias("p")).select(key, "p.*")
+    once = lambda c: F.max(c).alias(c)
+    rows = each.groupBy(key, F.col("n").alias("number")).agg(F.min("start").alias("start"), once("live"), once("ended"))
+    order = Window.partitionBy(key).orderBy("number")
+    rows = rows.withColumn("replaced", F.lead("start").over(order))
+    whole = F.struct(F.col("live.round_number") + 0, F.col("live.score_t") + (F.col("ended.winner") == "T").cast("int"), F.col("live.score_ct") + (F.col("ended.winner") == "CT").cast("int"))
+    known = F.coalesce(F.col("live.round_number").isNotNull() & (F.col("live.tick") < F.col("ended.tick")) & ~F.col("ended.warmup"), F.lit(False))
+    verdict = (
+        F.when(F.col("ended").isNull(), F.when(F.col("replaced").isNotNull(), VOID).otherwise(MISSING)).when(~F.coalesce(F.col("ended.winner").isin("T", "CT"), F.lit(False)), VOID)
+        .when(known & whole.eqNullSafe(F.struct("ended.played", "ended.score_t", "ended.score_ct")), COMPLETED).otherwise(UNCONFIRMED)
+    )
+    rows = rows.withColumn("disposition", verdict)
+    numbered = F.when(F.col("live.round_number").isNotNull(), F.struct("live.round_number", "disposition"))
+    last = F.last(numbered, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    back = (F.col("live.round_number") < last["round_number"]) | ((F.col("live.round_number") == last["round_number"]) & (last["disposition"] == COMPLETED))
+    rows = rows.withColumn("back", F.coalesce(back, F.lit(False)))
+    rows = rows.withColumn("segment", F.sum(F.col("back").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # what the next segment begins with voids the completed attempts from there on
+    again = F.first(F.when(F.col("back"), F.col("live.round_number")), True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    return rows.withColumn("voided", (F.col("disposition") == COMPLETED) & F.coalesce(F.col("live.round_number") >= again, F.lit(False)))
 
 
-def _empty(key: str) -> pd.DataFrame:
-    return pd.DataFrame(columns=[key, *(x.split()[0] for x in ATTEMPTS.replace("\n", " ").split(", "))])
+def round_attempts(observed: DataFrame, key: str = "match_id") -> DataFrame:
+    """key and ATTEMPTS for each match, by windows: one shuffle, and then a few rows for each attempt.
+
+    An attempt at whose going live the score went back is two: what was begun is void, and a new segment begins live. A
+    match without rows gives none. A match is what one task sorts.
+    """
+    rows = opened(command_states(observed, key), key)
+    empty = lambda t: F.lit(None).cast(t)
+    head = lambda segment, serial, start: (F.concat(F.lit("s"), segment, F.lit("-a"), serial).alias("round_id"), segment.alias("segment"))
+    segment, serial = F.col("segment").cast("int"), F.col("number") + F.col("segment")
+    reason = F.when(F.col("voided"), F.concat(F.lit(f"{ROLLED_BACK}:"), F.coalesce("ended.reason", F.lit("")))).when(F.col("ended").isNotNull(), F.col("ended.reason"))
+    reason = reason.when(F.col("replaced").isNotNull(), REPLACED).otherwise(ENDED)
+    stands = F.struct(
+        *head(segment, serial, None), F.col("live.round_number").alias("round_number"), F.when(F.col("back"), F.col("live.tick")).otherwise(F.col("start")).alias("start_tick"), F.col("live.tick").alias("live_tick"),
+        F.coalesce("ended.tick", "replaced").alias("end_tick"), F.col("live.score_t").alias("score_t"), F.col("live.score_ct").alias("score_ct"),
+        F.when(F.col("voided"), VOID).otherwise(F.col("disposition")).alias("disposition"), F.col("ended.winner").alias("winner"), reason.alias("reason"),
+    )
+    reset = F.struct(
+        *head(segment - 1, serial - 1, None), empty("int").alias("round_number"), F.col("start").alias("start_tick"), empty("long").alias("live_tick"), F.col("live.tick").alias("end_tick"),
+        empty("int").alias("score_t"), empty("int").alias("score_ct"), F.lit(VOID).alias("disposition"), empty("string").alias("winner"), F.lit(RESET).alias("reason"),
+    )
+    return rows.select(key, F.explode(F.when(F.col("back"), F.array(reset, stands)).otherwise(F.array(stands))).alias("a")).select(key, "a.*")
 
 
 def round_clocks(observed: DataFrame, key: str = "match_id", fresh: float = 0.125, ties: Sequence[str] = ()) -> DataFrame:
@@ -171,7 +247,8 @@ def round_clocks(observed: DataFrame, key: str = "match_id", fresh: float = 0.12
     or a number of paused ticks other than the round's first, makes the time unknown for the rest of the round. If the
     round's first live row is fresh, with no hard pause and at most `fresh` seconds after the rule's start, what came
     before it no longer counts, and its own number of paused ticks is the one to compare with. A round is a run of rows
-    with one round_id. One shuffle by key; a match bounds what one task sorts.
+    with one round_id; rows before the first one have no first number to compare with. One shuffle by key; a match bounds
+    what one task sorts.
     """
     order = Window.partitionBy(key).orderBy("tick", *ties)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -187,7 +264,8 @@ def round_clocks(observed: DataFrame, key: str = "match_id", fresh: float = 0.12
     entry = F.max(F.when(F.col("__n") == F.col("__play"), F.struct((~hard & F.coalesce(timed & (elapsed <= fresh), F.lit(False))).alias("fresh"), "paused_ticks")))
     rows = rows.withColumn("__entry", entry.over(run)).withColumn("__restarted", F.coalesce(F.col("__entry.fresh") & (F.col("__n") >= F.col("__play")), F.lit(False)))
     first = F.first(F.struct("paused_ticks")).over(run.orderBy("__n").rowsBetween(Window.unboundedPreceding, 0))["paused_ticks"]
-    base = F.when(F.col("__restarted"), F.col("__entry.paused_ticks")).otherwise(first)
+    begun = (F.col("__run") > 1) | F.col("round_id").isNotNull()  # before any round no number of paused ticks is held
+    base = F.when(F.col("__restarted"), F.col("__entry.paused_ticks")).when(begun, first)
     spoils = (hard | (base.isNotNull() & ~F.col("paused_ticks").eqNullSafe(base))) & ~(F.col("__restarted") & (F.col("__n") == F.col("__play")))
     so_far = Window.partitionBy(key, "__run", "__restarted").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__spoils", spoils).withColumn("__unknown", F.max("__spoils").over(so_far))
@@ -243,5 +321,5 @@ def changed_attempts(match: Match, rows: Iterable[dict]) -> Iterator[dict]:
     """The last state of each attempt that the rows changed: what an update to a keyed table needs, voided ones too."""
     touched: dict[str, Attempt] = {}
     for row in rows:
-        touched |= {a.round_id: a for a in match.step(_clean(row))}
+        touched |= {a.round_id: a for a in match.step(clean(row))}
     yield from map(asdict, touched.values())

@@ -14,7 +14,7 @@ def _w(keys: Names, order: Names) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def _so_far(keys: Names, order: Names) -> Window:
+def so_far(keys: Names, order: Names) -> Window:
     return _w(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
@@ -31,13 +31,13 @@ def transitions(df: DataFrame, keys: Names, order: Names, state: str, was: dict[
 
     was: flag name -> state; the flag is true from the first row with that state on.
     """
-    so_far = _so_far(keys, order)
+    past = so_far(keys, order)
     before = F.lag(state).over(_w(keys, order))
     fresh = (~F.col(state).eqNullSafe(before)) | (F.row_number().over(_w(keys, order)) == 1)
     marked = df.withColumn("__b", before).withColumn("__c", fresh)
-    out = marked.withColumn("changes", F.sum(F.col("__c").cast("long")).over(so_far)).withColumn("__p", F.last(F.when(F.col("__c"), F.struct("__b")), True).over(so_far)).withColumn("previous", F.col("__p.__b"))
+    out = marked.withColumn("changes", F.sum(F.col("__c").cast("long")).over(past)).withColumn("__p", F.last(F.when(F.col("__c"), F.struct("__b")), True).over(past)).withColumn("previous", F.col("__p.__b"))
     for name, value in (was or {}).items():
-        out = out.withColumn(name, F.max(F.coalesce(F.col(state) == value, F.lit(False))).over(so_far))
+        out = out.withColumn(name, F.max(F.coalesce(F.col(state) == value, F.lit(False))).over(past))
     return out.drop("__b", "__c", "__p")
 
 
@@ -45,14 +45,14 @@ def since_change(df: DataFrame, keys: Names, on: str, state: str, name: str = "s
     """Time since the state last changed, never negative; the first row counts as a change."""
     order = [on, *ties]
     fresh = (~F.col(state).eqNullSafe(F.lag(state).over(_w(keys, order)))) | (F.row_number().over(_w(keys, order)) == 1)
-    return df.withColumn("__at", F.when(fresh, F.col(on))).withColumn(name, F.greatest(F.lit(0), F.col(on) - F.last("__at", True).over(_so_far(keys, order)))).drop("__at")
+    return df.withColumn("__at", F.when(fresh, F.col(on))).withColumn(name, F.greatest(F.lit(0), F.col(on) - F.last("__at", True).over(so_far(keys, order)))).drop("__at")
 
 
 def sessions(df: DataFrame, keys: Names, on: str, gap: float, ties: Names = (), name: str = "session") -> DataFrame:
     """Numbers chains of rows, from 1, in which each is at most `gap` after the one before."""
     order = [on, *ties]
     fresh = F.coalesce((F.col(on) - F.lag(on).over(_w(keys, order)) > gap).cast("long"), F.lit(1))
-    return df.withColumn("__f", fresh).withColumn(name, F.sum("__f").over(_so_far(keys, order))).drop("__f")
+    return df.withColumn("__f", fresh).withColumn(name, F.sum("__f").over(so_far(keys, order))).drop("__f")
 
 
 def min_gap(df: DataFrame, keys: Names, on: str, gap: int, ties: Names = ()) -> DataFrame:
@@ -144,7 +144,7 @@ def held_for(df: DataFrame, keys: Names, on: str, condition: Column, least: floa
     """Rows at which the condition has held without a break for at least `least`; null counts as a break."""
     order = [on, *ties]
     yes = F.coalesce(condition, F.lit(False))
-    marked = df.withColumn("__y", yes).withColumn("__i", F.sum((~yes).cast("long")).over(_so_far(keys, order)))
+    marked = df.withColumn("__y", yes).withColumn("__i", F.sum((~yes).cast("long")).over(so_far(keys, order)))
     begin = F.min(F.when(F.col("__y"), F.col(on))).over(Window.partitionBy(*keys, "__i"))
     return marked.withColumn("__s", begin).filter(F.col("__y") & (F.col(on) - F.col("__s") >= least)).drop("__y", "__i", "__s")
 
@@ -170,7 +170,7 @@ def lookback_count(df: DataFrame, keys: Names, on: str, span: int, name: str = "
 def run_starts(df: DataFrame, keys: Names, order: Names, value: str, on: str, name: str = "run_start") -> DataFrame:
     """The time at which the current run of one value began."""
     fresh = (~F.col(value).eqNullSafe(F.lag(value).over(_w(keys, order)))) | (F.row_number().over(_w(keys, order)) == 1)
-    return df.withColumn("__s", F.when(fresh, F.col(on))).withColumn(name, F.last("__s", True).over(_so_far(keys, order))).drop("__s")
+    return df.withColumn("__s", F.when(fresh, F.col(on))).withColumn(name, F.last("__s", True).over(so_far(keys, order))).drop("__s")
 
 
 def largest_gap(df: DataFrame, keys: Names, on: str, stride: float) -> DataFrame:

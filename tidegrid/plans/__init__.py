@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from tidegrid.plans import sample_queries, table_queries, timeline_queries
+from tidegrid.plans import sample_queries, semantic_queries, table_queries, timeline_queries
 
-QUERIES = timeline_queries.QUERIES | table_queries.QUERIES | sample_queries.QUERIES
-SQL = timeline_queries.SQL | table_queries.SQL | sample_queries.SQL
+QUERIES = timeline_queries.QUERIES | table_queries.QUERIES | sample_queries.QUERIES | semantic_queries.QUERIES
+SQL = timeline_queries.SQL | table_queries.SQL | sample_queries.SQL | semantic_queries.SQL
