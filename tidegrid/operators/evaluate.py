@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.operators.ranges import edges, running
+
 Names = Sequence[str]
 EDGE = 1e-6
 
@@ -44,12 +46,11 @@ def metrics(df: DataFrame, keys: Names, p: str = "p", y: str = "y", w: str = "w"
 def auc(df: DataFrame, keys: Names, p: str = "p", y: str = "y", w: str = "w") -> DataFrame:
     """Weighted area under the ROC curve, ties counted half; null where a class is missing.
 
-    Rows are summed by score first, so the window runs over distinct scores.
+    Rows are summed by score first; running sums go range by range, so that no task sees all scores of a key.
     """
     by_score = df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(
         F.sum(F.when(F.col(y) == 1, F.col(w)).otherwise(0.0)).alias("__pos"), F.sum(F.when(F.col(y) == 0, F.col(w)).otherwise(0.0)).alias("__neg"))
-    below = F.coalesce(F.sum("__neg").over(Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    wins = by_score.withColumn("__win", F.col("__pos") * (below + F.col("__neg") / 2))
+    wins = running(by_score, keys, p, ["__neg"], edges(df, p)).withColumn("__win", F.col("__pos") * (F.col("before___neg") + F.col("__neg") / 2))
     return wins.groupBy(*keys).agg(F.try_divide(F.sum("__win"), F.sum("__pos") * F.sum("__neg")).alias("auc"))
 
 
@@ -78,8 +79,18 @@ def nearest_rank(column: str, share: float) -> Column:
 
 
 def distribution(df: DataFrame, keys: Names, column: str) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.count(column).alias("n"), F.min(column).alias("least"), nearest_rank(column, 0.5).alias("p50"), nearest_rank(column, 0.95).alias("p95"), F.max(column).alias("most"))
+    """n, least, p50, p95 and most of a number, by nearest rank; nulls don't count.
+
+    Values are counted first and ranked range by range, so that no task holds all values of a key.
+    """
+    counts = df.groupBy(*keys, column).agg(F.count(column).alias("n"))
+    ranked = running(counts.filter(F.col(column).isNotNull()), keys, column, ["n"], edges(df, column))
+    at = lambda share: F.min(F.when(F.col("before_n") + F.col("n") >= F.ceil(F.lit(share) * F.col("total_n")), F.col(column)))
+    found = ranked.groupBy(*keys).agg(F.min(column).alias("least"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(column).alias("most"))
+    named = found.select(*(F.col(k).alias(f"__{k}") for k in keys), "least", "p50", "p95", "most")
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("n"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return sizes.join(named, same or F.lit(True), "left").select(*keys, "n", "least", "p50", "p95", "most")
 
 
 def size_histogram(df: DataFrame, group: Names) -> DataFrame:
