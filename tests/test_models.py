@@ -98,3 +98,82 @@ def test_auc_over_ranges(spark):
     pairs = [(a, b, wa * wb) for _, _, a, ya, wa in seen for _, _, b, yb, wb in seen if ya == 1 and yb == 0]
     want = sum(w * ((a > b) + (a == b) / 2) for a, b, w in pairs) / sum(w for *_, w in pairs)
     assert evaluate.auc(df, []).first().auc == pytest.approx(want, abs=1e-12)
+
+
+def samples(spark, n=500, seed=3):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        a, b = rng.gauss(3, 2), rng.gauss(-1, 0.1)
+        c = rng.choice(["x", "y", None, "rare" if k == 7 else "z"])
+        y = int(rng.random() < 1 / (1 + math.exp(-(0.6 * a - 2 + (c == "x")))))
+        rows.append((k, f"m{k % 23}", None if k % 9 == 0 else a, float("nan") if k % 23 == 4 and k % 2 else b, None if k % 23 < 20 else 1.0, c, y, rng.choice([0.5, 1.0, 3.0])))
+    return spark.createDataFrame(rows, "id long, match string, a double, b double, c double, kind string, y int, w double").repartition(5)
+
+
+NUMERIC, CATEGORICAL = ["a", "b", "c"], ["kind"]
+
+
+def plain_model(train, test):
+    """Design matrices and the Newton solution, by pandas and NumPy."""
+    x, z = [], []
+    for c in NUMERIC:
+        if train[c].notna().sum() == 0:
+            continue
+        middle = train[c].median()
+        for d, out in ((train, x), (test, z)):
+            out.append(((c, 0), d[c].fillna(middle).to_numpy()))
+            if train[c].isna().any():
+                out.append(((c, 1), d[c].isna().to_numpy().astype(float)))
+    order = sorted(range(len(x)), key=lambda i: (x[i][0][1], NUMERIC.index(x[i][0][0])))
+    x, z = (np.column_stack([out[i][1] for i in order]) for out in (x, z))
+    centre, scale = x.mean(0), x.std(0)
+    scale[scale == 0] = 1
+    hot = lambda d: np.column_stack([d.kind.fillna("__missing__") == v for v in sorted(set(train.kind.fillna("__missing__")))])
+    x, z = (np.column_stack([(m - centre) / scale, hot(d), np.ones(len(d))]) for m, d in ((x, train), (z, test)))
+    b, hold = np.zeros(x.shape[1]), np.diag(np.r_[np.ones(x.shape[1] - 1), 0])
+    for _ in range(60):
+        q = 1 / (1 + np.exp(-x @ b))
+        b -= np.linalg.solve((x * (train.w * q * (1 - q)).to_numpy()[:, None]).T @ x + hold, x.T @ (train.w * (q - train.y)).to_numpy() + hold @ b)
+    return b, 1 / (1 + np.exp(-z @ b)), z * b
+
+
+def test_logistic_equals_a_plain_solution(spark):
+    from tidegrid.operators import models
+
+    df = models.with_folds(samples(spark), "match", 4)
+    made = models.fit(df, NUMERIC, CATEGORICAL)
+    plain = df.toPandas().sort_values("id")
+    assert set(made) == {None, "0", "1", "2", "3"} and plain.groupby("match").fold.nunique().max() == 1
+    out = models.with_predictions(df, made, NUMERIC, CATEGORICAL)
+    assert out.columns == [*df.columns, "p"]
+    got = {r.id: r.p for r in out.collect()}
+    assert len(got) == len(plain)
+    for f in (None, 0, 1, 2, 3):
+        train, test = (plain, plain) if f is None else (plain[plain.fold != f], plain[plain.fold == f])
+        b, p, terms = plain_model(train, test)
+        model = made[None if f is None else str(f)]
+        assert model.coefficients == pytest.approx(b, abs=1e-7)
+        if f is not None:
+            assert [got[k] for k in test.id] == pytest.approx(p, abs=1e-7)
+        else:
+            every = {r.id: r.p for r in models.with_predictions(df, made, NUMERIC, CATEGORICAL, fold=None).collect()}
+            assert [every[k] for k in test.id] == pytest.approx(p, abs=1e-7)
+            names = model.encoder.names
+            part = np.abs(terms[:, [i for i, c in enumerate(names) if c.endswith("a")]].sum(1))
+            found = {r.group: r.mean_abs for r in models.explained(df, model, {"a": "mine"}, NUMERIC, CATEGORICAL).collect()}
+            assert found["mine"] == pytest.approx(np.average(part, weights=plain.w), abs=1e-7) and set(found) == {"mine", "other"}
+
+
+def test_logistic_guards_and_one_match_out(spark):
+    from tidegrid.operators import models
+
+    df = samples(spark, 200)
+    made = models.fit(df, ["a"], fold="match")  # each match is its own fold
+    assert len(made) == 24 and models.with_predictions(df, made, ["a"], fold="match").filter("p is null").count() == 0
+    with pytest.raises(ValueError, match="no rows"):
+        models.fit(df.filter("false"), ["a"], fold="match")
+    with pytest.raises(ValueError, match="categories"):
+        models.fit(df.withColumn("kind", F.concat(F.col("id").cast("string"), F.lit("x"))).unionByName(spark.range(3000).select(F.col("id"), F.lit("m").alias("match"), *(F.lit(1.0).alias(c) for c in "abc"), F.col("id").cast("string").alias("kind"), F.lit(1).alias("y"), F.lit(1.0).alias("w"))).withColumn("f", F.lit(1)), ["a"], ["kind"], fold="f")
+    with pytest.raises(ValueError, match="folds"):
+        models.fit(df, ["a"], fold="id")

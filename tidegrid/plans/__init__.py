@@ -1,6 +1,7 @@
 """Registered queries and their SQL."""
 
-from tidegrid.plans import sample_queries, semantic_queries, table_queries, timeline_queries
+from tidegrid.plans import model_queries, sample_queries, semantic_queries, table_queries, timeline_queries
 
-QUERIES = timeline_queries.QUERIES | table_queries.QUERIES | sample_queries.QUERIES | semantic_queries.QUERIES
-SQL = timeline_queries.SQL | table_queries.SQL | sample_queries.SQL | semantic_queries.SQL
+_ALL = (timeline_queries, table_queries, sample_queries, semantic_queries, model_queries)
+QUERIES = {name: f for module in _ALL for name, f in module.QUERIES.items()}
+SQL = {name: sql for module in _ALL for name, sql in module.SQL.items()}
