@@ -33,11 +33,14 @@ def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def check_manifest(spark: SparkSession, path: str, manifest: DataFrame) -> int:
-    """The number of files below path, after each was compared with the manifest (name, sha256); fails if any differs, is
-    missing, or isn't listed. Files are hashed where they are read; a file must fit a task's memory.
+    """The number of files below path, after each was compared with the manifest (name below path, sha256); fails if any
+    differs, is missing, or isn't listed. Files are hashed where they are read; a file must fit a task's memory.
     """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    below = F.regexp_replace(F.substring("path", F.lit(len(root) + 1), F.length("path")), "^/+", "")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    have = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("have"))
+    have = files.select(below.alias("name"), F.sha2("content", 256).alias("have"))
     both = have.join(manifest.select("name", "sha256"), ["name"], "full")
     bad = both.filter(~F.col("have").eqNullSafe(F.lower("sha256"))).agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first")).first()
     if bad.n:
