@@ -16,7 +16,7 @@ from tidegrid.functions.scalar import finite
 Names = Sequence[str]
 
 
-def _dist(a: Column, b: Column) -> Column:
+def distance(a: Column, b: Column) -> Column:
     dx, dy = a["x"] - b["x"], a["y"] - b["y"]
     return F.sqrt(dx * dx + dy * dy)
 
@@ -28,7 +28,7 @@ def teams(df: DataFrame, frame: Names, team: str = "team", member: str = "id", x
     return df.groupBy(*frame).agg(side("T"), side("CT"))
 
 
-def _known(side: str) -> Column:
+def placed(side: str) -> Column:
     return F.filter(side, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
 
 
@@ -39,7 +39,7 @@ def dispersion(df: DataFrame, keys: Names, x: str = "x", y: str = "y") -> DataFr
 
 def nearest_opponent(sides: DataFrame, frame: Names) -> DataFrame:
     """The smallest distance between the sides; null if either has no known place."""
-    pairs = F.flatten(F.transform(_known("t"), lambda a: F.transform(_known("ct"), lambda b: _dist(a, b))))
+    pairs = F.flatten(F.transform(placed("t"), lambda a: F.transform(placed("ct"), lambda b: distance(a, b))))
     return sides.select(*frame, F.array_min(pairs).alias("nearest_opponent"))
 
 
@@ -47,7 +47,7 @@ def neighbours(sides: DataFrame, frame: Names) -> DataFrame:
     """A row for each member: its nearest ally and nearest enemy distance (null without any)."""
     rows = None
     for own, other in (("t", "ct"), ("ct", "t")):
-        near = lambda p, side: F.array_min(F.transform(F.filter(_known(side), lambda q: q["id"] != p["id"]), lambda q: _dist(p, q)))  # noqa: B023, E731
+        near = lambda p, side: F.array_min(F.transform(F.filter(placed(side), lambda q: q["id"] != p["id"]), lambda q: distance(p, q)))  # noqa: B023, E731
         made = F.transform(own, lambda p: F.struct(p["id"].alias("id"), near(p, own).alias("ally"), near(p, other).alias("enemy")))  # noqa: B023
         side = sides.select(*frame, F.lit(own.upper()).alias("team"), F.explode(made).alias("m")).select(*frame, "team", "m.*")
         rows = side if rows is None else rows.unionByName(side)
@@ -61,9 +61,9 @@ def around(sides: DataFrame, frame: Names, px: Column, py: Column, radius: float
     point = F.struct(px.cast("double").alias("x"), py.cast("double").alias("y"))
     out = [F.col(c) for c in frame]
     for s in ("t", "ct"):
-        whole = F.size(s) == F.size(_known(s))
-        dist = F.array_sort(F.transform(_known(s), lambda p: _dist(p, point)))
-        mates = F.transform(s, lambda p: F.array_min(F.transform(F.filter(s, lambda q: q["id"] != p["id"]), lambda q: _dist(p, q))))  # noqa: B023
+        whole = F.size(s) == F.size(placed(s))
+        dist = F.array_sort(F.transform(placed(s), lambda p: distance(p, point)))
+        mates = F.transform(s, lambda p: F.array_min(F.transform(F.filter(s, lambda q: q["id"] != p["id"]), lambda q: distance(p, q))))  # noqa: B023
         some = whole & (F.size(s) >= 2)
         out += [
             F.size(s).alias(f"{s}_members"), F.when(whole, F.get(dist, F.lit(0))).alias(f"{s}_nearest"), F.when(whole, F.get(dist, F.lit(1))).alias(f"{s}_second"),
@@ -79,7 +79,7 @@ def carrier_support(sides: DataFrame, frame: Names, carrier: str, radius: float)
     own = F.get(F.filter("t", lambda p: p["id"] == F.col(carrier)), F.lit(0))
     mates = F.filter("t", lambda p: p["id"] != F.col(carrier))
     known = F.filter(mates, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    dist = F.transform(known, lambda p: _dist(p, F.col("__own")))
+    dist = F.transform(known, lambda p: distance(p, F.col("__own")))
     status = (
         F.when(F.col(carrier).isNull(), "not-applicable").when(F.col("__own").isNull(), "missing-carrier")
         .when(F.col("__own")["x"].isNull() | F.col("__own")["y"].isNull() | (F.size(known) != F.size(mates)), "missing-position")
@@ -95,20 +95,20 @@ def labelled(side: str, reach: float) -> Column:
 
     Labels spread from each member to those in reach as often as there are members; nothing leaves the row.
     """
-    known = _known(side)
+    known = placed(side)
     start = F.transform(known, lambda p: F.struct(p["id"].alias("id"), p["x"].alias("x"), p["y"].alias("y"), p["id"].alias("label")))
     return F.aggregate(known, start, lambda acc, _: F.transform(acc, lambda p: F.struct(
         p["id"].alias("id"), p["x"].alias("x"), p["y"].alias("y"),
-        F.array_min(F.transform(F.filter(acc, lambda q: _dist(p, q) <= reach), lambda q: q["label"])).alias("label"))))
+        F.array_min(F.transform(F.filter(acc, lambda q: distance(p, q) <= reach), lambda q: q["label"])).alias("label"))))
 
 
 def linked_groups(sides: DataFrame, frame: Names, side: str, reach: float) -> DataFrame:
     """Groups of members linked at distance `reach` or less, chains included: (frame, groups, largest, diameter)."""
-    known, spread = _known(side), labelled(side, reach)
+    known, spread = placed(side), labelled(side, reach)
     labels = F.transform(spread, lambda p: p["label"])
     rows = sides.withColumn("__l", labels)
     sizes = F.transform(F.array_distinct("__l"), lambda x: F.size(F.filter("__l", lambda y: y == x)))
-    wide = F.array_max(F.flatten(F.transform(known, lambda a: F.transform(known, lambda b: _dist(a, b)))))
+    wide = F.array_max(F.flatten(F.transform(known, lambda a: F.transform(known, lambda b: distance(a, b)))))
     return rows.select(*frame, F.size(sizes).alias("groups"), F.coalesce(F.array_max(sizes), F.lit(0)).alias("largest"), wide.alias("diameter"))
 
 
