@@ -278,7 +278,8 @@ def analysed(rows: DataFrame, sites: dict[str, tuple[float, float]]) -> DataFram
 
 def margin_rows(rows: DataFrame, frame: Names) -> DataFrame:
     """(frame, rule, metric, value, threshold, margin, decision), a row for each comparison."""
-    return rows.select(*frame, F.explode("margins").alias("m")).select(*frame, "m.*")
+    # an inner explode would push a filter on the array, and with it all that makes it, through every step below
+    return rows.select(*frame, F.explode_outer("margins").alias("m")).filter("m IS NOT NULL").select(*frame, "m.*")
 
 
 def merged_quality(faults: DataFrame, keys: Names, path: str = "path") -> DataFrame:
