@@ -478,6 +478,23 @@ def test_chat_layouts(spark):
     assert chat.format_records(empty(d)).count() == 0
 
 
+def test_chat_layouts_with_fields_of_others(spark):
+    records = [
+        '{"system":"s","messages":[{"role":"user","content":"a"}]}', '{"input":"x","messages":[{"role":"user","content":"a"}]}', '{"conversations":[{"from":"human","value":"a"}],"system":"s"}',
+        '{"prompt":"p","response":"r","completion":"c"}', '{"prompt":"p","completion":"c","output":"o"}', '{"messages":[{"role":"user"},{"role":"assistant","content":"b"}]}', '{"system":"","messages":[{"role":"user","content":"a"}]}',
+        '{"messages":"text","prompt":"p","response":"r"}', '{"system":"s","messages":[]}', '{"messages":[1,null]}', '{"messages":{"role":"user","content":"x"}}',
+    ]
+    d = spark.createDataFrame([(k, r, 1) for k, r in enumerate(records)], "k int, record string, paths int")
+    made = chat.format_records(d)
+    assert made.columns == ["k", "record", "paths", "layout", "loss_spans", "formatted"]
+    out = {r.k: [(t.role, t.text) for t in r.back] if r.back is not None else None for r in made.withColumn("back", chat.parsed_turns(F.col("formatted"))).collect()}
+    user = ("user", "a")
+    assert out == {
+        0: [("system", "s"), user], 1: [user], 2: [("system", "s"), user], 3: [("user", "p"), ("assistant", "c")], 4: [("user", "p"), ("assistant", "c")], 5: [("user", ""), ("assistant", "b")], 6: [user],
+        7: [("user", "p"), ("assistant", "r")], 8: [("system", "s")], 9: None, 10: None,
+    }
+
+
 def test_chat_rows_of_turns(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 0, "assistant", "z"), (1, 0, "assistant", "a"), (1, 0, "assistant", "a"), (2, None, None, "t"), (2, 5, "user", "x" * 200_000), (None, 3, "user", "u"), (None, 2, "user", "v")]
     d = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, record string")

@@ -1,6 +1,6 @@
 """Chat formatting with DataFrame functions alone.
 
-A record's layout is told by a fingerprint: the hash of those of its nested field paths that any layout knows. Each
+A record's layout is told by a fingerprint: the hash of those of its nested field paths that a layout needs. Each
 fingerprint selects a declarative mapping (a schema, one SQL expression and names of roles) that turns prompt, instruction
 and message layouts into canonical turns. A template then marks the turns; control strings inside texts are escaped so
 that the text can be read back exactly.
@@ -31,13 +31,16 @@ class Layout:
     roles: dict[str, str] = field(default_factory=dict)
 
 
+#: What "from" may say, and the role it means.
+HUMAN = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "user": "user", "assistant": "assistant", "system": "system"}
+
 LAYOUTS = (
     Layout("turns", ("turns[].role", "turns[].text"), "turns array<struct<role:string,text:string>>", "r.turns"),
     Layout("messages", ("messages[].role", "messages[].content"), "messages array<struct<role:string,content:string>>",
            "transform(r.messages, m -> struct(m.role as role, m.content as text))"),
     Layout("from_value", ("conversations[].from", "conversations[].value"), "conversations array<struct<`from`:string,value:string>>",
            "transform(r.conversations, m -> struct(m.`from` as role, m.value as text))",
-           {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "user": "user", "assistant": "assistant", "system": "system"}),
+           HUMAN),
     Layout("prompt_completion", ("prompt", "completion"), "prompt string, completion string",
            "array(struct('user' as role, r.prompt as text), struct('assistant' as role, r.completion as text))"),
     Layout("prompt_response", ("prompt", "response"), "prompt string, response string",
@@ -48,44 +51,58 @@ LAYOUTS = (
            "array(struct('user' as role, concat_ws('\\n\\n', r.instruction, nullif(r.input, '')) as text), struct('assistant' as role, r.output as text))"),
     Layout("system_prompt_completion", ("system", "prompt", "completion"), "system string, prompt string, completion string",
            "array(struct('system' as role, r.system as text), struct('user' as role, r.prompt as text), struct('assistant' as role, r.completion as text))"),
+    Layout("system_messages", ("system", "messages[].role", "messages[].content"), "system string, messages array<struct<role:string,content:string>>",
+           "concat(filter(array(struct('system' as role, r.system as text)), s -> s.text <> ''), transform(r.messages, m -> struct(m.role as role, m.content as text)))"),
+    Layout("system_from_value", ("system", "conversations[].from", "conversations[].value"), "system string, conversations array<struct<`from`:string,value:string>>",
+           "concat(filter(array(struct('system' as role, r.system as text)), s -> s.text <> ''), transform(r.conversations, m -> struct(m.`from` as role, m.value as text)))", HUMAN),
 )
 
 _PATHS = sorted({p for x in LAYOUTS for p in x.paths})
 _LISTS = sorted({p.partition("[].")[0] for p in _PATHS if "[]." in p})
+#: Layouts that need more come first; of those that need as many the order above holds.
+_BY_NEED = sorted(LAYOUTS, key=lambda x: -len(x.paths))
 
 
-def fingerprint(record: Column) -> Column:
-    """The hash of those nested field paths of a JSON record that any layout knows; null for what is no JSON object.
+def known_paths(record: Column) -> Column:
+    """Those nested field paths of a JSON record that any layout knows; null for what is no JSON object.
 
-    Other fields don't count. Of a list the first element's fields do; a list without elements has its own path alone.
-    Keys are read from the text, so a record may be of any size.
+    Of a list the fields of all elements count; a list without elements has all of its paths. Keys are read from the text,
+    so a record may be of any size.
     """
     own = F.json_object_keys(record)
     paths = [F.array_intersect(own, F.array(*(F.lit(p) for p in _PATHS if "[]." not in p)))]
     for name in _LISTS:
-        inner = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
-        known = F.transform(inner, _under(f"{name}[]."))
-        known = F.array_intersect(known, F.array(*(F.lit(p) for p in _PATHS if p.startswith(f"{name}[]."))))
-        empty = F.get_json_object(record, f"$.{name}") == "[]"
-        paths.append(F.when(F.array_contains(own, name), F.when(empty, F.array(F.lit(f"{name}[]"))).otherwise(known)).otherwise(F.array().cast("array<string>")))
-    return F.when(own.isNotNull(), path_hash(F.concat(*paths)))
+        whole = F.get_json_object(record, f"$.{name}")
+        below = F.array(*(F.lit(p) for p in _PATHS if p.startswith(f"{name}[].")))
+        keys = F.flatten(F.transform(F.from_json(whole, "array<string>"), lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))
+        met = F.array_intersect(F.transform(keys, _under(f"{name}[].")), below)
+        paths.append(F.when(F.array_contains(own, name), F.when(whole == "[]", below).otherwise(F.coalesce(met, F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>")))
+    return F.when(own.isNotNull(), F.concat(*paths))
+
+
+def fingerprint(paths: Column) -> Column:
+    """The hash of the paths that a record's layout needs, given the known ones it has; null where it has those of none.
+
+    Other fields don't count, also those that other layouts know: of the layouts whose paths are all there the one that
+    needs the most is taken.
+    """
+    there = lambda x: F.size(F.array_except(F.array(*map(F.lit, x.paths)), paths)) == 0
+    return F.coalesce(*(F.when(there(x), path_hash(x)) for x in _BY_NEED))
 
 
 def _under(prefix: str):
     return lambda key: F.concat(F.lit(prefix), key)
 
 
-def path_hash(paths: Column) -> Column:
-    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), ","))
+def path_hash(layout: Layout) -> Column:
+    return F.xxhash64(F.lit(",".join(sorted(layout.paths))))
 
 
-def canonical_turns(record: str) -> tuple[Column, Column]:
-    """The layout's name and the turns of the JSON records in a column; both null where no layout has the fingerprint."""
-    print_ = fingerprint(F.col(record))
+def canonical_turns(print_: Column, record: str) -> tuple[Column, Column]:
+    """The layout's name and the turns of the JSON records in a column, by their fingerprints; both null where there is none."""
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in LAYOUTS:
-        forms = [x.paths, (f"{x.paths[0].partition('.')[0]}",)] if "[]." in x.paths[0] else [x.paths]
-        here = F.coalesce(print_.isin(*(path_hash(F.array(*map(F.lit, p))) for p in forms)), F.lit(False))
+        here = F.coalesce(print_ == path_hash(x), F.lit(False))
         mapped = F.expr(f"transform(array(from_json(`{record}`, '{x.schema}')), r -> {x.turns})[0]").cast(TURNS)
         name, turns = F.when(here, F.lit(x.name)).otherwise(name), F.when(here, F.transform(mapped, _cleaned(x.roles))).otherwise(turns)
     return name, turns
@@ -121,8 +138,8 @@ def format_records(records: DataFrame, record_col: str = "record") -> DataFrame:
     should be a text and is a list or an object counts as its JSON. Rows are formatted alone, equal ones alike; other
     columns stay, and an added column whose name is taken gets underscores in front. An empty table stays empty.
     """
-    layout, turns, pieces, formatted, spans = (own_name(records, x) for x in ("layout", "turns", "pieces", "formatted", "loss_spans"))
-    name, canonical = canonical_turns(record_col)
+    layout, turns, pieces, formatted, spans, paths, print_ = (own_name(records, x) for x in ("layout", "turns", "pieces", "formatted", "loss_spans", "paths", "print"))
+    name, canonical = canonical_turns(F.col(print_), record_col)
     mark = F.transform(F.col(turns), lambda t: F.struct(
         F.concat(F.lit('<turn role="'), escaped(t["role"]), F.lit('">\n')).alias("head"),
         escaped(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss"),
@@ -138,11 +155,13 @@ def format_records(records: DataFrame, record_col: str = "record") -> DataFrame:
         ),
     )
     return (
-        records.withColumns({layout: name, turns: canonical})
+        records.withColumn(paths, known_paths(F.col(record_col)))
+        .withColumn(print_, fingerprint(F.col(paths)))
+        .withColumns({layout: name, turns: canonical})
         .withColumn(pieces, mark)
         .withColumn(spans, grown["spans"])
         .withColumn(formatted, F.array_join(F.transform(F.col(pieces), lambda p: F.concat(p["head"], p["body"], tail)), ""))
-        .drop(turns, pieces)
+        .drop(turns, pieces, paths, print_)
     )
 
 
