@@ -177,3 +177,25 @@ def test_logistic_guards_and_one_match_out(spark):
         models.fit(df.withColumn("kind", F.concat(F.col("id").cast("string"), F.lit("x"))).unionByName(spark.range(3000).select(F.col("id"), F.lit("m").alias("match"), *(F.lit(1.0).alias(c) for c in "abc"), F.col("id").cast("string").alias("kind"), F.lit(1).alias("y"), F.lit(1.0).alias("w"))).withColumn("f", F.lit(1)), ["a"], ["kind"], fold="f")
     with pytest.raises(ValueError, match="folds"):
         models.fit(df, ["a"], fold="id")
+
+
+def test_suites_and_nested_choice(spark):
+    from tidegrid.operators import models, reports
+
+    df = models.with_folds(samples(spark, 240), "match", 3)
+    specs = {"small": (["a"], [], 1.0), "whole": (NUMERIC, CATEGORICAL, 1.0)}
+    out = models.suite(df, specs)
+    for name, (numeric, categorical, penalty) in specs.items():
+        alone = {r.id: r.p for r in models.with_predictions(df, models.fit(df, numeric, categorical, penalty=penalty), numeric, categorical).collect()}
+        assert {r.id: r[name] for r in out.collect()} == pytest.approx(alone, abs=1e-9)
+    assert reports.uncertainty(out, list(specs), "small", "match", rounds=10).count() == 6
+    got = {(r.fold, r.penalty): r for r in models.chosen_penalty(df, [0.5, 50.0], ["a"], outer="fold").collect()}
+    assert len(got) == 6
+    for f in ("0", "1", "2"):
+        rest = models.with_folds(df.filter(F.col("fold") != int(f)).drop("fold"), "match", 3)
+        losses = {}
+        for p in (0.5, 50.0):
+            rows = models.with_predictions(rest, models.fit(rest, ["a"], penalty=p), ["a"])
+            losses[p] = rows.agg(*evaluate.metric_columns("p", "y", "w")).first().log_loss
+            assert got[f, p].log_loss == pytest.approx(losses[p], abs=1e-12)
+        assert [p for p in losses if got[f, p].chosen] == [min(losses, key=lambda p: (losses[p], p))]

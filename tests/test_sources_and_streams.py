@@ -110,3 +110,15 @@ def test_last_write_with_late_rows(spark, tmp_path):
 def test_fresh_values(spark):
     rows = spark.createDataFrame([(10.0, 8.5, "a"), (10.0, 8.4, "b"), (10.0, None, "c"), (10.0, 10.5, "d")], "t double, found double, v string")
     assert [r.v for r in state.fresh(rows, "found", "t", ["v"], 1.5).orderBy("found").collect()] == [None, None, "a", None]
+
+
+def test_prefix_paths_and_slices(spark, tmp_path):
+    rows = spark.createDataFrame([(k, '{"a": {"b.c": 1, "b": [%d]}}' % k) for k in range(6)], "tick int, j string")
+    rows.write.parquet(str(tmp_path / "p"))
+    read = tables.read_prefix(spark.read.parquet(str(tmp_path / "p")), "tick", 3)
+    assert sorted(r.tick for r in read.collect()) == [0, 1, 2, 3] and "LessThanOrEqual(tick,3)" in read._jdf.queryExecution().executedPlan().toString()
+    one = rows.filter("tick = 4").select(tables.field("j", "a.b[0]"), tables.field("j", "a.x"), tables.field("j", "z.b")).first()
+    assert tuple(one) == ("4", None, None)
+    log = spark.createDataFrame([("m", t) for t in (1, 5, 5, 8, 12, 20)] + [("n", 30)], "k string, t int")
+    cut = lambda **how: sorted((r.k, r.t) for r in sequence.window_slice(log, ["k"], "t", F.lit(6), F.lit(12), **how).collect())
+    assert cut(one_past=False) == [("m", 5), ("m", 8), ("m", 12)] and cut() == [("m", 5), ("m", 8), ("m", 12), ("m", 20), ("n", 30)]

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.operators.evaluate import metric_columns
 from tidegrid.operators.ranges import edges, running
 
 # Fixed value: what a missing category is called.
@@ -284,3 +285,31 @@ def explained(rows: DataFrame, model: Model, groups: dict[str, str], numeric: Se
 
     sums = data.mapInArrow(run, "group string, s double, w double")
     return sums.groupBy("group").agg((F.sum("s") / F.sum("w")).alias("mean_abs"))
+
+
+def suite(rows: DataFrame, specs: dict[str, tuple[Sequence[str], Sequence[str], float]], fold: str = "fold", label: str = "y", weight: str = "w") -> DataFrame:
+    """rows with a column for each candidate: its out-of-fold probability. specs: name -> (numbers, categories, penalty).
+
+    All candidates see the same folds, so that their predictions can be compared pair by pair.
+    """
+    out = rows
+    for name, (numeric, categorical, penalty) in specs.items():
+        made = fit(rows, numeric, categorical, fold, label, weight, penalty)
+        out = with_predictions(out, made, numeric, categorical, fold, name)
+    return out
+
+
+def chosen_penalty(rows: DataFrame, penalties: Sequence[float], numeric: Sequence[str], categorical: Sequence[str] = (), outer: str = "fold", match: str = "match", inner: int = 3, label: str = "y", weight: str = "w") -> DataFrame:
+    """(fold, penalty, log_loss, chosen): for each outer fold the weighted log loss of each penalty over inner folds of the
+    other folds' rows, by match; the least is chosen, ties to the smaller penalty. The outer fold's rows are never seen.
+    """
+    found = None
+    folds = sorted(r[0] for r in rows.select(F.col(outer).cast("string")).distinct().limit(MOST_FOLDS + 1).collect())
+    for f in folds:
+        rest = with_folds(rows.filter(F.col(outer).cast("string") != f), match, inner, "__inner")
+        tried = suite(rest, {f"__p{k}": (numeric, categorical, p) for k, p in enumerate(penalties)}, "__inner", label, weight)
+        for k, p in enumerate(penalties):
+            one = tried.agg(*metric_columns(f"__p{k}", label, weight)).select(F.lit(f).alias("fold"), F.lit(float(p)).alias("penalty"), "log_loss")
+            found = one if found is None else found.unionByName(one)
+    best = found.groupBy(F.col("fold").alias("__f")).agg(F.min(F.struct("log_loss", "penalty")).alias("b"))
+    return found.join(best, F.col("fold") == F.col("__f")).select("fold", "penalty", "log_loss", (F.col("penalty") == F.col("b.penalty")).alias("chosen"))
