@@ -98,3 +98,35 @@ def test_anchors(spark):
     run = lambda cap, **how: {(r.round, r.tick): r.tags for r in greedy.anchors(df, ["round"], "kind", "tick", ["start", "bomb", "split", "late"], cap, **how).collect()}
     assert run(4) == {("r", 10): ["split", "start"], ("r", 40): ["bomb"], ("r", 95): ["late"], ("r", 60): ["fill"], ("s", 5): ["fill"], ("s", 6): ["fill"]}
     assert run(2, fill=None) == {("r", 10): ["split", "start"], ("r", 40): ["bomb"]}
+
+
+def plain_anchors(rows, priority, cap, fill):
+    listed, chosen = {}, {}
+    for _, name, t in rows:
+        if t is not None:
+            listed.setdefault(t, set()).add(name)
+    for name in priority:
+        own = [t for t in sorted(listed) if name in listed[t]]
+        pick = next((t for t in own if t not in chosen), own[0] if own else None)
+        if pick in chosen or (own and len(chosen) < cap):
+            chosen.setdefault(pick, []).append(name)
+    while fill and len(chosen) < min(cap, len(listed)):
+        rest = [t for t in sorted(listed) if t not in chosen]
+        chosen[max(rest, key=lambda t: min((abs(t - c) for c in chosen), default=0))] = [fill]
+    return {t: sorted(names) for t, names in chosen.items()}
+
+
+@pytest.mark.parametrize("cap", [0, 2, 6])
+@pytest.mark.parametrize("fill", ["fill", None])
+def test_anchors_equal_the_plain_choice_without_a_call_for_each_group(spark, cap, fill):
+    """Groups are many and small: a Python call for each would cost more than all choices."""
+    rng = random.Random(cap)
+    rows = [(rng.choice([*range(40), None]), rng.choice(["a", "b", "c", "z", None]), rng.choice([None, *range(-20, 20)])) for _ in range(500)]
+    out = greedy.anchors(spark.createDataFrame(rows, "g int, k string, t int").repartition(3), ["g"], "k", "t", ["b", "a", "c"], cap, fill)
+    got = {}
+    for r in out.collect():
+        assert r.t not in got.setdefault(r.g, {})
+        got[r.g][r.t] = r.tags
+    whole = {g: plain_anchors([r for r in rows if r[0] == g], ["b", "a", "c"], cap, fill) for g in {r[0] for r in rows}}
+    assert got == {g: w for g, w in whole.items() if w}
+    assert "InPandas" not in out._jdf.queryExecution().toString()

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegrid.sources.shared import stored
 
@@ -135,28 +134,35 @@ def anchors(rows: DataFrame, keys: Names, category: str, on: str, priority: Name
     A category chooses its first time that is not chosen yet, or else its first; a time that is chosen already gets the
     tag besides. With `fill`, times are added until there are cap, each the one farthest from all chosen (ties: the
     earlier; the first, where nothing is chosen), under that tag. rows: a row for each time and category, other categories
-    (and null ones) for times that can but fill. Times are whole numbers. Of a group, a task holds each time once.
+    (and null ones) for times that can but fill. Times are whole numbers. Of a group, a task holds each time once; Spark's
+    own functions on arrays choose, so groups cost what their times do, however many there are.
     """
     kind = rows.schema[on].dataType
-    times = rows.filter(F.col(on).isNotNull()).groupBy(*keys, on).agg(F.collect_set(category).alias("__c"))
-    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField(on, kind), T.StructField("tags", T.ArrayType(T.StringType()))])
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(on)
-        times_, listed = frame[on].tolist(), [set(c) for c in frame["__c"]]
-        chosen: dict[int, list[str]] = {}
-        for name in priority:
-            own = [t for t, c in zip(times_, listed, strict=True) if name in c]
-            if not own:
-                continue
-            pick = next((t for t in own if t not in chosen), own[0])
-            if pick in chosen or len(chosen) < cap:
-                chosen.setdefault(pick, []).append(name)
-        while fill and len(chosen) < min(cap, len(times_)):
-            rest = [t for t in times_ if t not in chosen]
-            pick = max(rest, key=lambda t: min((abs(t - c) for c in chosen), default=0)) if chosen else rest[0]
-            chosen[pick] = [fill]
-        out = pd.DataFrame({on: list(chosen), "tags": pd.Series([sorted(v) for v in chosen.values()], dtype=object)})
-        return out.assign(**{k: frame[k].iloc[0] for k in keys})[[*keys, on, "tags"]]
-
-    return times.groupBy(*keys).applyInPandas(choose, schema)
+    own = F.when(F.col(category).isin(*priority), F.col(category)) if priority else F.lit(None).cast("string")
+    times = rows.filter(F.col(on).isNotNull()).groupBy(*keys, on).agg(F.collect_set(own).alias("__c"))
+    each = times.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(on).cast("long").alias("t"), F.col("__c").alias("c")))).alias("__times"))
+
+    def taken(chosen: Column, t: Column) -> Column:
+        return F.exists(chosen, lambda x: x["t"] == t)
+
+    def add(chosen: Column, t: Column, tag: Column) -> Column:
+        return F.concat(chosen, F.array(F.struct(t.alias("t"), F.array(tag).alias("tags"))))
+
+    def named(chosen: Column, name: Column) -> Column:
+        own = F.transform(F.filter("__times", lambda x: F.array_contains(x["c"], name)), lambda x: x["t"])
+        first, free = F.get(own, 0), F.get(F.filter(own, lambda t: ~taken(chosen, t)), 0)
+        again = F.transform(chosen, lambda x: F.struct(x["t"].alias("t"), F.when(x["t"] == first, F.array_append(x["tags"], name)).otherwise(x["tags"]).alias("tags")))
+        return F.when(first.isNull(), chosen).when(free.isNull(), again).when(F.size(chosen) < cap, add(chosen, free, name)).otherwise(chosen)
+
+    def filled(chosen: Column, _: Column) -> Column:
+        far = lambda t: F.struct(F.array_min(F.transform(chosen, lambda x: F.abs(t - x["t"]))).alias("far"), (-t).alias("t"))
+        best = F.array_max(F.transform(F.filter("__times", lambda x: ~taken(chosen, x["t"])), lambda x: far(x["t"])))
+        return F.when((F.size(chosen) < cap) & best.isNotNull(), add(chosen, -best["t"], F.lit(fill))).otherwise(chosen)
+
+    picks = F.array().cast("array<struct<t:bigint,tags:array<string>>>")
+    if priority:
+        picks = F.aggregate(F.array(*map(F.lit, priority)), picks, named)
+    if fill:
+        picks = F.aggregate(F.array_repeat(F.lit(0), cap), picks, filled)
+    out = each.select(*keys, F.explode(picks).alias("__p"))
+    return out.select(*keys, F.col("__p.t").cast(kind).alias(on), F.array_sort("__p.tags").alias("tags"))
