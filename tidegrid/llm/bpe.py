@@ -10,6 +10,7 @@ operations. So a very long pre-token takes about as many steps as there are rank
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import cache
 
 import numpy as np
@@ -82,21 +83,22 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks, self.size = ranks, max(ranks.values()) + 1
         self.byte = np.array([ranks[bytes([k])] for k in range(256)])
-        pairs: dict[int, int] = {}
+        pairs, made = array("q"), array("q")
         #: Ranks whose token can form, with a neighbour, a token of lower rank; their merges go one by one.
         self.unsafe = np.zeros(self.size, bool)
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
-                    pairs[a << 32 | b] = rank
+                    pairs.append(a << 32 | b)
+                    made.append(rank)
                 for part in (a, b):
                     if part is not None and part > rank:
                         self.unsafe[part] = True
-        keys = np.array(sorted(pairs), np.int64)
+        order = np.argsort(pairs)
         self.odd: dict[bytes, int] = {}
         self.odd_sizes: list[int] = []
-        self.keys, self.values = np.append(keys, np.iinfo(np.int64).max), np.array([*map(pairs.__getitem__, keys.tolist()), -1])
+        self.keys, self.values = np.append(np.array(pairs, np.int64)[order], np.iinfo(np.int64).max), np.append(np.array(made, np.int64)[order], -1)
 
         #: Tokens that merging does not reach; only a pre-token that is one as a whole gets it.
         tokens = list(ranks)

@@ -93,6 +93,33 @@ def slices(column, step_bytes: int = 4 << 20):
     return [(a, column.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow's pool and, where the C library can, its heap keep of freed memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(run):
+    """run, for mapInArrow, such that a task's end gives back what it no longer needs.
+
+    Spark keeps idle Python workers for a minute and takes them in turn, so the memory of an executor holds several that
+    wait, each as large as the largest task that it ever had.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def map_column(df: DataFrame, column: str, make, fields: list[tuple[str, str]], step_bytes: int = 4 << 20, keep: list[str] | None = None) -> DataFrame:
     """df (or its columns in keep) with the columns `fields` (name, type) that make() gives.
 
@@ -110,4 +137,4 @@ def map_column(df: DataFrame, column: str, make, fields: list[tuple[str, str]],
                 rows = [batch.column(c).slice(low, len(part)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*rows, *work(part)], names=[*kept, *(n for n, _ in fields)])
 
-    return df.mapInArrow(run, with_fields(df.select(*kept), fields))
+    return df.mapInArrow(released(run), with_fields(df.select(*kept), fields))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import own_name, slices, stored
+from tidegrid.llm.common import own_name, released, slices, stored
 
 MIN_WORDS = 50
 
@@ -84,7 +84,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("id"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("nulls"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    hashes = rows.mapInArrow(_chunk_rows(None), "h long")
+    hashes = rows.mapInArrow(released(_chunk_rows(None)), "h long")
     twice = hashes.groupBy("h").count().filter("count > 1").select(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("at"))
     words = twice.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     found = words.toArrow()  # a row for each 64 bits of the bitmap at most
@@ -97,7 +97,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def with_bytes(batches):
         yield from _chunk_rows(shared.value)(batches)
 
-    seen = rows.mapInArrow(with_bytes, f"id {kind}, nulls long, no int, h long, chunk binary")
+    seen = rows.mapInArrow(released(with_bytes), f"id {kind}, nulls long, no int, h long, chunk binary")
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "no")
     first = seen.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # stored, so that the join below has a shuffle on either side and Spark can split the rows of a very common chunk
@@ -132,7 +132,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     fields = [f for f in joined.schema.fields if f.name not in (name, text_col)]
     schema = joined.select(*(f.name for f in fields)).schema
-    out = joined.mapInArrow(run, _schema(schema, kept, lines))
+    out = joined.mapInArrow(released(run), _schema(schema, kept, lines))
     order = [F.col(kept).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
     return out.select(*order, *([lines] if removed_col else []))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import map_column, offsets_of, own_name
+from tidegrid.llm.common import map_column, offsets_of, own_name, released
 
 #: Byte classes of the statistics; each adds its share of a text's bytes.
 CLASSES = {
@@ -129,7 +129,7 @@ def moments(labelled: DataFrame, features: str = "features", label: str = "label
         k, at = np.divmod(np.arange(acc.size), acc.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), pa.array(acc.ravel())], names=["k", "at", "v"])
 
-    parts = labelled.select(F.col(features), F.col(label).cast("int")).mapInArrow(partial, "k long, at long, v double")
+    parts = labelled.select(F.col(features), F.col(label).cast("int")).mapInArrow(released(partial), "k long, at long, v double")
     acc = np.zeros((2, 1 + D + D * D))
     for row in parts.groupBy("k", "at").agg(F.sum("v").alias("v")).collect():  # twice D squared rows, whatever the input
         acc[row.k, row.at] = row.v
