@@ -142,3 +142,11 @@ def test_attempts_by_windows_equal_the_fold(spark):
     want = {m: {a.round_id: tuple(getattr(a, c) for c in semantics.names(rounds.ATTEMPTS)) for a in rounds.fold_match(rows).attempts} for m, rows in feeds.items()}
     assert got == {m: w for m, w in want.items() if w}
     assert {"void", "completed", "result-missing", "result-unconfirmed"} == {a[8] for w in want.values() for a in w.values()} and any("score-rollback" in (a[10] or "") for w in want.values() for a in w.values())
+
+
+def test_members_of_commands_do_not_travel(feed):
+    """What is in no frame is not even made: it would be most of what is shuffled."""
+    poison = F.when(F.col("kind") == semantics.COMMAND, F.raise_error(F.lit("a command's members")).cast(feed.schema["members"].dataType)).otherwise(F.col("members"))
+    whole = feed.drop("at")
+    got, want = (sorted(map(str, semantics.collected(f).frames.collect())) for f in (whole.withColumn("members", poison), whole))
+    assert got == want and got

@@ -20,6 +20,8 @@ TICKS_A_SECOND = 64
 
 RULES = f"""{rounds.OBSERVED.replace("tick long, seq long, ", "")}, game_time double, round_start_time double, round_time int,
 paused boolean, technical boolean, waiting boolean, t_timeout boolean, ct_timeout boolean, paused_ticks int"""
+#: Rules that nothing needs once the states are known.
+SPENT = ("raw_round", "rounds_played", "score_t", "score_ct", "warmup", "match_started", "freeze", "team_intro", "start_count")
 #: A feed besides its key. persist: false for a frame that is shown and not kept (null: kept).
 FEED = f"""tick long, seq long, kind string, {RULES}, member string, bomb string, explosion double, defuse double, persist boolean,
 members array<struct<member:string,team:string,alive:boolean,position:boolean,equipment:boolean>>"""
@@ -52,10 +54,11 @@ def collected(feed: DataFrame, key: str = "match_id") -> Timeline:
     """
     order = Window.partitionBy(key).orderBy("tick", "seq")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    commands = feed.filter(F.col("kind") == COMMAND)
+    # only a frame's members count; those of commands would be most of what is shuffled and sorted
+    commands = feed.filter(F.col("kind") == COMMAND).withColumn("members", F.lit(None).cast(feed.schema["members"].dataType))
     states = rounds.command_states(commands, key)
     placed = _placed(states, rounds.opened(states, key), key)
-    facts = F.struct(*names(RULES), "round_id", "round_number", "segment", "phase")
+    facts = F.struct(*(c for c in names(RULES) if c not in SPENT), "round_id", "round_number", "segment", "phase")
     rest = [c for c in feed.columns if c not in names(RULES)]
     other = feed.filter(F.col("kind") != COMMAND).select(*rest, F.lit(None).cast(placed.select(facts.alias("f")).schema["f"].dataType).alias("f"))
     rows = placed.select(*rest, facts.alias("f")).unionByName(other)
